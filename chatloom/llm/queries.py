@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import chat_format, mixing, quality_rules
+from chatloom.llm import chat_format, mixing, quality_rules, simhash
 from chatloom.llm.common import materialize, table
 
 
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *long, F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.round("_q_host_rate", 6).alias("host_rate"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = materialize(docs.select("doc_id", "source", mixing.row_hash(F.col("doc_id")).alias("h"), mixing.count_words(F.col("text")).alias("size")), "mix-docs")
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op6_simhash,
         op9_mixing,
         op10_chat_format,
     )
