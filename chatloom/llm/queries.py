@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import chat_format, mixing, quality_rules, simhash
+from chatloom.llm import ball_tree, chat_format, cotraining, licenses, line_dedup, mixing, pieces, quality_rules, simhash, token_counts
 from chatloom.llm.common import materialize, table
 
 
+#: Vocabulary files; any path that all executors can open.
+TOKENIZERS = os.environ.get("CHATLOOM_TOKENIZERS", "/opt/tokenizers")
+PIECES, RANKS = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialize(quality_rules.features(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source"), "measured")
     judged = quality_rules.judge(measured, quality_rules.host_rates(measured))
@@ -18,10 +24,41 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *long, F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.round("_q_host_rate", 6).alias("host_rate"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = line_dedup.drop_boilerplate(docs)
+    return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    both = pieces.decode(encoded, PIECES)
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), same.alias("round_trip"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), RANKS)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = materialize(docs.select("doc_id", "source", mixing.row_hash(F.col("doc_id")).alias("h"), mixing.count_words(F.col("text")).alias("size")), "mix-docs")
@@ -43,7 +80,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_quality_classifier,
+        op3_exact_top_k,
+        op4_line_dedup,
+        op5_sentencepiece,
         op6_simhash,
+        op7_token_counts,
+        op8_license_scan,
         op9_mixing,
         op10_chat_format,
     )
@@ -72,6 +115,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT (rate > 0.5 AND soft) AS kept, round(rate, 6) AS host_rate
 FROM f JOIN v ON source IS NOT DISTINCT FROM host"""
 
+_OP3 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+_OP4 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, source FROM documents),
+l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+k AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+n AS (SELECT source AS src, count(*) AS pages FROM d GROUP BY source),
+c AS (SELECT source AS host, key AS boiler, count(DISTINCT r) AS held FROM k WHERE key <> '' GROUP BY source, key),
+b AS (SELECT host, boiler FROM c JOIN n ON host IS NOT DISTINCT FROM src WHERE held >= 5 AND held > 0.1::DOUBLE * pages),
+m AS (SELECT k.*, boiler IS NOT NULL AS gone FROM k LEFT JOIN b ON host IS NOT DISTINCT FROM source AND boiler = key),
+t AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS cleaned FROM m GROUP BY r)
+SELECT doc_id, cleaned AS text, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped FROM d JOIN t USING (r)"""
+
 _OP9 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
@@ -102,6 +163,8 @@ FROM e GROUP BY conv_id"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": _OP1,
+    "op3_exact_top_k": _OP3,
+    "op4_line_dedup": _OP4,
     "op9_mixing": _OP9,
     "op10_chat_format": _OP10,
 }
