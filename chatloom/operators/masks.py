@@ -62,8 +62,10 @@ def trained_spans(text: Column, messages: Column | str) -> Column:
 
 def token_mask(tokens: Column, spans: Column) -> Column:
     """1 for tokens wholly within a span."""
-    within = lambda held: F.transform(tokens, lambda t: F.exists(held, lambda s: (t.start >= s.start) & (t.stop <= s.stop)).cast("int"))
-    return let(spans, within)
+    def within(both: Column) -> Column:
+        return F.transform(both.t, lambda t: F.exists(both.s, lambda s: (t.start >= s.start) & (t.stop <= s.stop)).cast("int"))
+
+    return let(F.struct(tokens.alias("t"), spans.alias("s")), within)
 
 
 def tail_mask(n: Column) -> Column:
