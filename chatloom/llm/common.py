@@ -44,6 +44,20 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def pack(df: DataFrame, **named: str) -> DataFrame:
+    """One column _row that holds a row's columns, whatever their names, and those that an operator works on by its own names."""
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias("_row")
+    return df.select(row, *[F.col(f"`{c}`").alias(name) for name, c in named.items()])
+
+
+def unpack(df: DataFrame, **added: Column | str) -> DataFrame:
+    """The columns in _row, and those added, which take the place of columns of their names."""
+    new = {n: F.col(c) if isinstance(c, str) else c for n, c in added.items()}
+    names = df.schema["_row"].dataType.names
+    kept = [new.pop(n).alias(n) if n in new else F.col("_row").getField(n).alias(n) for n in names]
+    return df.select(*kept, *[c.alias(n) for n, c in new.items()])
+
+
 def words_of(text: Column) -> Column:
     """The text's words, array<string>: runs of anything but BLANKS; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

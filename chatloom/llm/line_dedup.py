@@ -9,7 +9,8 @@ an empty text.
 
 Cases: a null text stays null and counts as a page. A null host is a host of its own.
 Hosts below MIN_PAGES pages for a line drop nothing. Repeated rows are pages of their
-own. Empty tables give no rows. All columns of the input are kept.
+own. Empty tables give no rows. Columns of the
+input are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import BLANKS, materialize
+from chatloom.llm.common import BLANKS, materialize, pack, unpack
 from chatloom.operators.skew import salted_join
 
 #: A line in more than RATIO of a host's pages, and in MIN_PAGES pages at least, is boilerplate.
@@ -50,8 +51,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", row_id: str = "doc_i
     """The documents with boilerplate lines dropped from ``text``, and _n_lines and _n_dropped."""
     lines = boilerplate(docs, host, ratio, min_pages)
     size = lines.agg(F.sum(F.size("_lines"))).first()[0] or 0
-    keyed = docs.withColumn("_host", host_key(host))
-    joined = keyed.join(F.broadcast(lines), "_host", "left") if size <= BROADCAST_LINES else salted_join(keyed, lines, "_host", F.col(row_id))
+    keyed = pack(docs, text="text", host=host, id=row_id).withColumn("_host", host_key("host"))
+    joined = keyed.join(F.broadcast(lines), "_host", "left") if size <= BROADCAST_LINES else salted_join(keyed, lines, "_host", F.col("id"))
     split = F.split("text", "\n")
     kept = F.filter("_split", lambda s: (F.trim(s, F.lit(BLANKS)) == "") | ~F.array_contains("_lines", line_hash(s)))
     out = joined.withColumn("_split", split).withColumn("_kept", F.when(F.col("_lines").isNull(), F.col("_split")).otherwise(kept))
@@ -59,5 +60,4 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", row_id: str = "doc_i
     n = F.greatest(n, F.lit(0))
     dropped = F.coalesce(F.size("_split") - F.size("_kept"), F.lit(0)).cast("long")
     text = F.when(dropped == 0, F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    others = [c for c in docs.columns if c != "text"]
-    return out.select(*others, text.alias("text"), n.alias("_n_lines"), dropped.alias("_n_dropped")).select(*docs.columns, "_n_lines", "_n_dropped")
+    return unpack(out, text=text, _n_lines=n, _n_dropped=dropped)

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import count_words, materialize
+from chatloom.llm.common import count_words, materialize, unpack
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -121,9 +121,12 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIGHTS,
     Sources are a bounded dimension (one row each is broadcast; an error above MAX_SOURCES).
     """
     size = count_words(F.col("text")) if size is None else size
-    rows = materialize(docs.select("source", row_hash(F.col(key)).alias("h"), size.alias("size")), "mix-rows")
+    hashed = row_hash(F.col(key))
+    rows = materialize(docs.select("source", hashed.alias("h"), size.alias("size")), "mix-rows")
     plan = mix_plan(rows, weights, share)
-    return join_plan(docs.withColumn("_h", row_hash(F.col(key))).withColumn("_size", size), plan).drop("_h")
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row")
+    taken = join_plan(docs.select(row, "source", hashed.alias("_h"), size.alias("_size")), plan)
+    return unpack(taken, _size="_size", _source_size="_source_size", _target="_target", _times="_times")
 
 
 MAX_SOURCES = 100_000

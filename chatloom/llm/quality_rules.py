@@ -8,7 +8,7 @@ rule rejects. A document without any failure always stays.
 
 Cases: a null or blank text has no words and fails the base rule. A null host is a host
 of its own. Repeated rows are judged one by one. Empty tables give no rows. Columns of
-the input are kept (their names must not start with ``_q_``).
+the input are kept, whatever their names (``features`` alone replaces those it adds).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import BLANKS, materialize, words_of
+from chatloom.llm.common import BLANKS, materialize, pack, unpack, words_of
 from chatloom.operators.skew import salted_join
 
 SYMBOLS = "#*$%&|<>"
@@ -140,6 +140,6 @@ def judge(measured: DataFrame, hosts: DataFrame, row_id: str = "doc_id") -> Data
 def filter_documents(docs: DataFrame, host: str = "source", row_id: str = "doc_id") -> DataFrame:
     """The documents that the rules keep, with their own columns. Texts aren't shuffled; measures are taken twice."""
     # a filter isn't pushed below a row number: the measures would be worked out anew for each of its mentions
-    measured = features(docs, host).withColumn("_q_row", F.monotonically_increasing_id())
-    judged = judge(measured, host_rates(measured), row_id)
-    return judged.where(F.col("_q_kept") & (F.col("_q_row") >= 0)).select(*docs.columns)
+    measured = features(pack(docs, text="text", host=host, id=row_id), "host").withColumn("_q_row", F.monotonically_increasing_id())
+    judged = judge(measured, host_rates(measured), "id")
+    return unpack(judged.where(F.col("_q_kept") & (F.col("_q_row") >= 0)))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm.arrow import map_texts
-from chatloom.llm.common import materialize
+from chatloom.llm.common import materialize, pack, unpack
 from chatloom.llm.components import components
 from chatloom.operators.skew import salted_join
 
@@ -145,7 +145,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, bits:
     Of rows that repeat a kept key, one stays.
     """
     found = materialize(near_duplicates(docs.where(F.col(key).isNotNull()), key, shingle, bits).where(F.col(key) == F.col("component_id")), "kept")
-    ids = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(ids, key).select(*docs.columns, "_n")
-    once = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates([key])) if not ids.where("_n > 1").isEmpty() else kept
-    return once.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    ids = materialize(found.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("copies")), "kept-ids")
+    kept = pack(docs, id=key).join(ids, "id")
+    if not ids.where("copies > 1").isEmpty():
+        kept = kept.where("copies = 1").unionByName(kept.where("copies > 1").dropDuplicates(["id"]))
+    return unpack(kept).unionByName(docs.where(F.col(key).isNull()))
