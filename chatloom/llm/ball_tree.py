@@ -167,7 +167,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
 
     def met(vs: DataFrame, qs: DataFrame, which: Column) -> DataFrame:
         left = vs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = qs.withColumn("shard", F.explode(which))
+        right = qs.select(*[F.col(c).alias(c) for c in ("vec_id", "embedding", "block", "least")], F.explode(which).alias("shard"))
         return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(task, RESULT)
 
     start = q.withColumn("least", F.lit(float("-inf")))
