@@ -15,14 +15,15 @@ identifier. (Cuts with a run of blanks, whose pieces share one score, are merged
 
 Cases: a null or empty text has no identifiers. Characters without a piece become byte
 pieces. As in the format itself, a U+2581 in a text reads back as a blank. Repeated
-rows are encoded one by one; an empty table gives no rows. Columns of the input are kept.
+rows are encoded one by one; an empty table gives no rows. Columns of the input are kept, but for those
+that the result's names replace.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +31,27 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLANK = "▁"
+#: The format's mark for a blank. Inside, pieces and cuts hold blanks as such.
+MARK, BLANK = "\u2581", " "
 #: Characters of distinct cuts that are indexed at once, and distinct cuts that a worker remembers (others are encoded again).
-INDEX_CHARS, REMEMBERED = 400_000, 600_000
+INDEX_CHARS, REMEMBERED = 200_000, 400_000
 #: Slots of the table of pairs whose validity is known.
 SLOTS = 1 << 20
 NEVER = 1 << 40
 
 
 class Vocabulary:
-    """Pieces of a model with their merges. Cuts hold blanks as BLANK."""
+    """Pieces of a model with their merges."""
 
     def __init__(self, path: str) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.size = sp.vocab_size()
-        names = [sp.id_to_piece(i) for i in range(n)]
+        names = [sp.id_to_piece(i).replace(MARK, BLANK) for i in range(n)]
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         self.kind = np.dtype("<u2") if n < 1 << 16 else np.dtype("<u4")
         self.bytes = {int(names[i][3:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        self.text = [b"" if special[i] else bytes([int(names[i][3:-1], 16)]) if sp.is_byte(i) else names[i].replace(BLANK, " ").encode() for i in range(n)]
+        self.text = [b"" if special[i] else bytes([int(names[i][3:-1], 16)]) if sp.is_byte(i) else names[i].encode() for i in range(n)]
         self.score = {names[i]: sp.get_score(i) for i in range(n) if not special[i] and not sp.is_byte(i)}
         self.id = {names[i]: i for i in range(n) if names[i] in self.score}
         # merges in order: single characters come before all, then pieces by score
@@ -90,7 +92,7 @@ class Vocabulary:
                 after.setdefault(b, set()).add(a)
         self.marks = [(m, sorted(after.get(m, ()))) for m in ",.;:\n\r\t!?" if len(after.get(m, ())) < 60]
         self.free = [m for m in "\n\r\t" if m not in after and not any(m in p for p in self.id)]
-        self.blank_safe = BLANK not in after or after[BLANK] == {BLANK}
+        self.blank_safe = after.get(BLANK, set()) <= {BLANK}
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The merges themselves: the best score first, the leftmost of equals. Symbols of ``text``, and the last merge."""
@@ -243,7 +245,7 @@ class Vocabulary:
     def cuts(self, text: str) -> list[str]:
         """Cuts of a text, a blank before it: between a character and a blank after it, and before and after marks where
         no piece holds both sides."""
-        t = BLANK + text.replace(" ", BLANK)
+        t = BLANK + text.replace(MARK, BLANK)
         sep = next(c for c in map(chr, (*range(9), *range(0xFDD0, 0xFDF0), 0xFFFE)) if c not in t)
         if not self.blank_safe:
             return [t]
@@ -268,7 +270,7 @@ class Vocabulary:
         def encode(texts: list[str | None]) -> list[bytes]:
             nonlocal known
             cut = [self.cuts(t) if t else [] for t in texts]
-            fresh: dict[str, None] = {}
+            fresh: set[str] = set()
             size = 0
 
             def add() -> None:
@@ -276,17 +278,15 @@ class Vocabulary:
                 known.update(zip(plain, self.encode_cuts(plain), strict=True)) if plain else None
                 known.update((c, self.direct(c)) for c in fresh if BLANK * 2 in c)
 
-            out = []
             if len(known) > REMEMBERED:
                 known = {}
             for cs in cut:
-                for c in cs:
-                    if c not in known and c not in fresh:
-                        fresh[c] = None
-                        size += len(c) + 1
+                new = set(cs).difference(known)
+                fresh |= new
+                size += sum(map(len, new)) + len(new)
                 if size > INDEX_CHARS:
                     add()
-                    fresh, size = {}, 0
+                    fresh, size = set(), 0
             if fresh:
                 add()
             out = [b"".join(map(known.__getitem__, cs)) for cs in cut]
@@ -310,43 +310,59 @@ def encoder(path: str):
     return vocabulary(path).encoder()
 
 
-STEP = 2048
+STEP = 512
 
 
-def with_column(df: DataFrame, source: str, name: str, kind: str, make) -> DataFrame:
-    """df and a column made from another by make()(values), values being None for null."""
+def with_columns(df: DataFrame, makers: list[tuple[str, str, str, Callable]]) -> DataFrame:
+    """df and columns (source, name, kind, make), each made from another by make()(values), values being None for null.
+
+    All are made in one pass, so a task needs one Python worker however many there are.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = df.select("*", F.lit(None).cast(kind).alias(name)).schema
+    df = df.drop(*(m[1] for m in makers))
+    schema = df.select("*", *[F.lit(None).cast(kind).alias(name) for _, name, kind, _ in makers]).schema
     arrow = to_arrow_schema(schema)
-    at = df.columns.index(source)
+    names = [*df.columns, *(m[1] for m in makers)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = make()
+        ready = [make() for *_, make in makers]
         for batch in batches:
             for i in range(0, batch.num_rows, STEP):
-                part = batch.slice(i, STEP)
-                made = pa.array(apply(part.column(at)), arrow.types[-1])
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(part.columns, arrow.types, strict=False)] + [made], schema=arrow)
+                columns = [c.cast(t) for c, t in zip(batch.slice(i, STEP).columns, arrow.types, strict=False)]
+                for (source, *_), apply in zip(makers, ready, strict=True):
+                    columns.append(pa.array(apply(columns[names.index(source)]), arrow.types[len(columns)]))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, model: str, name: str = "ids", text: str = "text") -> DataFrame:
-    """Add array<int> ``name``. model: a SentencePiece BPE model file that all executors can open."""
-
+def encoding(model: str, text: str = "text", name: str = "ids") -> tuple[str, str, str, Callable]:
     def make():
         to_bytes, kind = encoder(model), vocabulary(model).kind
         return lambda column: [np.frombuffer(b, kind).astype(np.int32) for b in to_bytes(column.to_pylist())]
 
-    return with_column(docs, text, name, "array<int>", make)
+    return text, name, "array<int>", make
+
+
+def decoding(model: str, ids: str = "ids", name: str = "decoded") -> tuple[str, str, str, Callable]:
+    def make():
+        back = vocabulary(model).decode
+        return lambda column: [back(x.values.to_numpy()) if x.is_valid else None for x in column]
+
+    return ids, name, "string", make
+
+
+def encode(docs: DataFrame, model: str, name: str = "ids", text: str = "text") -> DataFrame:
+    """Add array<int> ``name``. model: a SentencePiece BPE model file that all executors can open."""
+    return with_columns(docs, [encoding(model, text, name)])
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """Add string ``name``; null identifiers decode to null."""
+    return with_columns(rows, [decoding(model, ids, name)])
 
-    def make():
-        back = vocabulary(model).decode
-        return lambda column: [None if not x.is_valid else back(x.values.to_numpy()) for x in column]
 
-    return with_column(rows, ids, name, "string", make)
+def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
+    """Add ids and what they decode to."""
+    return with_columns(docs, [encoding(model), decoding(model)])

@@ -40,8 +40,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
-    both = pieces.decode(encoded, PIECES)
+    both = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), same.alias("round_trip"))
