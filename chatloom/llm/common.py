@@ -27,7 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+#: Folders that this process has had written, for release().
+MADE: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -58,6 +63,12 @@ def unpack(df: DataFrame, **added: Column | str) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in new.items()])
 
 
+def release(spark: SparkSession) -> None:
+    """Remove every table that operators have written for themselves. Results not read by then can't be read after."""
+    while MADE:
+        delete(spark, MADE.pop())
+
+
 def words_of(text: Column) -> Column:
     """The text's words, array<string>: runs of anything but BLANKS; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -135,7 +135,7 @@ def automaton() -> ahocorasick.Automaton:
 def scan(text: bytes | None, find: ahocorasick.Automaton) -> tuple[int, int, int | None, int | None, str, str, float]:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of a text in UTF-8."""
     words = (text or b"").translate(TABLE).split()
-    joined = f" {b' '.join(words).decode()} "
+    joined = f" {b' '.join(words).decode('utf-8', 'replace')} "
     hits = sorted((end + 1 - len(phrase) - 2, phrase) for end, phrase in find.iter(joined))
     places, labels, base, scores = [], set(), set(), []
     at = word = 0
@@ -151,7 +151,7 @@ def scan(text: bytes | None, find: ahocorasick.Automaton) -> tuple[int, int, int
             labels.add(NOTICES[phrase])
     if TAG in labels:
         labels.discard(TAG)
-        for expression in TAGS.findall(text.decode()):
+        for expression in TAGS.findall(text.decode("utf-8", "replace")):
             rpn = parse(expression)
             if rpn is None:
                 names = [t for t in map(str.lower, TOKEN.findall(expression)) if t not in STRENGTH and t not in "()"]

@@ -108,10 +108,19 @@ def scan_blocks(tokens: np.ndarray, at: int, size: int, eod: int, prologue_size:
     yield block, "tail", last, at + len(chunk) - last, names(last)
 
 
-def count_tokens(spark: SparkSession, path: str, eod: int = EOD, dtype: str = DTYPE, prologue_size: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, start (in tokens), n_tokens (without the prologue), ident (from the prologue, else null), closed."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = "file string, block long, part string, start long, n long, ident long"
+ROWS = "file string, block long, part string, start long, n long, ident long"
+#: A file of more bytes isn't read as one row, but by records.
+WHOLE_BYTES = 1 << 30
+
+
+def batch_of(name: str, block: int, part: str, start: np.ndarray, n: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+    m = len(start)
+    columns = [pa.array([name] * m), pa.array([block] * m, pa.int64()), pa.array([part] * m), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(who, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["file", "block", "part", "start", "n", "ident"])
+
+
+def whole_files(files: DataFrame, eod: int, dtype: str, prologue_size: int, block_tokens: int) -> DataFrame:
+    """Block rows of files that are read as one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,12 +130,42 @@ def count_tokens(spark: SparkSession, path: str, eod: int = EOD, dtype: str = DT
                     raise ValueError(f"{name}: {len(raw)} bytes aren't whole tokens")
                 tokens = np.frombuffer(raw, dtype)
                 for at in range(0, len(tokens), block_tokens):
-                    for block, part, start, n, who in scan_blocks(tokens, at, block_tokens, eod, prologue_size):
-                        m = len(start)
-                        if m:
-                            yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array([block] * m, pa.int64()), pa.array([part] * m), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(who, pa.int64())], ["file", "block", "part", "start", "n", "ident"])
+                    for found in scan_blocks(tokens, at, block_tokens, eod, prologue_size):
+                        if len(found[2]):
+                            yield batch_of(name, *found)
+
+    return files.select("path", "content").mapInArrow(run, ROWS)
 
-    rows = files.mapInArrow(run, schema)
+
+def record_file(spark: SparkSession, name: str, length: int, eod: int, dtype: str, block_tokens: int) -> DataFrame:
+    """Block rows of one large file, cut into records of the largest size that divides it (by Hadoop's fixed-length reader,
+    so it splits over tasks); each record is a block. The more small factors the length has, the faster."""
+    item = np.dtype(dtype).itemsize
+    if length % item:
+        raise ValueError(f"{name}: {length} bytes aren't whole tokens")
+    tokens = length // item
+    size = next(n for n in range(min(block_tokens, tokens), 0, -1) if tokens % n == 0)
+    prefix = "org.apache.hadoop."
+    records = spark.sparkContext.newAPIHadoopFile(name, f"{prefix}mapreduce.lib.input.FixedLengthInputFormat", f"{prefix}io.LongWritable", f"{prefix}io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(size * item)})
+
+    def rows(record: tuple[int, bytes]) -> Iterator[tuple]:
+        base = record[0] // item
+        for _, part, start, n, _ in scan_blocks(np.frombuffer(bytes(record[1]), dtype), 0, size, eod, 0):
+            for s, k in zip(start.tolist(), n.tolist(), strict=True):
+                yield name, base // size, part, base + s, k, -1
+
+    return spark.createDataFrame(records.flatMap(rows), ROWS)
+
+
+def count_tokens(spark: SparkSession, path: str, eod: int = EOD, dtype: str = DTYPE, prologue_size: int = 0, block_tokens: int = BLOCK_TOKENS, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """file, start (in tokens), n_tokens (without the prologue), ident (from the prologue, else null), closed."""
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > whole_bytes).select("path", "length").collect()
+    if large and prologue_size:
+        raise ValueError(f"{large[0].path}: files with prologues are read whole, so they have {whole_bytes} bytes at most")
+    rows = whole_files(files.where(F.col("length") <= whole_bytes), eod, dtype, prologue_size, block_tokens)
+    for f in large:
+        rows = rows.unionByName(record_file(spark, f.path, f.length, eod, dtype, block_tokens))
     rows = materialize(rows, "token-blocks")
     within = rows.where("part = 'doc'").select("file", "start", F.col("n").alias("n_tokens"), "ident", F.lit(True).alias("closed"))
     # stitching: a document begins at a tail or at the file's start and ends at the next head
