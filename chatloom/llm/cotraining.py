@@ -15,7 +15,7 @@ Cases: a null text is empty; null or unseen sources and languages and null lengt
 have buckets of their own. A document with several labels takes their majority, ties
 to 1; null labels don't count. With no label, or labels of one class only, every score
 is the smoothed share of that class (0.5 without labels). Repeated rows are scored one by
-one; an empty table gives no rows. Extra columns are ignored.
+one, and fitted as one; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -188,7 +188,9 @@ def gather(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
                 meta = np.array(buckets_of(part), "<i4").reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), pa.array(text, pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], ["doc_id", "y", "t", "m"])
 
-    picked = inputs(docs).join(F.broadcast(ids), "doc_id")
+    # one row for an id that repeats, so what is gathered stays bounded
+    row = F.struct(*[F.coalesce(F.col(c).isNull(), F.lit(True)).alias(f"{c}_null") for c in COLUMNS], *COLUMNS)
+    picked = inputs(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(row).alias("r")).select("doc_id", *[F.col("r")[c].alias(c) for c in COLUMNS], "y")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = picked.mapInArrow(run, f"doc_id {kind}, y double, t binary, m binary").toArrow().combine_chunks()
     order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in rows["doc_id"].to_pylist()]), kind="stable") if rows.num_rows else []
@@ -203,8 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     labelled = ids.join(known, "doc_id").orderBy(*first).limit(max_labelled)
     pool = ids.join(known, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("double").alias("y")).orderBy(*first).limit(max_pool)
-    rows = docs.dropDuplicates(["doc_id"]) if docs.isStreaming else docs
-    text, meta, y = gather(rows, labelled.unionByName(pool))
+    text, meta, y = gather(docs, labelled.unionByName(pool))
     on = ~np.isnan(y)
     return co_train(text[on], meta[on], y[on], text[~on], meta[~on])
 
