@@ -109,6 +109,22 @@ def same_output(a: Column, b: Column) -> Column:
     return F.avg((F.trim(a) == F.trim(b)).cast("double"))
 
 
+def step_loss(heads: DataFrame, by: list[str], weight: float = 0.1) -> DataFrame:
+    """Per step: mean of the heads' KL, plus a tenth of the mean of their squared errors."""
+    return heads.groupBy(*by).agg((F.avg("kl") + weight * F.avg("mse")).alias("loss"))
+
+
+def epoch_means(steps: DataFrame, by: list[str], loss: str = "loss") -> DataFrame:
+    return steps.groupBy(*by).agg(F.avg(loss).alias("loss"))
+
+
+def lora_targets(modules: DataFrame, suffixes: tuple[str, ...] = ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj"), name: str = "module") -> DataFrame:
+    """Suffixes that some module's name ends in, in the given order; the query and value projections if none does."""
+    hit = [F.max(F.endswith(name, F.lit(s)).cast("int")) == 1 for s in suffixes]
+    found = F.filter(F.array(*[F.when(h, F.lit(s)) for h, s in zip(hit, suffixes, strict=True)]), lambda x: x.isNotNull())
+    return modules.agg(found.alias("t")).select(F.explode(F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit("q_proj"), F.lit("v_proj")))).alias("target"))
+
+
 # estimates
 
 

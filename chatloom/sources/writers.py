@@ -39,3 +39,18 @@ def append_metrics(series: DataFrame, path: str, every: int = 10) -> None:
 def stamped(stem: str, at: str = "current_timestamp()") -> Column:
     """A file name with the time as YYYYMMDD_HHMMSS."""
     return F.concat(F.lit(f"{stem}_"), F.date_format(F.expr(at), "yyyyMMdd_HHmmss"), F.lit(".jsonl"))
+
+
+def write_array(rows: DataFrame, path: str) -> None:
+    """Rows as one JSON array in one file, a line each; one task writes it, but none holds it whole."""
+    line = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")
+    edges = rows.sparkSession.createDataFrame([(0, "["), (2, "]")], "k int, value string")
+    every = edges.unionByName(rows.select(F.lit(1).alias("k"), line)).coalesce(1).sortWithinPartitions("k")
+    numbered = every.withColumn("i", F.monotonically_increasing_id())
+    comma = F.when((F.col("k") == 1) & (F.col("i") > 1), F.lit(",")).otherwise(F.lit(""))
+    numbered.select(F.concat(comma, "value").alias("value")).write.mode("errorifexists").text(path)
+
+
+def latest(files: DataFrame, path: str = "path") -> DataFrame:
+    """The file whose name, which ends in a time, sorts last."""
+    return files.agg(F.max_by(path, F.element_at(F.split(path, "/"), -1)).alias(path))
