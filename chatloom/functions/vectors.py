@@ -16,25 +16,29 @@ def add(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def scale(v: Column, k: float) -> Column:
+    return F.transform(v, lambda x: x * k)
+
+
 def fuse(layers: list[Column], mode: str = "mean", weights: list[float] | None = None) -> Column:
     """Fuse layers' vectors: ``mean``, ``concat``, or ``weighted`` by the softmax of explicit weights."""
     if mode == "concat":
         return F.concat(*layers)
+
+    def total(w: list[float]) -> Column:
+        scaled = [v if k == 1 else scale(v, k) for v, k in zip(layers, w, strict=True)]
+        out = scaled[0]
+        for v in scaled[1:]:
+            out = F.zip_with(out, v, lambda a, b: a + b)
+        return out
+
     if mode == "mean":
-        w = [1.0 / len(layers)] * len(layers)
-        total = layers[0]
-        for x in layers[1:]:
-            total = F.zip_with(total, x, lambda a, b: a + b)
-        return F.transform(total, lambda x: x / len(layers))
+        return scale(total([1.0] * len(layers)), 1 / len(layers))
     if mode == "weighted":
         if weights is None or len(weights) != len(layers):
             raise ValueError("weighted fusion needs a weight per layer")
         e = np.exp(np.array(weights) - max(weights))
-        w = (e / e.sum()).tolist()
-        total = F.transform(layers[0], lambda x: x * w[0])
-        for x, k in zip(layers[1:], w[1:], strict=True):
-            total = F.zip_with(total, x, lambda a, b, k=k: a + b * k)
-        return total
+        return total((e / e.sum()).tolist())
     raise ValueError(f"no fusion mode {mode!r}")
 
 

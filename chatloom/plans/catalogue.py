@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chatloom.functions import content as C
 from chatloom.functions import text as T
 from chatloom.functions import vectors as A
 from chatloom.functions.schemas import CODE_REQUESTS, ERROR_INDICATORS, FILLERS, MASTER_SYSTEM, MESSAGES, NOT_SECRET, SECRET_PATTERNS
 from chatloom.operators import conversations as V
 from chatloom.operators import dedup, masks, metrics, sampling, secrets
+from chatloom.plans import pipelines
 from chatloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -537,14 +539,12 @@ def doc_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.truncated(F.col("text"), 100).alias("preview"))
 
 
-# no SQL has these
+# records of known shapes, made of the tables' texts
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN doc_id % 5 IN (2, 3) THEN 2 ELSE 1 END::INT AS n_messages, CASE WHEN doc_id % 5 IN (2, 3) THEN 'user,assistant' ELSE 'user' END AS roles, md5(text) AS first FROM documents")
 def variant_format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every known shape, made of the table's texts, brought to messages."""
-    from chatloom.functions.content import dispatch_record
-
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     k = F.col("doc_id") % 5
     shape = lambda **c: F.to_json(F.struct(*[v.alias(n) for n, v in c.items()]))
@@ -556,7 +556,49 @@ def variant_format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 3, shape(query=F.col("text"), answers=F.lit("[{'name': 'look_up', 'arguments': {'n': 1}}]"), tools=F.lit("[]")))
         .otherwise(F.to_json(F.array(turn)))
     )
-    return d.select("doc_id", dispatch_record(record).alias("m")).select("doc_id", F.size("m").alias("n_messages"), csv(F.transform("m", lambda x: x.role)).alias("roles"), F.md5(F.get("m", F.lit(0)).content).alias("first"))
+    return d.select("doc_id", C.dispatch_record(record).alias("m")).select("doc_id", F.size("m").alias("n_messages"), csv(F.transform("m", lambda x: x.role)).alias("roles"), F.md5(F.get("m", F.lit(0)).content).alias("first"))
+
+
+@query("SELECT doc_id, 'call_' || doc_id || '_look_up' AS call_id, '{\"n\": ' || doc_id || '}' AS arguments, md5(text) AS asked FROM documents WHERE text <> '' AND doc_id % 2 = 0")
+def function_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function-calling records; every other one has no calls and goes."""
+    d = table(spark, sf_dir, "documents")
+    calls = F.concat(F.lit("[{'name': 'look_up', 'arguments': {'n': "), F.col("doc_id").cast("string"), F.lit("}}]"))
+    record = F.to_json(F.struct(F.col("text").alias("query"), F.when(F.col("doc_id") % 2 == 0, calls).otherwise("none").alias("answers")))
+    rows = d.select("doc_id", C.function_calling_messages(record, F.col("doc_id")).alias("m")).where("m is not null")
+    call = F.get(F.get("m", F.lit(1)).tool_calls, F.lit(0))
+    return rows.select("doc_id", call.id.alias("call_id"), call.function.arguments.alias("arguments"), F.md5(F.get("m", F.lit(0)).content).alias("asked"))
+
+
+@query(f"""WITH {TALKS}, s AS (SELECT conv_id, CASE WHEN m[1].role = 'system' THEN m ELSE list_prepend({{role: 'system', content: '{MASTER_SYSTEM}'}}, m) END AS m FROM c),
+p AS (SELECT *, lower(array_to_string(list_transform(list_filter(m, lambda x: x.role IN ('user', 'assistant', 'system')), lambda x: x.content), ' ')) AS t FROM s)
+SELECT conv_id, CASE WHEN len(list_filter({quoted(ERROR_INDICATORS)}, lambda e: contains(t, e))) > 0 THEN 'error_content' WHEN len(list_filter(m, lambda x: x.role = 'assistant' AND length(x.content) >= 500)) = 0 THEN 'too_short' ELSE 'kept' END AS reason, len(m)::INT AS n_messages FROM p""")
+def distill_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole distilling run over the table's conversations as logs, less the mask: each one's first failing stage."""
+    logs = V.as_log(talks(spark, sf_dir).select(F.col("conv_id").alias("ord"), F.lit("local").alias("source"), "messages"))
+    rows = pipelines.staged(logs, pipelines.Distill(min_response=500))
+    return rows.select(F.col("ord").alias("conv_id"), F.coalesce("drop_reason", F.lit("kept")).alias("reason"), F.size("messages").alias("n_messages"))
+
+
+@query("WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 1 DAY, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = streams.sessions(table(spark, sf_dir, "events"), "ts", "1 day", ["user_id"])
+    return rows.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT event_type, round(avg(value), 5) AS mean, count(value) AS n FROM events GROUP BY event_type")
+def stream_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = streams.drain(streams.running_mean(event_stream(spark, sf_dir), "event_type", "value"), "stream_running_mean", "complete")
+    return done.select("event_type", F.round("mean", 5).alias("mean"), "n")
+
+
+@query("SELECT lang, round(avg((trim(text) = trim(text[1:500]))::INT), 6) AS rate FROM documents GROUP BY lang")
+def same_output_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.round(metrics.same_output(F.col("text"), F.substr("text", F.lit(1), F.lit(500))), 6).alias("rate"))
+
+
+# no SQL has this
 
 
 @query()

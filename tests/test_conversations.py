@@ -278,3 +278,50 @@ def test_small_metrics(spark):
     assert [r.target for r in metrics.lora_targets(m.where("module = 'lm_head'")).collect()] == ["q_proj", "v_proj"]
     h = spark.createDataFrame([(0, 1.0, 2.0), (0, 3.0, 4.0)], "step int, kl double, mse double")
     assert metrics.step_loss(h, ["step"]).first().loss == pytest.approx(2.3)
+
+
+def test_vectors(spark):
+    import numpy as np
+
+    from chatloom.functions import vectors as A
+
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 3, rng.normal(size=5).tolist(), rng.normal(size=5).tolist(), i % 4 and 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "ord int, head int, student array<double>, teacher array<double>, mask int")
+    soft = lambda v: np.exp(v - np.max(v)) / np.exp(v - np.max(v)).sum()
+    assert np.allclose(values(df, A.softmax(F.col("student"))), [soft(np.array(r[2])) for r in rows])
+    assert np.allclose(values(df, A.log_softmax(F.col("student"), 2.0)), [np.log(soft(np.array(r[2]) / 2)) for r in rows])
+    w = soft(np.array([1.0, 2.0]))
+    assert np.allclose(values(df, A.fuse([F.col("student"), F.col("teacher")], "weighted", [1.0, 2.0])), [w[0] * np.array(r[2]) + w[1] * np.array(r[3]) for r in rows])
+    with pytest.raises(ValueError, match="mode"):
+        A.fuse([F.col("student")], "other")
+    got = {r.head: r for r in A.token_loss(df, ["head"]).collect()}
+    for head in range(3):
+        mine = [r for r in rows if r[1] == head]
+        kl = sum((soft(np.array(t)) * (np.log(soft(np.array(t))) - np.log(soft(np.array(s))))).sum() * m for _, _, s, t, m in mine)
+        n = sum(r[4] for r in mine)
+        hits = sum((np.argmax(s) == np.argmax(t)) * m for _, _, s, t, m in mine)
+        assert got[head].kl == pytest.approx(kl / (5 * n)) and got[head].accuracy == pytest.approx(100 * hits / n)
+    made = A.project(df.select("ord", "student"), "student", np.eye(5)[:2]).orderBy("ord").collect()
+    assert np.allclose([r.logits for r in made], [r[2][:2] for r in rows], atol=1e-5)
+    t = df.limit(1).select(A.tree_inputs(F.array(F.lit(7), F.lit(8)), F.array(F.lit(9))).alias("t")).first().t
+    assert t.input_ids == [7, 8, 9] and t.position_ids == [0, 1, 2] and t.mask[1] == [True, True, False]
+    assert values(df.limit(1), A.position_ids(F.lit(3), F.lit(2))) == [[0, 1, 2, 3, 4]]
+    assert values(df.limit(1), A.layer_indices(F.lit(26), "early,middle,final")) == [[6, 13, 19]]
+
+
+def test_findings(spark):
+    found = spark.createDataFrame([(0, "US_SSN", 0.9), (1, "PERSON", 0.71), (2, "US_SSN", 0.5)], "ord int, entity string, score double")
+    assert [(r.ord, r.severity) for r in secrets.pii_findings(found).orderBy("ord").collect()] == [(0, "HIGH"), (1, "MEDIUM")]
+    lines = spark.createDataFrame([("f", i, f"l{i}") for i in range(1, 6)], "file string, line_number int, line string")
+    assert secrets.line_context(lines, "file").orderBy("line_number").first().context == "l1\nl2\nl3"
+    a = spark.createDataFrame([("p", [1, 2]), ("q", [3])], "phrase string, ids array<int>")
+    got = metrics.mismatches(a, a.withColumn("ids", F.array(F.lit(1), F.lit(2)))).first()
+    assert (got.mismatches, got.phrases) == (1, 2)
+
+    def plugin(batches):
+        for b in batches:
+            yield b.assign(line_number=1, secret_type="custom", severity="HIGH", confidence=1.0, masked_value="*", context=b.t, detection_method="plugin").drop(columns="t")
+
+    df = spark.createDataFrame([(0, "abc")], "ord int, t string")
+    assert secrets.scan(df, "ord", "t", {"mine": plugin}).first().secret_type == "custom"
