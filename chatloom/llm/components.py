@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.common import materialize
 
 
+def with_least(edges: DataFrame) -> DataFrame:
+    """edges with m, the smallest b of each a. A partial aggregate and a join, which Spark splits where a node has very many
+    edges; a window would bring them to one task."""
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long) -> node, label: the smallest node that it reaches. Nodes without an edge don't occur.
 
@@ -20,12 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour links to the smallest of the neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         # small star: smaller neighbours, and the node itself, link to the smallest of them
-        m = F.min("b").over(Window.partitionBy("a"))
-        small = large.distinct().withColumn("m", m)
-        small = small.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = with_least(materialize(large.distinct(), "edges")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = materialize(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 40)))).first()
         if now == mark or not now[0]:

@@ -105,8 +105,9 @@ def link_classes(distinct: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> D
     n = distinct.count()
     keys = F.array(*map(F.lit, masks(n, bits)))
     posted = distinct.select("fp", F.posexplode(F.transform(keys, lambda m: F.col("fp").bitwiseAND(m))).alias("c", "k"))
-    posting = Window.partitionBy("c", "k")
-    shared = materialize(posted.withColumn("n", F.count(F.lit(1)).over(posting)).where("n > 1"), "postings")
+    # counted by a partial aggregate and joined, which splits long postings; a window would bring each to one task
+    counts = materialize(posted.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    shared = materialize(posted.join(counts, ["c", "k"]), "postings")
     crowded = shared.where(F.col("n") > hot).select("fp").distinct()
     contracted = bits >= 2 and not crowded.isEmpty()
     if contracted:
