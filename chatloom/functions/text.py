@@ -118,8 +118,9 @@ def model_size(name: Column) -> Column:
 
 
 def display_name(name: Column) -> Column:
-    last = F.element_at(F.split(name, "/"), -1)
-    return F.initcap(F.replace(F.replace(last, F.lit("_"), F.lit(" ")), F.lit("-"), F.lit(" ")))
+    """A checkpoint's name for display: its prefix gone, words with capitals."""
+    bare = F.replace(F.replace(name, F.lit("checkpoints_")), F.lit("checkpoint_"))
+    return F.initcap(F.replace(bare, F.lit("_"), F.lit(" ")))
 
 
 @F.pandas_udf(DoubleType())

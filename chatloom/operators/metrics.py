@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.functions.schemas import LORA_TARGETS
+
 
 def head_acceptance(history: DataFrame, k: int, accepted: str = "accepted", by: list[str] | None = None) -> DataFrame:
     """Share of passes that accept ``pos`` tokens or more, for pos from 1 to k."""
@@ -118,9 +120,10 @@ def epoch_means(steps: DataFrame, by: list[str], loss: str = "loss") -> DataFram
     return steps.groupBy(*by).agg(F.avg(loss).alias("loss"))
 
 
-def lora_targets(modules: DataFrame, suffixes: tuple[str, ...] = ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj"), name: str = "module") -> DataFrame:
-    """Suffixes that some module's name ends in, in the given order; the query and value projections if none does."""
-    hit = [F.max(F.endswith(name, F.lit(s)).cast("int")) == 1 for s in suffixes]
+def lora_targets(modules: DataFrame, suffixes: tuple[str, ...] = LORA_TARGETS, name: str = "module") -> DataFrame:
+    """Targets that some module's name is, or ends in after a dot, in the given order; the query and value projections if
+    there are none."""
+    hit = [F.max((F.endswith(name, F.lit(f".{s}")) | (F.col(name) == s)).cast("int")) == 1 for s in suffixes]
     found = F.filter(F.array(*[F.when(h, F.lit(s)) for h, s in zip(hit, suffixes, strict=True)]), lambda x: x.isNotNull())
     return modules.agg(found.alias("t")).select(F.explode(F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit("q_proj"), F.lit("v_proj")))).alias("target"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
-from chatloom.functions.schemas import FINDING, SECRET_PATTERNS
+from chatloom.functions.schemas import FINDING, PII_HIGH, SECRET_PATTERNS
 
 
 def entropy_findings(rows: DataFrame, key: str, text: str, least: float = 0.7) -> DataFrame:
@@ -69,9 +69,6 @@ def severity(rule: Column) -> Column:
     return F.when(F.lower(rule).rlike("test|dev|sample|high entropy"), "MEDIUM").otherwise("HIGH")
 
 
-PII_HIGH = ("CREDIT_CARD", "US_SSN", "IBAN_CODE", "US_PASSPORT", "US_BANK_NUMBER")
-
-
 def pii_findings(found: DataFrame, least: float = 0.7) -> DataFrame:
     """Entities of an external recogniser that score enough, with severity."""
     return found.where(F.col("score") >= least).withColumn("severity", F.when(F.col("entity").isin(*PII_HIGH), "HIGH").otherwise("MEDIUM"))
@@ -111,3 +108,10 @@ def line_context(lines: DataFrame, by: str, line: str = "line_number", text: str
     w = Window.partitionBy(by).orderBy(line).rowsBetween(-around, around)
     return lines.withColumn("context", F.array_join(F.collect_list(text).over(w), "\n"))
 
+
+
+def report(findings: DataFrame, order: list[str], medium: int = 5) -> DataFrame:
+    """All findings of high severity and the first few of medium, in order, each with its severity's count."""
+    w = Window.partitionBy("severity").orderBy(*order)
+    counted = findings.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("severity")), "rank": F.row_number().over(w)})
+    return counted.where((F.col("severity") == "HIGH") | ((F.col("severity") == "MEDIUM") & (F.col("rank") <= medium)))

@@ -618,7 +618,7 @@ def fuzzy_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = table(spark, sf_dir, "events")
-    return spark.readStream.schema(static.schema).parquet(f"{sf_dir}/{'events.parquet'}*")
+    return spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet*")  # a file or a folder
 
 
 @query("SELECT DISTINCT user_id FROM events")

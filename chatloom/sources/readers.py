@@ -6,14 +6,14 @@ skipped, as a filter, and its file is kept beside each row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.functions.schemas import LOG, SAMPLE
-from chatloom.operators.conversations import uses_tools
 from chatloom.functions.content import dispatch_record
-
-EXTENSIONS = ("py", "js", "ts", "json", "yaml", "yml", "env", "txt", "md", "sh", "cfg", "ini", "toml")
+from chatloom.functions.schemas import LOG, PROMPTS, SAMPLE, SCANNED
+from chatloom.operators.conversations import uses_tools
 
 
 def documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -59,11 +59,11 @@ def training_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLE).option("mode", "FAILFAST").json(path)
 
 
-def source_tree(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+def source_tree(spark: SparkSession, path: str, extensions: tuple[str, ...] = SCANNED) -> DataFrame:
     """file, text of the files to scan for secrets; hidden, generated and output folders are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.col("path")
-    ok = name.rlike(rf"\.({'|'.join(extensions)})$") & ~name.rlike(r"/\.[^/]+/|/node_modules/|/__pycache__/|/venv/|output")
+    ok = name.rlike(f"({'|'.join(map(re.escape, extensions))})$") & ~name.rlike(r"/\.[^/]+/|/node_modules/|/__pycache__/|/venv/|output")
     return files.where(ok).select(name.alias("file"), F.col("content").cast("string").alias("text"))
 
 
@@ -95,9 +95,6 @@ def json_result(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-PROMPTS = ("What is the capital of France?", "Explain how photosynthesis works.", "Write a short poem about rain.", "What is 17 times 23?", "Name three uses of copper.")
-
-
 def prompts(spark: SparkSession, path: str | None = None) -> DataFrame:
     if path:
         raw = spark.read.option("wholetext", True).text(path)

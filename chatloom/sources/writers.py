@@ -54,3 +54,13 @@ def write_array(rows: DataFrame, path: str) -> None:
 def latest(files: DataFrame, path: str = "path") -> DataFrame:
     """The file whose name, which ends in a time, sorts last."""
     return files.agg(F.max_by(path, F.element_at(F.split(path, "/"), -1)).alias(path))
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Histories, evaluation results and other tables as JSON lines."""
+    rows.write.mode("errorifexists").json(path)
+
+
+def output_bytes(rows: DataFrame, each: int = 2048) -> DataFrame:
+    """Estimated size of a dataset."""
+    return rows.agg((F.count(F.lit(1)) * each).alias("bytes"))
