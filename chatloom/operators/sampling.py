@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 
 def seeded(key: Column, seed: int = 42) -> Column:
@@ -19,15 +20,6 @@ def parse_ratios(spec: str) -> dict[str, float]:
     return {k: v / total for k, v in ratios.items()} if abs(total - 1) > 0.01 else ratios
 
 
-def quota_sample(rows: DataFrame, ratios: dict[str, float], n: int, source: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
-    """Each source's first int(n * ratio) rows in seeded order; all its rows, if it has fewer."""
-    take = F.lit(None).cast("int")
-    for name, ratio in ratios.items():
-        take = F.when(F.col(source) == name, F.lit(int(n * ratio))).otherwise(take)
-    w = Window.partitionBy(source).orderBy(seeded(F.col(key), seed), key)
-    return rows.where(F.col(source).isin(list(ratios))).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= take).drop("_rn")
-
-
 def shuffled_limit(rows: DataFrame, n: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
     return rows.orderBy(seeded(F.col(key), seed), key).limit(n)
 
@@ -40,8 +32,6 @@ def global_rank(rows: DataFrame, order: list[Column], name: str = "ord") -> Data
     """
     keyed = rows.withColumn("_k", F.struct(*order))
     dealt = keyed.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism * 4, "_k").withColumn("_p", F.spark_partition_id())
-    from pyspark.storagelevel import StorageLevel
-
     dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = {r[0]: r[1] for r in dealt.groupBy("_p").count().collect()}
     before, base = 0, []
@@ -53,6 +43,22 @@ def global_rank(rows: DataFrame, order: list[Column], name: str = "ord") -> Data
     return dealt.withColumn(name, (F.row_number().over(w) + start[F.col("_p")]).cast("long")).drop("_p", "_k")
 
 
+def quota_sample(rows: DataFrame, ratios: dict[str, float], n: int, source: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """Each source's first int(n * ratio) rows in seeded order; all its rows, if it has fewer.
+
+    Ranks come from one global order of sources and hashes, so a source with a large
+    share of the rows is ranked by many tasks. The broadcast side has a row per ratio.
+    """
+    take = F.lit(None).cast("int")
+    for name, ratio in ratios.items():
+        take = F.when(F.col(source) == name, F.lit(int(n * ratio))).otherwise(take)
+    mine = rows.where(F.col(source).isin(list(ratios)))
+    ranked = global_rank(mine, [F.col(source), seeded(F.col(key), seed), F.col(key)], "_ord")
+    starts = ranked.groupBy(F.col(source).alias("_source")).agg(F.min("_ord").alias("_start"))
+    taken = ranked.join(F.broadcast(starts), F.col(source) == F.col("_source")).where(F.col("_ord") - F.col("_start") < take)
+    return taken.drop("_ord", "_source", "_start")
+
+
 def split(rows: DataFrame, share: float = 0.8, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """``part``: exactly int(share * n) rows ``train``, the rest ``val``."""
     n = rows.count()
