@@ -147,7 +147,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, bits:
     """
     found = materialize(near_duplicates(docs.where(F.col(key).isNotNull()), key, shingle, bits).where(F.col(key) == F.col("component_id")), "kept")
     ids = materialize(found.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("copies")), "kept-ids")
-    kept = pack(docs, id=key).join(ids, "id")
+    kept = pack(docs, id=key).join(ids.hint("merge"), "id")  # the ids grow with the documents: no broadcast at any size
     if not ids.where("copies > 1").isEmpty():
         kept = kept.where("copies = 1").unionByName(kept.where("copies > 1").dropDuplicates(["id"]))
     return unpack(kept).unionByName(docs.where(F.col(key).isNull()))
