@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         # small star: smaller neighbours, and the node itself, link to the smallest of them
-        small = with_least(materialize(large.distinct(), "edges")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = with_least(large).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = materialize(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 40)))).first()
         if now == mark or not now[0]:

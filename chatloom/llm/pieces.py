@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 #: The format's mark for a blank. Inside, pieces and cuts hold blanks as such.
 MARK, BLANK = "\u2581", " "
 #: Characters of distinct cuts that are indexed at once, and distinct cuts that a worker remembers (others are encoded again).
-INDEX_CHARS, REMEMBERED = 200_000, 400_000
+INDEX_CHARS, REMEMBERED = 100_000, 250_000
 #: Slots of the table of pairs whose validity is known.
 SLOTS = 1 << 20
 NEVER = 1 << 40
