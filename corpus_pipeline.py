@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import line_dedup, mixing, pieces, quality_rules, simhash
+from chatloom.llm import line_dedup, mixing, near_copies, pieces, quality_rules
 from chatloom.llm.common import materialize, table
 from chatloom.llm.queries import PIECES
 
@@ -29,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.keep_one(docs)
+    """One document of each component of five-word Jaccard similarity 0.8 or more stays."""
+    return near_copies.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

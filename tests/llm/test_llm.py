@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chatloom.llm import ball_tree, chat_format, components, cotraining, licenses, line_dedup, mixing, pieces, quality_rules, queries, simhash, token_counts
+from chatloom.llm import ball_tree, chat_format, components, cotraining, licenses, line_dedup, mixing, near_copies, pieces, quality_rules, queries, simhash, token_counts
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -263,6 +263,39 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_jaccard(rows):
+    """Row number -> smallest row number within reach of five-word Jaccard 0.8."""
+    sets = []
+    for t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    up = list(range(len(sets)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                up[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_near_duplicate_stage(spark, docs, hot):
+    rng = np.random.default_rng(5)
+    texts = [r[1] for r in ODD] + [r.text for r in docs]
+    base = [f"b{x}" for x in rng.integers(0, 10**6, 200)]
+    for i in range(60):  # near copies, most of them more than three bits of a SimHash apart
+        w = list(base)
+        for at in rng.integers(0, 200, rng.integers(1, 9)):
+            w[at] = f"c{rng.integers(0, 10**6)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_jaccard(texts)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = stage(spark, df, SF) if hot == 64 else near_copies.keep_one(df, hot=hot)
+    assert {r.doc_id for r in kept.collect()} == set(want)
+
+
 # 7
 
 
