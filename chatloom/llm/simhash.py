@@ -141,13 +141,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """One document of each component, the one with the smallest key; documents with a null key stay.
-
-    Of rows that repeat a kept key, one stays.
-    """
-    found = materialize(near_duplicates(docs.where(F.col(key).isNotNull()), key, shingle, bits).where(F.col(key) == F.col("component_id")), "kept")
-    ids = materialize(found.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("copies")), "kept-ids")
-    kept = pack(docs, id=key).join(ids.hint("merge"), "id")  # the ids grow with the documents: no broadcast at any size
-    if not ids.where("copies > 1").isEmpty():
-        kept = kept.where("copies = 1").unionByName(kept.where("copies > 1").dropDuplicates(["id"]))
-    return unpack(kept).unionByName(docs.where(F.col(key).isNull()))
+    """One row of each component, the one with the smallest key; a null key comes last. Rows are told apart by a number of their own."""
+    rows = materialize(pack(docs).withColumn("id", F.monotonically_increasing_id()), "numbered")
+    who = F.col("_row").getField(key)
+    found = near_duplicates(rows.select("id", F.col("_row").getField("text").alias("text")), "id", shingle, bits).select("id", "component_id")
+    named = found.join(rows.select("id", F.struct(who.isNull().alias("none"), who.alias("key"), F.col("id").alias("row")).alias("who")), "id")
+    ids = materialize(named.groupBy("component_id").agg(F.min("who").alias("least")).select(F.col("least.row").alias("id")), "kept-ids")
+    return unpack(rows.join(ids.hint("merge"), "id", "left_semi"))  # the ids grow with the documents: no broadcast at any size

@@ -296,6 +296,14 @@ def test_near_duplicate_stage(spark, docs, hot):
     assert {r.doc_id for r in kept.collect()} == set(want)
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one, near_copies.keep_one])
+def test_keep_one_by_rows(spark, keep):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "xyz")
+    rows = [(1, one), (1, two), (2, one), (None, three), (None, three), (None, two), (5, None)]
+    got = keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, one), (1, two), (None, three), (5, None)]))
+
+
 # 7
 
 
