@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from chatloom.operators.tables import materialize
 
 
 def seeded(key: Column, seed: int = 42) -> Column:
@@ -27,12 +28,13 @@ def shuffled_limit(rows: DataFrame, n: int, key: str = "doc_id", seed: int = 42)
 def global_rank(rows: DataFrame, order: list[Column], name: str = "ord") -> DataFrame:
     """Dense row number, from 1, over a total order, without bringing all rows to one task.
 
-    Rows are dealt over ranges of the order and numbered within them; the ranges' sizes,
-    one number each, are summed up on the driver.
+    Rows are dealt over ranges of the order, and the dealing is written to the shared
+    folder: ranges are drawn by a sample, so a lost part of it couldn't be made again. Rows
+    are numbered within ranges; the ranges' sizes, one number each, are summed up on the driver.
     """
-    keyed = rows.withColumn("_k", F.struct(*order))
-    dealt = keyed.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism * 4, "_k").withColumn("_p", F.spark_partition_id())
-    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = rows.sparkSession
+    dealt = rows.withColumn("_k", F.struct(*order)).repartitionByRange(spark.sparkContext.defaultParallelism * 4, "_k")
+    dealt = materialize(dealt.withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = {r[0]: r[1] for r in dealt.groupBy("_p").count().collect()}
     before, base = 0, []
     for p in sorted(sizes):

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from chatloom.operators.tables import fresh_path
+
 
 def read_json(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
@@ -50,7 +52,22 @@ def running_mean(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def drain(rows: DataFrame, name: str, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run a stream over what there is now and return the result as a table."""
-    query = (transform(rows) if transform else rows).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what there is now and return the result as a table in the shared folder, where its checkpoint is too.
+
+    A batch that runs again writes over its own folder. In mode ``complete`` the last batch holds the whole result.
+    """
+    spark = rows.sparkSession
+    out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
+    stream = transform(rows) if transform else rows
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        written.append(number)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return rows.sparkSession.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    paths = [f"{out}/batch={n}" for n in (written[-1:] if mode == "complete" else sorted(set(written)))]
+    return spark.read.schema(stream.schema).parquet(*paths)
