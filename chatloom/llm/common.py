@@ -2,51 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
-BLANKS = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + (made := tempfile.mkdtemp(prefix="chatloom-"))
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    MADE.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return path
-
+from chatloom.operators.tables import MADE, delete, fresh_path, materialize, release, shared_dir
 
-#: Folders that this process has had written, for release().
-MADE: list[str] = []
+__all__ = ["MADE", "delete", "fresh_path", "materialize", "release", "shared_dir"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    df.write.parquet(path := fresh_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Hadoop's file system, wherever it lives."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+#: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def pack(df: DataFrame, **named: str) -> DataFrame:
@@ -63,12 +27,6 @@ def unpack(df: DataFrame, **added: Column | str) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in new.items()])
 
 
-def release(spark: SparkSession) -> None:
-    """Remove every table that operators have written for themselves. Results not read by then can't be read after."""
-    while MADE:
-        delete(spark, MADE.pop())
-
-
 def words_of(text: Column) -> Column:
     """The text's words, array<string>: runs of anything but BLANKS; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

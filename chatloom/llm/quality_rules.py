@@ -1,10 +1,11 @@
 """Host-level quality rules, in DataFrame operations only.
 
-Each document is held against rules; failures are summed by host; each host's rates are
-shrunk towards the corpus by a beta prior fitted to the hosts; and the verdict on the
-host is joined back to its documents. On a host whose shrunk rate of failures is above
-``max_host_rate``, a document needs a clean record to stay; elsewhere only the base
-rule rejects. A document without any failure always stays.
+Each document is held against rules; the failures of each rule are summed by host; each
+host's rates are shrunk towards the corpus by a beta prior fitted to the hosts, one for
+each rule; and the verdicts on the host are joined back to its documents. The base rule
+rejects a document on any host. Another rule rejects one only on hosts whose shrunk rate
+of failures of that rule, or of the base rule, is above ``max_host_rate``. A document
+without any failure always stays.
 
 Cases: a null or blank text has no words and fails the base rule. A null host is a host
 of its own. Repeated rows are judged one by one. Empty tables give no rows. Columns of
@@ -25,6 +26,8 @@ WINDOW = 5
 #: Host tables of so many rows at most are broadcast, larger ones joined by a salted shuffle.
 BROADCAST_HOSTS = 100_000
 MAX_HOST_RATE = 0.5
+#: The rules' names, see rules().
+RULES = ("base", "symbols", "dup_lines", "word_length")
 #: Bounds of the prior's weight in documents.
 PRIOR_LEAST, PRIOR_MOST = 1.0, 1000.0
 
@@ -95,51 +98,67 @@ def rules() -> dict[str, Column]:
     }
 
 
-def host_rates(measured: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per host: docs, failures (documents that fail any rule), shrunk rate and verdict ``distrusted``.
+def failures(which: str | None = None) -> dict[str, Column]:
+    """The rules over the measures, or over flags that have been taken from them before (in columns ``which``<rule>)."""
+    return rules() if which is None else {r: F.col(f"{which}{r}") for r in RULES}
 
-    The beta prior has the corpus rate m as its mean and, by moments, the weight
-    m (1 - m) / v - 1, where v is the variance of host rates weighted by documents,
-    within PRIOR_LEAST and PRIOR_MOST.
-    """
-    failed = F.greatest(*[c.cast("int") for c in rules().values()])
-    hosts = measured.groupBy("_q_host").agg(F.count(F.lit(1)).alias("docs"), F.sum(failed).alias("failures"))
-    hosts = materialize(hosts, "hosts")
-    rate = F.col("failures") / F.col("docs")
-    total = hosts.agg(
-        (F.sum("failures") / F.sum("docs")).alias("m"),
-        (F.sum(F.col("docs") * rate * rate) / F.sum("docs")).alias("m2"),
-    )
-    v = F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(1e-12))
-    weight = F.least(F.greatest(F.col("m") * (1 - F.col("m")) / v - 1, F.lit(PRIOR_LEAST)), F.lit(PRIOR_MOST))
-    prior = total.select("m", weight.alias("weight")).first()  # two numbers
-    m, weight = prior["m"] or 0.0, prior["weight"] or PRIOR_LEAST
-    shrunk = (F.col("failures") + m * weight) / (F.col("docs") + weight)
-    return hosts.select("_q_host", "docs", "failures", shrunk.alias("rate")).withColumn(
-        "distrusted", F.col("rate") > max_host_rate
-    )
 
+def host_rates(measured: DataFrame, max_host_rate: float = MAX_HOST_RATE, flags: str | None = None) -> DataFrame:
+    """One row per host: docs, and by rule rate_<rule> (of documents that fail it, shrunk) and bad_<rule> (above max_host_rate).
 
-def judge(measured: DataFrame, hosts: DataFrame, row_id: str = "doc_id") -> DataFrame:
-    """Join the hosts' verdicts back: adds _q_base_failed, _q_host_rate, _q_distrusted and _q_kept."""
+    Each rule has a beta prior of its own, by moments: its mean m is the corpus rate, its
+    weight m (1 - m) / v - 1, within PRIOR_LEAST and PRIOR_MOST. v is the variance of host
+    rates weighted by documents, less what chance alone adds to it, m (1 - m) hosts / docs.
+    """
+    sums = [F.sum(c.cast("int")).alias(f"n_{r}") for r, c in failures(flags).items()]
+    hosts = materialize(measured.groupBy("_q_host").agg(F.count(F.lit(1)).alias("docs"), *sums), "hosts")
+    rate = lambda r: F.col(f"n_{r}") / F.col("docs")
+    moments = [(F.sum(f"n_{r}") / F.sum("docs")).alias(f"m_{r}") for r in RULES]
+    moments += [(F.sum(F.col("docs") * rate(r) * rate(r)) / F.sum("docs")).alias(f"s_{r}") for r in RULES]
+    total = hosts.agg(*moments, (F.count(F.lit(1)) / F.sum("docs")).alias("chance"))
+    spread = lambda r: F.col(f"m_{r}") * (1 - F.col(f"m_{r}"))
+    v = lambda r: F.greatest(F.col(f"s_{r}") - F.col(f"m_{r}") * F.col(f"m_{r}") - spread(r) * F.col("chance"), F.lit(1e-12))
+    weights = [F.least(F.greatest(spread(r) / v(r) - 1, F.lit(PRIOR_LEAST)), F.lit(PRIOR_MOST)).alias(f"w_{r}") for r in RULES]
+    prior = total.select(*[f"m_{r}" for r in RULES], *weights).first()  # two numbers a rule
+    out = hosts
+    for r in RULES:
+        m, w = prior[f"m_{r}"] or 0.0, prior[f"w_{r}"] or PRIOR_LEAST
+        out = out.withColumn(f"rate_{r}", (F.col(f"n_{r}") + m * w) / (F.col("docs") + w))
+    return out.select("_q_host", "docs", *[f"rate_{r}" for r in RULES], *[(F.col(f"rate_{r}") > max_host_rate).alias(f"bad_{r}") for r in RULES])
+
+
+def with_verdicts(measured: DataFrame, hosts: DataFrame, row_id: str) -> DataFrame:
+    """The hosts' rates and verdicts, as _q_rate_<rule> and _q_bad_<rule>, joined back to the documents."""
     key = "_q_key"  # a null host joins too
     name = F.coalesce(F.concat(F.lit("h"), F.col("_q_host").cast("string")), F.lit("null"))
     measured = measured.withColumn(key, name)
-    verdicts = hosts.select(name.alias(key), F.col("rate").alias("_q_host_rate"), F.col("distrusted").alias("_q_distrusted"))
+    verdicts = hosts.select(name.alias(key), *[F.col(f"{x}_{r}").alias(f"_q_{x}_{r}") for x in ("rate", "bad") for r in RULES])
     if hosts.count() <= BROADCAST_HOSTS:
-        judged = measured.join(F.broadcast(verdicts), key, "left")
-    else:
-        judged = salted_join(measured, verdicts, key, F.col(row_id))
+        return measured.join(F.broadcast(verdicts), key, "left").drop(key)
+    return salted_join(measured, verdicts, key, F.col(row_id)).drop(key)
+
+
+def kept(fails: dict[str, Column]) -> Column:
+    """Whether a document stays: base rejects on any host; another failure rejects where the host is bad by that rule or by base."""
+    soft = [fails[r] & (F.col(f"_q_bad_{r}") | F.col("_q_bad_base")) for r in RULES if r != "base"]
+    return ~fails["base"] & ~F.greatest(*soft)
+
+
+def judge(measured: DataFrame, hosts: DataFrame, row_id: str = "doc_id") -> DataFrame:
+    """Join the hosts' verdicts back: adds their columns, _q_base_failed and _q_kept."""
     fails = rules()
-    soft = F.greatest(*[c for k, c in fails.items() if k != "base"])
-    return judged.withColumns(
-        {"_q_base_failed": fails["base"], "_q_kept": ~fails["base"] & ~(F.col("_q_distrusted") & soft)}
-    ).drop(key)
+    return with_verdicts(measured, hosts, row_id).withColumns({"_q_base_failed": fails["base"], "_q_kept": kept(fails)})
 
 
 def filter_documents(docs: DataFrame, host: str = "source", row_id: str = "doc_id") -> DataFrame:
-    """The documents that the rules keep, with their own columns. Texts aren't shuffled; measures are taken twice."""
-    # a filter isn't pushed below a row number: the measures would be worked out anew for each of its mentions
-    measured = features(pack(docs, text="text", host=host, id=row_id), "host").withColumn("_q_row", F.monotonically_increasing_id())
-    judged = judge(measured, host_rates(measured), "id")
-    return unpack(judged.where(F.col("_q_kept") & (F.col("_q_row") >= 0)))
+    """The documents that the rules keep, with their own columns. Texts aren't shuffled.
+
+    The measures are taken once, into a table of flags and of the rows that pass the base
+    rule; the hosts are judged from the flags, and the table filtered by the verdicts.
+    """
+    flags = {f"_f_{r}": c for r, c in rules().items()}
+    measured = features(pack(docs, text="text", host=host, id=row_id), "host").withColumns(flags)
+    row = F.when(~F.col("_f_base"), F.col("_row")).alias("_row")
+    rows = materialize(measured.select(row, "id", "_q_host", *flags), "judged")
+    judged = with_verdicts(rows.where(~F.col("_f_base")), host_rates(rows, flags="_f_"), "id")
+    return unpack(judged.where(kept(failures("_f_"))))

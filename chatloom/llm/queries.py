@@ -21,7 +21,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialize(quality_rules.features(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source"), "measured")
     judged = quality_rules.judge(measured, quality_rules.host_rates(measured))
     long = [F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return judged.select("doc_id", *long, F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.round("_q_host_rate", 6).alias("host_rate"))
+    return judged.select("doc_id", *long, F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), *[F.round(f"_q_rate_{r}", 6).alias(f"rate_{r}") for r in quality_rules.RULES])
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,14 +104,19 @@ m AS (SELECT w.r, doc_id, source, len(ws)::BIGINT AS n_words,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(c, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cover USING (r)),
-f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  (10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 12 * n_words) AS soft FROM m),
-h AS (SELECT source, count(*) AS docs, count(*) FILTER (WHERE base_failed OR soft) AS fails FROM f GROUP BY source),
-p AS (SELECT sum(fails) / sum(docs) AS mean, sum(docs * (fails / docs) * (fails / docs)) / sum(docs) AS m2 FROM h),
-q AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(m2 - mean * mean, 1e-12) - 1, 1.0), 1000.0) AS weight FROM p),
-v AS (SELECT source AS host, (fails + mean * weight) / (docs + weight) AS rate FROM h, q)
+f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, 10 * n_symbols > n_words AS symbols,
+  10 * n_dup_lines > 3 * n_lines AS dup_lines, (word_chars < 2 * n_words OR word_chars > 12 * n_words) AS word_length FROM m),
+h AS (SELECT source, rule, count(*) AS docs, sum(failed::INT) AS fails FROM (SELECT source,
+  unnest(['base', 'symbols', 'dup_lines', 'word_length']) AS rule, unnest([base_failed, symbols, dup_lines, word_length]) AS failed FROM f) GROUP BY source, rule),
+p AS (SELECT rule, sum(fails) / sum(docs) AS mean, sum(docs * (fails / docs) * (fails / docs)) / sum(docs) AS m2, count(*) / sum(docs) AS chance FROM h GROUP BY rule),
+q AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / greatest(m2 - mean * mean - mean * (1 - mean) * chance, 1e-12) - 1, 1.0), 1000.0) AS weight FROM p),
+r AS (SELECT source, rule, (fails + mean * weight) / (docs + weight) AS rate FROM h JOIN q USING (rule)),
+v AS (SELECT source AS host, max(rate) FILTER (WHERE rule = 'base') AS rate_base, max(rate) FILTER (WHERE rule = 'symbols') AS rate_symbols,
+  max(rate) FILTER (WHERE rule = 'dup_lines') AS rate_dup_lines, max(rate) FILTER (WHERE rule = 'word_length') AS rate_word_length FROM r GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (rate > 0.5 AND soft) AS kept, round(rate, 6) AS host_rate
+  NOT base_failed AND NOT (symbols AND greatest(rate_symbols, rate_base) > 0.5) AND NOT (dup_lines AND greatest(rate_dup_lines, rate_base) > 0.5)
+    AND NOT (word_length AND greatest(rate_word_length, rate_base) > 0.5) AS kept,
+  round(rate_base, 6) AS rate_base, round(rate_symbols, 6) AS rate_symbols, round(rate_dup_lines, 6) AS rate_dup_lines, round(rate_word_length, 6) AS rate_word_length
 FROM f JOIN v ON source IS NOT DISTINCT FROM host"""
 
 _OP3 = """
