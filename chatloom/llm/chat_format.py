@@ -17,6 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.functions.bind import let
+
+#: Code points of a draft that as_events() streams and has replaced.
+DRAFT = 16
 #: Control strings of the template. Texts can't hold them once escaped, see escape().
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -41,45 +45,70 @@ def unescape(text: Column, role: bool = False) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """events: conv_id, msg (order of messages), seq, kind, role, text -> conv_id, messages array<struct<role,text>>.
+    """events: conv_id, msg (order of messages), seq, kind, role, text, and perhaps row -> conv_id, messages array<struct<role,text>>.
 
     kind: ``message`` opens a message, ``delta`` appends to it, ``edit`` replaces its
-    text, ``regenerate`` discards its text so that later deltas stream a new one.
+    text, ``regenerate`` discards its text so that later deltas stream a new one. ``row``
+    tells messages of equal msg apart; such messages stand in the order of role and text.
 
-    Messages fold apart from each other, so a long conversation spreads over tasks by
-    (conv_id, msg); only finished messages meet in their conversation, whose rendered
-    form is one value anyhow.
+    The log is dealt by conversation once. Within a task messages are gathered and folded
+    apart from each other, and finished messages meet in their conversation, whose
+    rendered form is one value anyhow. A fold is linear in its log: the last event that
+    isn't a delta is found, and what comes from there on is joined.
     """
     e = events.select(
         "conv_id",
         "msg",
+        F.col("row").alias("row") if "row" in events.columns else F.lit(0).alias("row"),
         F.struct(
             F.col("seq").alias("seq"),
             F.col("kind").alias("kind"),
             F.coalesce("role", F.lit("")).alias("role"),
             F.coalesce("text", F.lit("")).alias("text"),
         ).alias("e"),
-    )
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        now = F.when(x.kind == "delta", F.concat(last.text, x.text)).when(x.kind == "edit", x.text).otherwise(F.lit(""))
-        new = F.struct(x.role.alias("role"), F.when(x.kind == "regenerate", F.lit("")).otherwise(x.text).alias("text"))
-        changed = F.struct(last.role.alias("role"), now.alias("text"))
-        fresh = (x.kind == "message") | (F.size(done) == 0)
-        return F.when(fresh, F.concat(done, F.array(new))).otherwise(
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(changed))
-        )
-
-    per_message = e.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list("e")).alias("log"))
-    alone = F.transform("log", lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
-    plain = F.forall("log", lambda x: x.kind == "message")
-    folded = F.aggregate("log", F.array().cast(MESSAGES), step)
-    per_message = per_message.select("conv_id", "msg", F.when(plain, alone).otherwise(folded).alias("m"))
+    ).repartition("conv_id")
+
+    def folded(log: Column) -> Column:
+        """The message of a log that begins with its opening event."""
+        since = F.coalesce(F.array_max(F.transform(log, lambda x, i: F.when(x.kind != "delta", i))), F.lit(0))
+        parts = F.transform(F.slice(log, since + 1, F.size(log)), lambda x: F.when(x.kind == "regenerate", "").otherwise(x.text))
+        return F.struct(F.get(log, F.lit(0)).role.alias("role"), F.array_join(parts, "").alias("text"))
+
+    log = F.array_sort(F.collect_list("e")).alias("log")
+    per = e.groupBy("conv_id", "msg", "row").agg(log)
+    # where messages open: at message events, and at the log's start
+    per = per.withColumn("opens", F.filter(F.transform("log", lambda x, i: F.when((x.kind == "message") | (i == 0), i)), lambda i: i.isNotNull()))
+    spans = F.transform("opens", lambda i, k: let(F.slice("log", i + 1, F.coalesce(F.get("opens", k + 1), F.size("log")) - i), folded))
+    per = per.select("conv_id", "msg", spans.alias("m"))
     ordered = F.array_sort(F.collect_list(F.struct("msg", "m")))
-    return per_message.groupBy("conv_id").agg(
-        F.flatten(F.transform(ordered, lambda x: x.m)).cast(MESSAGES).alias("messages")
-    )
+    return per.groupBy("conv_id").agg(F.flatten(F.transform(ordered, lambda x: x.m)).cast(MESSAGES).alias("messages"))
+
+
+def as_events(log: DataFrame) -> DataFrame:
+    """The events that stream the rows of a log: conv_id, turn, role, text -> conv_id, msg, row, seq, kind, role, text.
+
+    Every message opens empty, streams the beginning of a draft, is regenerated, streams
+    the draft again, is edited to the first half of its text, and streams the rest in two deltas.
+    Events come out of order, as logs do; seq has their order.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    rest = F.length(text) - half
+    second = F.floor(rest / 2).cast("int")
+    draft = F.left(text, F.lit(DRAFT))
+    stream = [
+        (6, "delta", F.substr(text, half + second + 1)),
+        (2, "regenerate", F.lit(None).cast("string")),
+        (4, "edit", F.left(text, half)),
+        (0, "message", F.lit("")),
+        (3, "delta", draft),
+        (5, "delta", F.substr(text, half + 1, second)),
+        (1, "delta", draft),
+    ]
+    events = F.array(*[F.struct(F.lit(n).alias("seq"), F.lit(kind).alias("kind"), t.alias("text")) for n, kind, t in stream])
+    rows = log.select("conv_id", F.col("turn").alias("msg"), F.monotonically_increasing_id().alias("row"), "role", events.alias("events"))
+    rows = rows.select("conv_id", "msg", "row", "role", F.explode("events").alias("x"))
+    return rows.select("conv_id", "msg", "row", "x.seq", "x.kind", F.when(F.col("x.kind") == "message", F.col("role")).alias("role"), "x.text")
 
 
 def render(conversations: DataFrame, trained_role: str = "assistant") -> DataFrame:

@@ -1,30 +1,35 @@
-"""Near-duplicates by the Jaccard similarity of texts' sets of five-word shingles, every pair of 0.8 or more.
+"""SimHash near-duplicates verified by the Jaccard similarity of texts' sets of five-word shingles, every pair of 0.8 or more.
 
-A prefix filter finds the candidates, and it is exact: with shingles in any one order, two
+Five-word SimHashes within the index's radius (simhash.py) give the first candidates, which
+the sets themselves verify: copies and most near copies are in one component after that.
+A similarity of 0.8 leaves two fingerprints some ten bits apart, often with no byte in
+common, so an index of positional bytes can't promise these pairs at any size of postings.
+They have an exact way of their own, a prefix filter: with shingles in any one order, two
 sets of similarity T share one of the first |S| - ceil(T |S|) + 1 shingles of each, so
 only these are posted. The order is by hash, with shingles that a sample of the texts
 repeats last; the sample decides how long postings are, never what is found. Parity
 bitmaps leave out most pairs that meet (they differ in no more bits than the sets do in
 shingles), and the sets themselves decide the rest.
 
-Texts with equal sets are linked first, and one of them is posted. In a posting of more than
-HOT sets each is first compared with one of them (another one in each posting), and
-only sets of different components are paired after that, so a group of near copies
-isn't expanded into pairs. Of the pairs of a component, those that its links already join
-needn't be decided.
+Texts with equal sets are linked first, and one of them is posted. Sets that SimHash has
+put in one component are never paired again. In a posting of more than HOT sets each is
+compared with one of them (another one in each posting) too, and only sets of different
+components are paired after that, so a group of near copies isn't expanded into pairs. Of
+the pairs of a component, those that its links already join needn't be decided.
 
 Cases: null, empty and blank texts have one set in common. Texts of fewer words than a
 shingle are one shingle. Shingles are compared by their 64-bit hashes. Rows are told
-apart by a number of their own, so ids may repeat or be null.
+apart by a number of their own, so ids may repeat or be null. Columns of the input are kept,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import gc
+import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +38,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm.arrow import map_texts
-from chatloom.llm.common import delete, materialize, pack, unpack
+from chatloom.llm.common import delete, fresh_path, materialize, pack, unpack
 from chatloom.llm.components import components
-from chatloom.llm.simhash import LOWER, SEED
+from chatloom.llm.simhash import SEED, least_of_class, link_classes, majority, shingle_hashes
+from chatloom.operators.skew import salted_join
 
 SHINGLE = 5
 #: The least similarity, as a fraction of whole numbers: 0.8.
 NUMER, DENOM = 4, 5
 #: Sets in a posting above which it is contracted before its pairs are taken.
 HOT = 64
+#: Rows of a block, as bits of their numbers (a bitmap of Spark's has so many), of a bucket, about, and most buckets.
+BLOCK_BITS, BUCKET_ROWS, MAX_BUCKETS = 15, 1 << 18, 4096
 #: One document in so many is read for the order; a shingle is put last from so many of them, and so many shingles at most.
 SAMPLED, OFTEN, LAST = 16, 4, 50_000
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct XXH64 of a text's shingles, ascending."""
-    words = (text or b"").translate(LOWER).split()
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.dtype("<u8")))
+    """The distinct XXH64 of a text's shingles, ascending; a text without words has the one shingle that is empty."""
+    hashes = shingle_hashes(text, shingle)
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -144,14 +151,18 @@ def near_copies(texts: DataFrame, hot: int = HOT) -> DataFrame:
 
     def make():
         def sign(t: bytes | None) -> tuple:
-            s = shingle_set(t)
-            return len(s), xxhash.xxh128_digest(s.tobytes()), bitmap(s), prefix(s, last)
+            s = np.unique(h) if len(h := shingle_hashes(t, SHINGLE)) else shingle_set(None)
+            return majority(h), len(s), xxhash.xxh128_digest(s.tobytes()), bitmap(s), prefix(s, last)
 
         return lambda ts: [sign(t) for t in ts]
 
-    signed = materialize(map_texts(texts, make, "n int, key binary, bits binary, prefix array<long>", "id"), "signed")
+    signed = materialize(map_texts(texts, make, "fp long, n int, key binary, bits binary, prefix array<long>", "id"), "signed")
     firsts = materialize(signed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
     sets = signed.join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
+    # SimHash: each set and the least set of its component of fingerprints
+    prints = materialize(sets.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("rep")), "prints")
+    centre = least_of_class(prints, link_classes(prints.select("fp")))
+    near = salted_join(sets.select("id", "n", "fp"), centre, "fp", F.col("id"), "inner").select(F.struct("id", "n").alias("x"), F.col("least").alias("y"))
     posted = sets.select("id", "n", F.explode("prefix").alias("k"))
     counts = materialize(posted.groupBy("k").agg(F.count(F.lit(1)).alias("posted")).where("posted > 1"), "counts")
     sweep(texts.sparkSession)
@@ -168,34 +179,57 @@ def near_copies(texts: DataFrame, hot: int = HOT) -> DataFrame:
         return out
 
     member = F.struct("id", "n")
-    first = None
-    if not (crowded := shared.where(F.col("posted") > hot)).isEmpty():
-        centres = crowded.groupBy("k").agg(F.min(F.struct(F.xxhash64("id", "k").alias("h"), "id", "n")).alias("y"))
-        first = materialize(linked(met(crowded.select("k", member.alias("x")).join(centres, "k")), texts), "contracted")
-        members = shared.join(first.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("comp", F.coalesce("label", "id"))
-        # postings within one component are settled; of the rest, all but the largest component's members seek partners
-        sizes = members.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
-        largest = sizes.groupBy("k").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("top"), F.count(F.lit(1)).alias("comps"))
-        members = materialize(members.join(largest.where("comps > 1"), "k").select("k", member.alias("x"), "comp", "top"), "members")
-    else:
-        members = shared.select("k", member.alias("x"), F.col("id").alias("comp"), F.lit(None).cast("long").alias("top"))
+    crowded = shared.where(F.col("posted") > hot)
+    centres = crowded.groupBy("k").agg(F.min(F.struct(F.xxhash64("id", "k").alias("h"), "id", "n")).alias("y"))
+    around = salted_join(crowded.select("k", "id", member.alias("x")), centres.select("k", F.struct("y.id", "y.n").alias("y")), "k", F.col("id"), "inner")
+    first = materialize(linked(met(near.unionByName(around.select("x", "y"))), texts), "contracted")
+    members = shared.join(first.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("comp", F.coalesce("label", "id"))
+    # postings within one component are settled; of the rest, all but the largest component's members seek partners
+    sizes = members.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("k").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("top"), F.count(F.lit(1)).alias("comps"))
+    members = materialize(members.join(largest.where("comps > 1"), "k").select("k", member.alias("x"), "comp", "top"), "members")
     a, b = members.alias("a"), members.alias("b")
-    one_way = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.top").isNull() | (F.col("a.comp") != F.col("a.top"))) & ((F.col("a.x.id") < F.col("b.x.id")) | (F.col("b.comp") == F.col("a.top")))
+    one_way = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.comp") != F.col("a.top")) & ((F.col("a.x.id") < F.col("b.x.id")) | (F.col("b.comp") == F.col("a.top")))
     sized = NUMER * F.greatest("a.x.n", "b.x.n") <= DENOM * F.least("a.x.n", "b.x.n")
     found = materialize(linked(met(a.join(b, (F.col("a.k") == F.col("b.k")) & one_way & sized).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))), texts), "found")
     sweep(texts.sparkSession, shared)
-    edges = found.unionByName(first) if first is not None else found
-    edges = edges.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    edges = found.unionByName(first).select(F.col("node").alias("a"), F.col("label").alias("b"))
     copies = signed.join(firsts.where("copies > 1"), "key").select(F.col("id").alias("a"), F.col("first").alias("b"))
     return components(edges.unionByName(copies)).select(F.col("node").alias("id"), "label")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """_row, id (unique) and block (2^BLOCK_BITS numbers), in a table whose buckets hold whole blocks: what is known by
+    block joins it without moving a text."""
+    rows = pack(docs).withColumn("id", F.monotonically_increasing_id()).withColumn("block", F.shiftright("id", BLOCK_BITS))
+    spark = docs.sparkSession
+    name, path = f"numbered_{uuid.uuid4().hex}", fresh_path(spark, "numbered")
+    buckets = min(MAX_BUCKETS, max(8, docs.count() // BUCKET_ROWS))
+    held = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")  # a task has one bucket or a few: no sort for them
+    try:
+        rows.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    finally:
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", held)
+    return spark.table(name)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows: numbered(); gone: id -> the other rows. The ids meet them as one bitmap a block, into which only the ids are shuffled."""
+    bits = gone.select(F.shiftright("id", BLOCK_BITS).alias("block"), F.col("id").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("at"))
+    bits = bits.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    at = F.col("id").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    on = byte.bitwiseAND(F.expr("shiftleft(1, cast(id & 7 as int))")) != 0
+    return rows.join(bits.hint("shuffle_hash"), "block", "left").where(F.col("bits").isNull() | ~on)
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row of each component, the one with the smallest key; a null key comes last."""
-    rows = materialize(pack(docs).withColumn("id", F.monotonically_increasing_id()), "numbered")
+    rows = numbered(docs)
     found = materialize(near_copies(rows.select("id", F.col("_row").getField(text).alias("text")), hot), "near-copies")
     who = F.col("_row").getField(key)
     named = found.join(rows.select("id", F.struct(who.isNull().alias("none"), who.alias("key"), F.col("id").alias("row")).alias("who")), "id")
     best = named.groupBy("label").agg(F.min("who").alias("least"))
-    gone = materialize(named.join(best, "label").where(F.col("id") != F.col("least.row")).select("id"), "dropped")
-    return unpack(rows.join(gone.hint("merge"), "id", "left_anti"))
+    gone = salted_join(named, best, "label", F.col("id"), "inner").where(F.col("id") != F.col("least.row")).select("id")
+    return unpack(without(rows, materialize(gone, "dropped")))

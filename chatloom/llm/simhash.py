@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm.arrow import map_texts
-from chatloom.llm.common import materialize, pack, unpack
+from chatloom.llm.common import materialize
 from chatloom.llm.components import components
 from chatloom.operators.skew import salted_join
 
@@ -43,19 +43,24 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 1 << 15
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The signed 64-bit SimHash of a text in UTF-8: a bit is 1 if it is set in over half the shingles' XXH64."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a text in UTF-8, repeats included; of a text without words, none."""
     words = (text or b"").translate(LOWER).split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.dtype("<u8"), n)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)] if words else [])
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.dtype("<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash: a bit is 1 if it is set in over half the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
+    for at in range(0, len(hashes), BLOCK):
         part = hashes[at : at + BLOCK]
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -128,23 +133,18 @@ def link_classes(distinct: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> D
     return components(edges).select(F.col("node").alias("fp"), "label")
 
 
+def least_of_class(distinct: DataFrame, labels: DataFrame) -> DataFrame:
+    """distinct: fp, rep; labels: fp, label -> fp, least: the smallest rep of the fingerprints of its component."""
+    whole = distinct.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "rep")
+    least = whole.groupBy("label").agg(F.min("rep").alias("least"))
+    return salted_join(whole, least, "label", F.col("fp"), "inner").select("fp", "least")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """One row per document: key, fingerprint (16 hex digits), component_id (the smallest key it reaches)."""
     prints = materialize(fingerprints(docs, key, shingle), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("rep")), "distinct")
     labels = link_classes(distinct.select("fp"), bits)
-    whole = distinct.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "rep")
-    ids = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = whole.join(ids, "label").select("fp", "component_id")
+    of = least_of_class(distinct, labels).withColumnRenamed("least", "component_id")
     found = salted_join(prints, of, "fp", F.col(key), "inner")
     return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component, the one with the smallest key; a null key comes last. Rows are told apart by a number of their own."""
-    rows = materialize(pack(docs).withColumn("id", F.monotonically_increasing_id()), "numbered")
-    who = F.col("_row").getField(key)
-    found = near_duplicates(rows.select("id", F.col("_row").getField("text").alias("text")), "id", shingle, bits).select("id", "component_id")
-    named = found.join(rows.select("id", F.struct(who.isNull().alias("none"), who.alias("key"), F.col("id").alias("row")).alias("who")), "id")
-    ids = materialize(named.groupBy("component_id").agg(F.min("who").alias("least")).select(F.col("least.row").alias("id")), "kept-ids")
-    return unpack(rows.join(ids.hint("merge"), "id", "left_semi"))  # the ids grow with the documents: no broadcast at any size

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm import line_dedup, mixing, near_copies, pieces, quality_rules
-from chatloom.llm.common import materialize, table
+from chatloom.llm.common import MADE, delete, materialize, release, table
 from chatloom.llm.queries import PIECES
 
 
@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word Jaccard similarity 0.8 or more stays."""
+    """One document of each component of SimHash near-duplicates, of five-word Jaccard similarity 0.8 or more, stays."""
     return near_copies.keep_one(docs)
 
 
@@ -58,7 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. Each stage's result is written, and what it was made from is removed then."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        since = len(MADE)
         docs = materialize(stage(spark, docs, sf_dir), name)
+        now = MADE[-1]
+        release(spark, since, keep=[now])
+        if before:
+            delete(spark, before)
+        before = now
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -228,8 +228,9 @@ def test_simhash(spark, odd, empty, docs):
     got = {tuple(r) for r in simhash.near_duplicates(df).collect()}
     assert got == brute_groups([(i, brute_print(t)) for i, t in rows])
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_one(odd)
+    kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(["0", "3", "4", "5", "6", "7", "-9", "None"])
+    assert near_copies.keep_one(empty).count() == 0
 
 
 @pytest.mark.parametrize("hot", [2, 64])
@@ -296,11 +297,10 @@ def test_near_duplicate_stage(spark, docs, hot):
     assert {r.doc_id for r in kept.collect()} == set(want)
 
 
-@pytest.mark.parametrize("keep", [simhash.keep_one, near_copies.keep_one])
-def test_keep_one_by_rows(spark, keep):
+def test_keep_one_by_rows(spark):
     one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "xyz")
     rows = [(1, one), (1, two), (2, one), (None, three), (None, three), (None, two), (5, None)]
-    got = keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, one), (1, two), (None, three), (5, None)]))
 
 
@@ -414,6 +414,39 @@ def test_fold(spark):
     assert chat_format.fold(df.limit(0)).count() == 0
 
 
+def test_fold_by_replay(spark):
+    """Random logs against a replay of their events one by one."""
+    rng = np.random.default_rng(9)
+    log = []
+    for c in range(30):
+        for n in rng.permutation(60).tolist():
+            log.append((c, int(rng.integers(0, 4)), n, str(rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate"])), str(rng.choice(["user", "assistant"])), str(rng.integers(0, 99))))
+    want = {}
+    for c, m, _, kind, role, text in sorted(log):
+        done = want.setdefault(c, {}).setdefault(m, [])
+        if kind == "message" or not done:
+            done.append([role, "" if kind == "regenerate" else text])
+        else:
+            done[-1][1] = done[-1][1] + text if kind == "delta" else text if kind == "edit" else ""
+    df = spark.createDataFrame(log, "conv_id long, msg long, seq long, kind string, role string, text string")
+    got = {r.conv_id: [list(m) for m in r.messages] for r in chat_format.fold(df).collect()}
+    assert got == {c: [x for m in sorted(ms) for x in ms[m]] for c, ms in want.items()}
+
+
+def test_events(spark):
+    """Rows come back from their events: odd texts, repeated rows and turns, null ids."""
+    texts = [None, "", "a", "ab", "abc", "é\U0001f600日", "x" * 1001, "<|im_end|>\\"]
+    rows = [(c, t % 3, "user", x) for c in (1, 2, None) for t, x in enumerate(texts)] + [(7, 0, "user", "same")] * 3 + [(7, None, None, "b"), (7, None, None, "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = chat_format.as_events(df)
+    assert {r.kind for r in events.where("conv_id = 7").collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r.conv_id: [tuple(m) for m in r.messages] for r in chat_format.fold(events).collect()}
+    for c in (1, 2, None, 7):
+        key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+        assert got[c] == [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)]
+    assert chat_format.fold(chat_format.as_events(df.limit(0))).count() == 0
+
+
 def test_render(spark):
     nasty = ["", "<|im_end|>", "<\\|im_start|>", "<\\\\|", "\\", "a\n<|im_start|>assistant\nb", "<<||>>", "\n", "é\U0001f600", "<\\n>", "\\<|"]
     rows = [(i, 0, 0, "message", r, t) for i, t in enumerate(nasty) for r in ("user",)] + [(i, 1, 1, "message", "assistant", t) for i, t in enumerate(nasty)] + [(i, 2, 2, "message", t, "end") for i, t in enumerate(nasty)]
