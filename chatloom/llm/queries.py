@@ -60,9 +60,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = materialize(docs.select("doc_id", "source", mixing.row_hash(F.col("doc_id")).alias("h"), mixing.count_words(F.col("text")).alias("size")), "mix-docs")
+    rows = materialize(docs.select("doc_id", "source", mixing.row_hash(F.col("doc_id"), F.col("text")).alias("h"), mixing.count_words(F.col("text")).alias("size")), "mix-docs")
     plan = mixing.mix_plan(rows)
-    taken = mixing.join_plan(rows.withColumnRenamed("h", "_h"), plan)
+    taken = mixing.join_plan(rows, plan)
     return taken.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_times")).alias("taken"), F.col("_times").cast("long").alias("times"))
 
 
@@ -141,7 +141,7 @@ SELECT doc_id, cleaned AS text, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS
 
 _OP9 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 3 * source_size AS cap, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w FROM s),
 a AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w,

@@ -394,8 +394,68 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def brute_mix(rows, weights=(5, 2, 1)):
+    """(id, text, source) -> how often each row is taken, by sorting; and the sources' targets."""
+    from fractions import Fraction
+
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(words(t))
+    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    capped, total = set(), sum(size.values())
+    while True:
+        rest_w = sum(w[s] for s in names if s not in capped)
+        level = Fraction(total - sum(3 * size[s] for s in capped), rest_w) if rest_w else 0
+        more = {s for s in names if s not in capped and 3 * size[s] <= level * w[s]}
+        if not more:
+            break
+        capped |= more
+    target = {s: Fraction(3 * size[s]) if s in capped else level * w[s] for s in names}
+    times = []
+    hashes = [int(hashlib.md5(f"{'' if i is None else i}|{t or ''}".encode()).hexdigest()[:15], 16) for i, t, _ in rows]
+    cut = {}
+    for s in names:
+        whole = min(3, target[s] // size[s]) if size[s] else 0
+        by, at = Counter(), Fraction(0)
+        for h, (_, t, src) in zip(hashes, rows, strict=True):
+            if src == s:
+                by[h] += len(words(t))
+        budget, below = target[s] - whole * size[s], -1
+        for h in sorted(by):
+            if at >= budget or at + by[h] - budget >= budget - at and at + by[h] > budget:
+                break
+            at, below = at + by[h], h
+        cut[s] = (whole, below)
+    for h, (_, _, s) in zip(hashes, rows, strict=True):
+        times.append(min(3, cut[s][0] + (h <= cut[s][1])))
+    return times, target
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_mixing_by_sorting(spark, monkeypatch, broadcast):
+    """Against brute force, with more sources than are broadcast, equal and null ids, and a source of one row's copies."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), "w " * int(rng.integers(1, 9)), f"s{int(rng.integers(0, 300)) ** 2 // 300}") for i in range(1500)]
+    rows += [(None, f"w{i} " * 3, None) for i in range(90)] + [(1, f"v{i}", "one id") for i in range(90)] + [(5, "copy", "z")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times, target = brute_mix(rows)
+    got = mixing.mix(df).collect()
+    assert Counter((r.doc_id, r.text, r.source, r._times) for r in got) == Counter((*r, int(n)) for r, n in zip(rows, times, strict=True))
+    assert all(r._target == pytest.approx(float(target[r.source])) for r in got)
+
+
+def test_many_sources(spark):
+    """More sources than the engine broadcasts: targets are whole, and none above its cap."""
+    df = spark.range(200_000).select(F.concat(F.lit("host"), "id").alias("source"), (1 + F.col("id") % 50).alias("source_size"))
+    t = mixing.targets(df)
+    total, dealt, over, n = t.agg(F.sum("source_size"), F.sum("target"), F.max(F.col("target") - 3 * F.col("source_size")), F.count("*")).first()
+    assert n == 200_000 and dealt == pytest.approx(total) and over <= 1e-6
+
+
 def test_nested_thresholds(spark):
-    rows = spark.range(2000).select(F.lit("s").alias("source"), mixing.row_hash(F.col("id")).alias("h"), (F.col("id") % 9).alias("size"))
+    rows = spark.range(2000).select(F.lit("s").alias("source"), mixing.row_hash(F.col("id"), F.lit("")).alias("h"), (F.col("id") % 9).alias("size"))
     budgets = spark.createDataFrame([("s", "small", 100.0), ("s", "large", 3000.0), ("s", "all", 9e9), ("s", "none", 0.0)], "source string, name string, budget double")
     cut = {r.name: r.threshold for r in mixing.thresholds(rows, budgets).collect()}
     taken = {k: rows.where(F.col("h") < v).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] for k, v in cut.items()}
