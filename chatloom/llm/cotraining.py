@@ -2,20 +2,28 @@
 
 The text view sees hashed words and the shape of the text; the metadata view sees the
 source, the language and the recorded length. Each view's classifier is fitted to the
-labelled rows; over some rounds each then labels the unlabelled rows that it is surest
-about, for the other view to learn from. Both are calibrated on held-out labelled rows
-and combined by weights fitted there. All documents are then scored in one pass,
-without a shuffle of texts.
+labelled rows; over some rounds each then labels all the rows that it is sure about, for the
+other view to learn from. Both are calibrated on held-out labelled rows and combined by
+weights fitted there, and all documents are scored.
 
-Bounds: the classifiers are fitted to at most MAX_LABELLED labelled rows and MAX_POOL
-unlabelled rows, those with the smallest hashes of their ids; their features, never
-their texts, go to the driver. All else covers all rows.
+Every round scores every document that isn't fitted to, on the executors. The confident
+ones of a view are summed by their pseudo-label and a hash of their source into CELLS
+cells for each label; the cells' counts and mean features go to the driver, whose number
+doesn't grow with the documents, and the other view is fitted to the labelled rows and to
+the means by their counts. So each confident document has its part, whatever their number.
+
+Bound: the labelled rows fitted to are MAX_LABELLED at most, those with the smallest hashes
+of their ids; their features, never their texts, go to the driver. Labelled rows beyond
+that are documents like any other.
+
+Features are taken from the texts once, into a table in the shared folder.
 
 Cases: a null text is empty; null or unseen sources and languages and null lengths
 have buckets of their own. A document with several labels takes their majority, ties
 to 1; null labels don't count. With no label, or labels of one class only, every score
-is the smoothed share of that class (0.5 without labels). Repeated rows are scored one by
-one, and fitted as one; an empty table gives no rows. Extra columns are ignored.
+is the smoothed share of that class (0.5 without labels). Repeated rows are scored and
+pseudo-labelled one by one; rows that repeat a labelled id are fitted as one. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,36 +38,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED, MAX_POOL = 4000, 4000
+from chatloom.llm.common import materialize
+
+MAX_LABELLED = 4000
 BUCKETS = 2048
 SHAPE = 8
 META_BUCKETS = 512
 LENGTHS = 24
-ROUNDS, PER_ROUND = 4, 200
-#: A pseudo-label needs so much confidence.
-CONFIDENT = 0.9
+ROUNDS = 4
+#: A pseudo-label needs so much confidence, and weighs so much beside a label; all together weigh so much beside all labels.
+CONFIDENT, PSEUDO_WEIGHT, PSEUDO_SHARE = 0.9, 0.5, 0.5
+#: Cells of confident documents for each label, by source.
+CELLS = 32
 KEEP = 0.5
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 1 << 16
 
 
-def text_features(text: bytes | None) -> np.ndarray:
-    """BUCKETS hashed word weights of length 1 together, then SHAPE numbers about the text's form, float32."""
+def text_counts(text: bytes | None) -> tuple[bytes, bytes, bytes]:
+    """The buckets of a text's words and how many words each has (both <u2, counts to 65535), and SHAPE numbers about its form (<f4)."""
     raw = (text or b"")
     words = raw.translate(LOWER).split()
     counts = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(words), BLOCK):
         part = words[at : at + BLOCK]
         counts += np.bincount(np.fromiter(map(zlib.crc32, part), np.int64, len(part)) & BUCKETS - 1, minlength=BUCKETS)
-    out = np.zeros(BUCKETS + SHAPE, np.float32)
-    out[:BUCKETS] = np.log1p(counts)
-    out[:BUCKETS] /= max(1e-6, float(np.sqrt((out[:BUCKETS] ** 2).sum())))
     n, size = len(words), max(1, len(raw))
     symbols = size - len(raw.translate(None, b"#*$%&|<>{}[]=_@"))
     digits = size - len(raw.translate(None, b"0123456789"))
     capitals = size - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     lines = raw.split(b"\n")
-    out[BUCKETS:] = (
+    shape = (
         math.log1p(n) / 10,
         len(raw) / max(1, n) / 10,
         len(set(words)) / max(1, n),
@@ -69,7 +78,53 @@ def text_features(text: bytes | None) -> np.ndarray:
         len(set(lines)) / len(lines),
         float(n < 10),
     )
-    return out
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes(), np.minimum(counts[at], 65535).astype("<u2").tobytes(), np.array(shape, "<f4").tobytes()
+
+
+class TextRows:
+    """The text view of some rows: hashed word weights of length 1 together, then SHAPE numbers; kept sparse."""
+
+    def __init__(self, buckets: list[bytes], counts: list[bytes], shapes: list[bytes]) -> None:
+        self.n = np.array([len(b) // 2 for b in buckets], np.int64)
+        self.row = np.repeat(np.arange(len(buckets)), self.n)
+        self.at = np.frombuffer(b"".join(buckets), "<u2").astype(np.int64)
+        value = np.log1p(np.frombuffer(b"".join(counts), "<u2").astype(np.float64))
+        length = np.sqrt(np.bincount(self.row, value * value, len(buckets)))
+        self.value = (value / np.maximum(length, 1e-6)[self.row]).astype(np.float32)
+        self.shape = np.frombuffer(b"".join(shapes), "<f4").reshape(-1, SHAPE)
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.at], len(self.n)) + self.shape @ w[BUCKETS:-1] + w[-1]
+
+    def sums(self, cell: np.ndarray, cells: int) -> np.ndarray:
+        """Sums of the rows' features by cell; rows with a negative cell are left out."""
+        out = np.zeros((cells, BUCKETS + SHAPE))
+        on = cell >= 0
+        held = on[self.row]
+        out[:, :BUCKETS] = np.bincount(cell[self.row[held]] * BUCKETS + self.at[held], self.value[held], cells * BUCKETS).reshape(cells, BUCKETS)
+        np.add.at(out[:, BUCKETS:], cell[on], self.shape[on])
+        return out
+
+    def dense(self) -> np.ndarray:
+        return self.sums(np.arange(len(self.n)), len(self.n)).astype(np.float32)
+
+
+class MetaRows:
+    """The metadata view of some rows: three features each that are one."""
+
+    def __init__(self, buckets: np.ndarray) -> None:
+        self.at = buckets.reshape(-1, 3).astype(np.int64)
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        return w[self.at].sum(axis=1) + w[-1]
+
+    def sums(self, cell: np.ndarray, cells: int) -> np.ndarray:
+        on = cell >= 0
+        return np.bincount((cell[on][:, None] * META + self.at[on]).ravel(), minlength=cells * META).reshape(cells, META).astype(np.float64)
+
+    def dense(self) -> np.ndarray:
+        return self.sums(np.arange(len(self.at)), len(self.at)).astype(np.float32)
 
 
 def meta_buckets(source: str | None, lang: str | None, length: int | None) -> tuple[int, int, int]:
@@ -119,109 +174,162 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(self.mix[0] * a + self.mix[1] * b + self.mix[2])
 
 
-def one_hot(buckets: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(buckets), META), np.float32)
-    np.put_along_axis(x, buckets, 1, axis=1)
-    return x
-
-
 def constant(share: float) -> Model:
     logit = math.log(share / (1 - share))
     return Model(np.zeros(BUCKETS + SHAPE + 1), np.zeros(META + 1), (1.0, logit), (1.0, logit), (0.5, 0.5, 0.0))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
-    """Labelled rows of both views with labels y, and unlabelled rows. The last fifth of the labelled rows calibrates."""
-    if len(set(y.tolist())) < 2:
-        return constant((y.sum() + 1) / (len(y) + 2))
-    held = np.arange(len(y)) % 5 == 4
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(y), bool)
-    train = ~held
-    views = [(text, pool_text), (one_hot(meta), one_hot(pool_meta))]
-    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has got from the other
-    share = y[train].mean()
-
-    def learn(i: int) -> np.ndarray:
-        x, pool = views[i]
-        rows = list(given[i])
-        xs = np.concatenate([x[train], pool[rows]]) if rows else x[train]
-        ys = np.r_[y[train], [given[i][r] for r in rows]]
-        return fit(xs, ys, np.r_[np.ones(train.sum()), np.full(len(rows), 0.5)])
-
-    w = [learn(0), learn(1)]
-    for _ in range(rounds if len(pool_text) else 0):
-        for i in (0, 1):
-            p = sigmoid(views[i][1] @ w[i][:-1].astype(np.float32) + w[i][-1])
-            other = given[1 - i]
-            for label, sure, n in ((1.0, p, round(per_round * share)), (0.0, 1 - p, per_round - round(per_round * share))):
-                fresh = [r for r in np.argsort(-sure, kind="stable") if r not in other and sure[r] >= CONFIDENT][:n]
-                other |= {int(r): label for r in fresh}
-        w = [learn(0), learn(1)]
-    on = held if held.any() else train
-    logits = [views[i][0][on] @ w[i][:-1].astype(np.float32) + w[i][-1] for i in (0, 1)]
-    cal = [fit(z[:, None].astype(np.float32), y[on], np.ones(on.sum()), l2=1e-4, steps=500) for z in logits]
-    both = np.stack([c[0] * z + c[1] for c, z in zip(cal, logits, strict=True)], axis=1).astype(np.float32)
-    mix = fit(both, y[on], np.ones(on.sum()), l2=1e-3, steps=500)
-    return Model(w[0], w[1], tuple(map(float, cal[0])), tuple(map(float, cal[1])), tuple(map(float, mix)))
+def confident(logits: np.ndarray, meta: MetaRows) -> np.ndarray:
+    """The cell of each row that a view is sure about, by pseudo-label and source; -1 for the others."""
+    p = sigmoid(logits)
+    cell = meta.at[:, 0] % CELLS + np.where(p >= 0.5, CELLS, 0)
+    return np.where(np.maximum(p, 1 - p) >= CONFIDENT, cell, -1)
+
+
+@dataclass
+class Labelled:
+    """The rows that are fitted to: dense features of both views, labels, and which rows are held out to calibrate."""
+
+    views: tuple[np.ndarray, np.ndarray]
+    y: np.ndarray
+    held: np.ndarray
+
+    @classmethod
+    def of(cls, text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> Labelled:
+        held = np.arange(len(y)) % 5 == 4  # the last of each five
+        if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+            held = np.zeros(len(y), bool)
+        return cls((text, meta), y, held)
+
+    def learn(self, view: int, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """The view's weights, from the labelled rows and from what the other view is sure about: rows and sums of features by cell.
+
+        The classes' weights among the pseudo-labels follow the labels' shares.
+        """
+        train = ~self.held
+        y, share = self.y[train], self.y[train].mean()
+        label = (np.arange(2 * CELLS) >= CELLS).astype(float)
+        weight = np.zeros(2 * CELLS)
+        for value, part in ((0.0, 1 - share), (1.0, share)):
+            of = label == value
+            if (n := counts[of].sum()) > 0:
+                weight[of] = counts[of] / n * min(PSEUDO_SHARE * len(y) * part, PSEUDO_WEIGHT * n)
+        on = weight > 0
+        means = sums[on] / counts[on][:, None]
+        return fit(np.concatenate([self.views[view][train], means]).astype(np.float32), np.r_[y, label[on]], np.r_[np.ones(len(y)), weight[on]])
+
+    def calibrated(self, w: list[np.ndarray]) -> Model:
+        on = self.held if self.held.any() else ~self.held
+        y, ones = self.y[on], np.ones(on.sum())
+        logits = [self.views[i][on] @ w[i][:-1].astype(np.float32) + w[i][-1] for i in (0, 1)]
+        cal = [fit(z[:, None].astype(np.float32), y, ones, l2=1e-4, steps=500) for z in logits]
+        both = np.stack([c[0] * z + c[1] for c, z in zip(cal, logits, strict=True)], axis=1).astype(np.float32)
+        return Model(w[0], w[1], tuple(map(float, cal[0])), tuple(map(float, cal[1])), tuple(map(float, fit(both, y, ones, steps=500))))
 
 
 COLUMNS = ("text", "source", "lang", "n_chars")
+#: Rows that are held as Python objects at once.
+STEP = 256
 
 
-def inputs(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("binary"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id and the features of every row, in the shared folder: wb, wc (words), sh (shape), mb (metadata)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                words = zip(*(text_counts(t) for t in part.column(1).to_pylist()), strict=True)
+                meta = [np.array(meta_buckets(*r), "<i4").tobytes() for r in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.binary()) for c in (*words, meta)]], ["doc_id", "wb", "wc", "sh", "mb"])
 
-def buckets_of(part: pa.RecordBatch) -> list[tuple[int, int, int]]:
-    return [meta_buckets(*r) for r in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+    inputs = docs.select("doc_id", F.col("text").cast("binary"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+    return materialize(inputs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, wb binary, wc binary, sh binary, mb binary"), "features")
 
 
-def gather(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the rows whose ids (MAX_LABELLED + MAX_POOL at most, with label y or null) are given, in order of hash."""
+def views(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[tuple[pa.RecordBatch, TextRows, MetaRows]]:
+    """Parts of batches with their two views; the columns wb, wc, sh and mb stand from ``first`` on."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            wb, wc, sh, mb = (part.column(first + i).to_pylist() for i in range(4))
+            yield part, TextRows(wb, wc, sh), MetaRows(np.frombuffer(b"".join(mb), "<i4"))
+
+
+def pseudo_labels(rows: DataFrame, fitted: DataFrame, w: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view: counts and feature sums, by cell, of what the other view is sure about among all rows that aren't fitted to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                text = [text_features(t).tobytes() for t in part.column(1).to_pylist()]
-                meta = np.array(buckets_of(part), "<i4").reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), pa.array(text, pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], ["doc_id", "y", "t", "m"])
-
-    # one row for an id that repeats, so what is gathered stays bounded
-    row = F.struct(*[F.coalesce(F.col(c).isNull(), F.lit(True)).alias(f"{c}_null") for c in COLUMNS], *COLUMNS)
-    picked = inputs(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(row).alias("r")).select("doc_id", *[F.col("r")[c].alias(c) for c in COLUMNS], "y")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = picked.mapInArrow(run, f"doc_id {kind}, y double, t binary, m binary").toArrow().combine_chunks()
-    order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in rows["doc_id"].to_pylist()]), kind="stable") if rows.num_rows else []
-    stack = lambda c, kind, width: np.array([np.frombuffer(b, kind) for b in rows[c].to_pylist()], kind).reshape(-1, width)[order]
-    return stack("t", "<f4", BUCKETS + SHAPE), stack("m", "<i4", 3).astype(np.int64), rows["y"].to_numpy(zero_copy_only=False).astype(np.float64)[order] if rows.num_rows else np.zeros(0)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
-    """labels: doc_id, quality (0/1)."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    labelled = ids.join(known, "doc_id").orderBy(*first).limit(max_labelled)
-    pool = ids.join(known, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("double").alias("y")).orderBy(*first).limit(max_pool)
-    text, meta, y = gather(docs, labelled.unionByName(pool))
-    on = ~np.isnan(y)
-    return co_train(text[on], meta[on], y[on], text[~on], meta[~on])
+        counts = [np.zeros(2 * CELLS) for _ in w]
+        sums = [np.zeros((2 * CELLS, BUCKETS + SHAPE)), np.zeros((2 * CELLS, META))]
+        for part, *xs in views(batches, 0):
+            keep = np.array([f is None for f in part.column(4).to_pylist()])
+            for i, x in enumerate(xs):
+                cell = np.where(keep, confident(xs[1 - i].logits(w[1 - i]), xs[1]), -1)
+                counts[i] += np.bincount(cell[cell >= 0], minlength=2 * CELLS)
+                sums[i] += x.sums(cell, 2 * CELLS)
+        for i in (0, 1):
+            for c in np.flatnonzero(counts[i]):
+                at = np.flatnonzero(sums[i][c])
+                some = [pa.array([i] * (len(at) + 1), pa.int32()), pa.array([int(c)] * (len(at) + 1), pa.int32()), pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[counts[i][c], sums[i][c][at]])]
+                yield pa.RecordBatch.from_arrays(some, ["view", "cell", "at", "x"])
+
+    left = rows.join(F.broadcast(fitted.select("doc_id", F.lit(True).alias("fitted"))), "doc_id", "left")
+    found = left.select("wb", "wc", "sh", "mb", "fitted").mapInArrow(run, "view int, cell int, at int, x double")
+    # sums of whole numbers and of float32 features: the same in any order but for rounding far below what a fit shows
+    total = found.groupBy("view", "cell", "at").agg(F.sum("x").alias("x")).toArrow()
+    view, cell, at, x = (total[c].to_numpy() for c in ("view", "cell", "at", "x"))
+    out = []
+    for i, width in enumerate((BUCKETS + SHAPE, META)):
+        counts, sums = np.zeros(2 * CELLS), np.zeros((2 * CELLS, width))
+        n, f = (view == i) & (at < 0), (view == i) & (at >= 0)
+        counts[cell[n]] = x[n]
+        sums[cell[f], at[f]] = x[f]
+        out.append((counts, sums))
+    return out
+
 
+def gather(rows: DataFrame, labelled: DataFrame) -> Labelled | None:
+    """Features of the labelled rows (MAX_LABELLED ids at most), in order of a hash; of rows that repeat an id, the least one."""
+    row = F.struct("wb", "wc", "sh", "mb")
+    picked = rows.join(F.broadcast(labelled), "doc_id").groupBy("doc_id", "y").agg(F.min(row).alias("r")).select("doc_id", "y", "r.*").toArrow()
+    if not picked.num_rows:
+        return None
+    order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in picked["doc_id"].to_pylist()]), kind="stable")
+    column = lambda c: [b for b in picked[c].take(pa.array(order)).to_pylist()]
+    text, meta = TextRows(column("wb"), column("wc"), column("sh")), MetaRows(np.frombuffer(b"".join(column("mb")), "<i4"))
+    return Labelled.of(text.dense(), meta.dense(), np.array(column("y"), np.float64))
 
-def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
-    """doc_id, p_text, p_meta, score (both views), kept: score >= keep."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def train(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
+    """rows: features() of the documents. labels: doc_id, quality (0/1)."""
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
+    ids = rows.select("doc_id").where("doc_id is not null").distinct()
+    fitted = materialize(ids.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
+    held = gather(rows, fitted)
+    if held is None or len(set(held.y.tolist())) < 2:
+        n, ones = (0, 0) if held is None else (len(held.y), held.y.sum())
+        return constant((ones + 1) / (n + 2))
+    given = [(np.zeros(2 * CELLS), np.zeros((2 * CELLS, width))) for width in (BUCKETS + SHAPE, META)]
+    w = [held.learn(i, *given[i]) for i in (0, 1)]
+    for _ in range(rounds):
+        given = pseudo_labels(rows, fitted, w)
+        w = [held.learn(i, *given[i]) for i in (0, 1)]
+    return held.calibrated(w)
+
+
+def score(rows: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
+    """rows: features() -> doc_id, p_text, p_meta, score (both views), kept: score >= keep."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = model.text[:-1].astype(np.float32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                text = np.array([text_features(t) @ w for t in part.column(1).to_pylist()]) + model.text[-1]
-                meta = model.meta[:-1][np.array(buckets_of(part)).reshape(-1, 3)].sum(axis=1) + model.meta[-1]
-                a, b, both = model.scores(text, meta)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= keep)], ["doc_id", "p_text", "p_meta", "score", "kept"])
-
-    return inputs(docs).mapInArrow(run, f"doc_id {kind}, p_text double, p_meta double, score double, kept boolean")
+        for part, text, meta in views(batches, 1):
+            a, b, both = model.scores(text.logits(model.text), meta.logits(model.meta))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= keep)], ["doc_id", "p_text", "p_meta", "score", "kept"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, p_text double, p_meta double, score double, kept boolean")
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """score() of all documents by train() on the labels."""
+    return score(rows := features(docs), train(rows, labels))

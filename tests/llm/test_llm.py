@@ -117,17 +117,85 @@ def test_cotraining(spark):
         rows.append((i, text, "en" if y or i % 10 == 0 else "xx", f"s{i % 3 if y else 5 + i % 3}", len(text), y))
     df = spark.createDataFrame(rows, f"{DOCS}, y int")
     labels = df.where("doc_id < 100").select("doc_id", F.col("y").alias("quality"))
-    found = cotraining.score(df, cotraining.train(df, labels)).join(df.select("doc_id", "y"), "doc_id").where("doc_id >= 100").collect()
+    found = cotraining.classify(df, labels).join(df.select("doc_id", "y"), "doc_id").where("doc_id >= 100").collect()
     assert sum(r.kept == bool(r.y) for r in found) > 0.97 * len(found)
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def replayed(docs, labels, rounds=4):
+    """Scores by dense features in one process, documents one by one. docs: (id, text, lang, source, length), ids unique."""
+
+    def text_row(t):
+        w, raw = words((t or "").translate({c: c + 32 for c in range(65, 91)})), (t or "").encode()
+        x = np.zeros(2056)
+        for b, n in Counter(zl(v) % 2048 for v in w).items():
+            x[b] = math.log1p(n)
+        x /= max(1e-6, math.sqrt((x * x).sum()))
+        lines, size = raw.split(b"\n"), max(1, len(raw))
+        share = lambda chars: 10 * min(1.0, (size - len(raw) + sum(c in chars for c in raw)) / size)
+        x[2048:] = [math.log1p(len(w)) / 10, len(raw) / max(1, len(w)) / 10, len(set(w)) / max(1, len(w)), share(b"#*$%&|<>{}[]=_@"), share(b"0123456789"), share(bytes(range(65, 91))), len(set(lines)) / len(lines), len(w) < 10]
+        return x.astype(np.float32)
+
+    def meta_row(lang, source, n):
+        x = np.zeros(cotraining.META, np.float32)
+        x[list(cotraining.meta_buckets(source, lang, n))] = 1
+        return x
+
+    x = [np.array([text_row(d[1]) for d in docs]), np.array([meta_row(*d[2:]) for d in docs])]
+    order = sorted((zl(str(d[0]).encode()), i) for i, d in enumerate(docs) if d[0] in labels)
+    rows = [i for _, i in order]
+    y = np.array([labels[docs[i][0]] for i in rows], float)
+    train, held = [i for i in range(len(rows)) if i % 5 != 4], [i for i in range(len(rows)) if i % 5 == 4]
+    pool = sorted(set(range(len(docs))) - set(rows))
+    share = y[train].mean()
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    given = [{}, {}]
+    for n in range(rounds + 1):
+        w = []
+        for v in (0, 1):
+            groups = defaultdict(list)
+            for i, label in given[v].items():
+                groups[label, cotraining.meta_buckets(docs[i][3], docs[i][2], docs[i][4])[0] % 32].append(i)
+            total = Counter(given[v].values())
+            xs, ys, weight = [x[v][rows[t]] for t in train], list(y[train]), [1.0] * len(train)
+            for label, cell in sorted(groups):
+                members, part = groups[label, cell], share if label else 1 - share
+                xs.append(x[v][members].astype(float).mean(axis=0))
+                ys.append(label)
+                weight.append(len(members) / total[label] * min(0.5 * len(train) * part, 0.5 * total[label]))
+            w.append(cotraining.fit(np.array(xs, np.float32), np.array(ys), np.array(weight)))
+        if n < rounds:
+            p = [sig(x[v] @ w[v][:-1] + w[v][-1]) for v in (0, 1)]
+            given = [{i: float(p[1 - v][i] >= 0.5) for i in pool if max(p[1 - v][i], 1 - p[1 - v][i]) >= 0.9} for v in (0, 1)]
+    on = np.array(rows)[held]
+    z = [x[v][on].astype(np.float32) @ w[v][:-1].astype(np.float32) + w[v][-1] for v in (0, 1)]
+    cal = [cotraining.fit(a[:, None].astype(np.float32), y[held], np.ones(len(held)), l2=1e-4, steps=500) for a in z]
+    mix = cotraining.fit(np.stack([c[0] * a + c[1] for c, a in zip(cal, z, strict=True)], axis=1).astype(np.float32), y[held], np.ones(len(held)), steps=500)
+    both = [c[0] * (x[v] @ w[v][:-1] + w[v][-1]) + c[1] for v, c in enumerate(cal)]
+    return {d[0]: s for d, s in zip(docs, sig(mix[0] * both[0] + mix[1] * both[1] + mix[2]), strict=True)}, [len(g) for g in given]
+
+
+def zl(b):
+    import zlib
+
+    return zlib.crc32(b)
+
+
+def test_cotraining_replay(spark, docs):
+    """The whole small table against a replay of the rounds in one process."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs]
+    want, sure = replayed(rows, {r.doc_id: r.quality for r in labels.collect()})
+    assert min(sure) > 0  # both views have labelled documents for the other
+    got = {r.doc_id: r.score for r in cotraining.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-4) for i in want)
+
+
 def test_cotraining_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, None), (4, 0), (None, 1), (99, 0)], "doc_id long, quality int")
-    assert cotraining.score(odd, cotraining.train(odd, labels)).count() == len(ODD)
-    none = cotraining.train(odd, labels.where("false"))
-    assert {r.score for r in cotraining.score(odd, none).collect()} == {0.5}
-    assert cotraining.score(empty, cotraining.train(empty, labels)).count() == 0
+    assert cotraining.classify(odd, labels).count() == len(ODD)
+    assert {r.score for r in cotraining.classify(odd, labels.where("false")).collect()} == {0.5}
+    assert cotraining.classify(empty, labels).count() == 0
 
 
 # 3
