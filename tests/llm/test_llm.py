@@ -377,27 +377,61 @@ def test_keep_one_by_rows(spark):
 
 def test_token_counts(spark, odd, empty, tmp_path):
     enc = token_counts.encoding(queries.RANKS)
-    rows = odd.where("doc_id is not null")
-    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_documents(rows, queries.RANKS).collect())
-    assert got == Counter((r[0], len(enc.encode_ordinary(r[1] or ""))) for r in ODD if r[0] is not None)
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_documents(odd, queries.RANKS).collect())
+    assert got == Counter((r[0], len(enc.encode_ordinary(r[1] or ""))) for r in ODD)
     assert token_counts.count_documents(empty, queries.RANKS).count() == 0
-    rng = np.random.default_rng(2)
-    for n, block in ((0, 4), (1, 4), (64, 4), (1000, 7), (1000, 1 << 20)):
-        tokens = rng.choice([5, 6, 9], n, p=[0.5, 0.3, 0.2]).astype("<u2")
-        path = tmp_path / f"{n}-{block}"
+
+
+def brute_counts(tokens, eod, skip):
+    """(start, tokens, closed) of the documents of a file."""
+    want, at = [], 0
+    for i, t in enumerate([*tokens, None]):
+        if t == eod or t is None and i > at:
+            want.append((at, i - at - skip, t == eod))
+            at = i + 1
+    return want
+
+
+@pytest.mark.parametrize(("eod", "dtype"), [(50256, "<u2"), (0, "<u2"), (9, "<u4")])
+def test_token_files(spark, tmp_path, eod, dtype):
+    """Files of any length (a prime number of tokens), read by ranges and blocks of few bytes, with bytes that look like
+    the separator at another alignment."""
+    item, rng = np.dtype(dtype).itemsize, np.random.default_rng(2)
+    mark = np.array([eod], dtype).tobytes()
+    alphabet = [eod] + [int(np.frombuffer(bytes(x), dtype)[0]) for x in rng.choice(np.frombuffer(mark + b"\1\n", np.uint8), (9, item))]
+    for n, last in ((0, 0), (997, eod), (4099, 5)):
+        tokens = rng.choice(alphabet, n).astype(dtype)
+        tokens[-1:] = last % 256**item
+        path = tmp_path / f"{n}-{last}"
         path.mkdir()
         (path / "flat.bin").write_bytes(tokens.tobytes())
-        want, size = [], 0
-        for t in tokens.tolist():
-            if t == 9:
-                want.append((size, True))
-                size = 0
-            else:
-                size += 1
-        want += [(size, False)] if size else []
-        for whole in (1 << 30, 1):
-            found = token_counts.count_tokens(spark, str(path), eod=9, block_tokens=block, whole_bytes=whole).orderBy("start").collect()
-            assert [(r.n_tokens, r.closed) for r in found] == want
+        for size, block in (("134217728", 64), ("700", 1)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                found = token_counts.count_tokens(spark, f"file://{path}", eod, dtype, block_bytes=block).collect()
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            assert sorted((r.start, r.n_tokens, r.closed) for r in found) == brute_counts(tokens.tolist(), eod, 0), (n, last, size)
+
+
+def test_token_prologues(spark, tmp_path):
+    """Prologues across borders of blocks and ranges, with separators that they only seem to hold; null ids."""
+    rng = np.random.default_rng(6)
+    low = [0xC4 | 0x50 << 8, 0x50C4, 0x5050 & 0x7FFF]  # digits whose bytes make a separator beside one another
+    ids = [sum(int(d) << 15 * i for i, d in enumerate(rng.choice(low, 4))) for _ in range(60)] + [None, -1, 0, None, 2**63 - 1]
+    docs = [(i, rng.choice([7, 0x50C4, 0xC450 - 1, 0x5050, 0xC4C4], int(rng.integers(0, 40))).tolist()) for i in ids]
+    raw = np.array([t for i, body in docs for t in (*token_counts.prologue(i), *body, 50256)], "<u2").tobytes()
+    (tmp_path / "flat.bin").write_bytes(raw)
+    for size, block in (("134217728", 1), ("64", 1), ("333", 50)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = token_counts.count_tokens(spark, f"file://{tmp_path}", prologue_size=5, block_bytes=block).orderBy("start").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [(r.ident, r.n_tokens) for r in found] == [(i, len(body)) for i, body in docs], size
+    (tmp_path / "flat.bin").write_bytes(raw + b"x")
+    with pytest.raises(Exception, match="whole tokens"):
+        token_counts.count_tokens(spark, f"file://{tmp_path}").collect()
 
 
 # 8
