@@ -1,12 +1,11 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
 A fingerprint has 64 bits, a byte at each of 8 positions. Two fingerprints that differ
-in D bits or fewer agree in at least 8 - D positional bytes. The index posts each
-distinct fingerprint under its bytes at sets of positions: of any P positions, a pair
-that may link agrees in at least P - D, so it meets in the posting of some set of
-P - D of them. Pairs that meet are tallied (positional bytes they share), those below
-the guaranteed minimum 8 - D are left out, and the rest are verified bit by bit. P
-follows the number of fingerprints, so that postings stay short; every P finds every link.
+in D bits or fewer agree in at least P - D of any P positional bytes. The index posts each
+distinct fingerprint under its bytes at every set of S of P positions, so such a pair meets
+in at least as many postings as there are sets of S among P - D. Pairs that meet are tallied;
+those below this guaranteed minimum are left out; the rest are verified bit by bit. P and S
+follow the number of fingerprints, so that postings stay short; each setting finds every link.
 
 Copies never meet: only distinct fingerprints are posted. In a posting of more than
 HOT fingerprints, links of up to two bits are found first, through shared one-bit
@@ -22,10 +21,11 @@ id is its smallest non-null document id. Empty tables give no rows.
 from __future__ import annotations
 
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm.arrow import map_texts
@@ -72,30 +72,19 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def masks(n: int, bits: int = MAX_BITS) -> list[int]:
-    """Masks of the position sets to index ``n`` distinct fingerprints by.
+def masks(n: int, bits: int = MAX_BITS) -> tuple[list[int], int]:
+    """Masks of the position sets to index ``n`` distinct fingerprints by, and the guaranteed minimum of shared postings.
 
-    P - bits bytes make a posting key; P is the smallest for which random fingerprints
-    have fewer than about four postings' partners each, at most all 8.
+    Longer sets make rarer keys. The shortest are taken for which random fingerprints have
+    fewer than about four partners each; beyond that, sets as long as a pair must share.
     """
-    for p in range(bits + 2, 9):
-        sets = list(combinations(range(p), p - bits))
-        if p == 8 or len(sets) * n / 2 ** (8 * (p - bits)) < 4:
-            return [signed(sum(0xFF << 8 * i for i in s)) for s in sets]
+    for p, s in [*((p, p - bits - 1) for p in range(bits + 3, 9)), (8, 8 - bits)]:
+        sets = list(combinations(range(p), s))
+        if s == 8 - bits or len(sets) * n / 2 ** (8 * s) < 4:
+            return [signed(sum(0xFF << 8 * i for i in of)) for of in sets], comb(p - bits, s)
     raise ValueError(bits)
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    x = a.bitwiseXOR(b)
-    same = [F.when(x.bitwiseAND(F.lit(signed(0xFF << 8 * i))) == 0, 1).otherwise(0) for i in range(8)]
-    return sum(same[1:], same[0])
-
-
-def linked(a: Column, b: Column, bits: int = MAX_BITS) -> Column:
-    """The count filter, then the exact distance."""
-    return (shared_bytes(a, b) >= 8 - bits) & (F.bit_count(a.bitwiseXOR(b)) <= bits)
-
-
 def contract(hot: DataFrame) -> DataFrame:
     """hot: fp -> node, label. Components by links of two bits or fewer: such fingerprints, and no others, share a
     neighbour of one bit or are one another's."""
@@ -107,8 +96,8 @@ def contract(hot: DataFrame) -> DataFrame:
 
 def link_classes(distinct: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """distinct: fp (one row each) -> fp, label: the smallest fingerprint of its component; only linked ones occur."""
-    n = distinct.count()
-    keys = F.array(*map(F.lit, masks(n, bits)))
+    sets, least = masks(distinct.count(), bits)
+    keys = F.array(*map(F.lit, sets))
     posted = distinct.select("fp", F.posexplode(F.transform(keys, lambda m: F.col("fp").bitwiseAND(m))).alias("c", "k"))
     # counted by a partial aggregate and joined, which splits long postings; a window would bring each to one task
     counts = materialize(posted.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
@@ -127,7 +116,12 @@ def link_classes(distinct: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> D
     a, b = members.alias("a"), members.alias("b")
     one_way = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.top").isNull() | (F.col("a.comp") != F.col("a.top"))) & ((F.col("a.fp") < F.col("b.fp")) | (F.col("b.comp") == F.col("a.top")))
     met = (F.col("a.c") == F.col("b.c")) & (F.col("a.k") == F.col("b.k"))
-    edges = a.join(b, met & one_way & linked(F.col("a.fp"), F.col("b.fp"), bits)).select(F.col("a.comp").alias("a"), F.col("b.comp").alias("b"))
+    # the count filter: in how many postings does a pair meet? A posting has each pair once
+    pairs = a.join(b, met & one_way).select(*[F.struct(F.col(f"{x}.fp").alias("fp"), F.col(f"{x}.comp").alias("comp")).alias(x) for x in "ab"])
+    tally = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    tally = materialize(tally.where(F.col("shared") >= least), "tallied")
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
+    edges = tally.where(near).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b"))
     if contracted:
         edges = edges.unionByName(first.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
     return components(edges).select(F.col("node").alias("fp"), "label")

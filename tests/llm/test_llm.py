@@ -325,10 +325,29 @@ def test_link_classes(spark, hot):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (103, 103), (5, 3)]
+def test_index_settings():
+    """At each size of the index, links share the guaranteed number of postings, however their bits lie."""
+    rng = np.random.default_rng(1)
+    seen = set()
+    for n in (10, 10**5, 10**7, 10**10):
+        sets, least = simhash.masks(n)
+        seen.add(len(sets))
+        for _ in range(300):
+            a = int(rng.integers(-(2**63), 2**63))
+            b = a
+            for bit in rng.integers(0, 64, 3):
+                b ^= simhash.signed(1 << int(bit))
+            assert sum(a & m == b & m for m in sets) >= least
+    assert seen == {15, 35, 70, 56}
+
+
+@pytest.mark.parametrize("hot", [256, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT_EDGES", hot)
+    monkeypatch.setattr(components, "HOT_SHARE", 10)
+    edges = [(200, i) for i in range(201, 260)] + [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (103, 103), (5, 3)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100} | {i: 200 for i in range(200, 260)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
