@@ -11,7 +11,14 @@ relaxed is validity: the encoding of a prefix that ends with a piece is the enco
 the prefix before it and that piece, if the two last pieces stand beside one another
 in an encoding of their own (no merge across their border comes first). Just one edge
 into each position passes, so the relaxed path is the result of the merges, identifier by
-identifier. (Cuts with a run of blanks, whose pieces share one score, are merged directly.)
+identifier.
+
+A cut begins with its blanks. Pieces of blanks alone share one score, below all others, so
+in a run of them only the last blank may join what follows, and the rest merge from the
+left after everything else: the word is encoded with one blank, as any cut is, and the run
+is a repetition of the longest such piece and a remainder (checked when a model is loaded;
+a model of another kind has its runs merged one by one). A cut of more than LONG_CUT
+characters, as in scripts without blanks, is indexed in blocks and relaxed by itself.
 
 Cases: a null or empty text has no identifiers. Characters without a piece become byte
 pieces. As in the format itself, a U+2581 in a text reads back as a blank. Repeated
@@ -33,8 +40,11 @@ from pyspark.sql import functions as F
 
 #: The format's mark for a blank. Inside, pieces and cuts hold blanks as such.
 MARK, BLANK = "\u2581", " "
-#: Characters of distinct cuts that are indexed at once, and distinct cuts that a worker remembers (others are encoded again).
-INDEX_CHARS, REMEMBERED = 100_000, 250_000
+#: Characters that are indexed at once, and bytes of distinct cuts that a worker remembers, about (others are encoded again).
+INDEX_CHARS, REMEMBERED = 100_000, 64 << 20
+#: What a remembered cut takes besides its text and identifiers.
+ENTRY = 200
+LONG_CUT = 256
 #: Slots of the table of pairs whose validity is known.
 SLOTS = 1 << 20
 NEVER = 1 << 40
@@ -93,6 +103,20 @@ class Vocabulary:
         self.marks = [(m, sorted(after.get(m, ()))) for m in ",.;:\n\r\t!?" if len(after.get(m, ())) < 60]
         self.free = [m for m in "\n\r\t" if m not in after and not any(m in p for p in self.id)]
         self.blank_safe = after.get(BLANK, set()) <= {BLANK}
+        self.blank_runs = self.check_runs()
+
+    def check_runs(self) -> bool:
+        """Whether runs of blanks are encoded as described above."""
+        blank = [p for p in self.id if p and not p.strip(BLANK)]
+        if BLANK not in self.id or any(BLANK * 2 in p for p in self.id if p.strip(BLANK)):
+            return False
+        others = (self.score[p] for p in self.id if len(p) > 1 and p.strip(BLANK))
+        if max((self.score[p] for p in blank if len(p) > 1), default=-np.inf) >= min(others, default=np.inf):
+            return False
+        self.widest = max(map(len, blank))
+        self.run_ids = [[self.id[s] for s in self.merge(BLANK * k)[0]] for k in range(self.widest)]
+        wide = self.id[BLANK * self.widest]
+        return all([self.id[s] for s in self.merge(BLANK * k)[0]] == [wide] * (k // self.widest) + self.run_ids[k % self.widest] for k in range(4 * self.widest))
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The merges themselves: the best score first, the leftmost of equals. Symbols of ``text``, and the last merge."""
@@ -233,6 +257,48 @@ class Vocabulary:
         raw, w = token.astype(self.kind).tobytes(), self.kind.itemsize
         return [raw[i * w : j * w] for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
+    def encode_long(self, cut: str) -> bytes:
+        """The same for one long cut, relaxed position by position; blocks bound what is indexed at once."""
+        chars = np.frombuffer(cut.encode("utf-32-le", "surrogatepass"), "<u4")
+        text = self.code[np.minimum(chars, 0x10FFFF)]
+        none, first, k = self.size, self.size + 1, self.size + 2
+        last = [-1] * (len(chars) + 1)
+        last[0] = first
+        before_piece, before_stop = np.array([first]), np.array([0])  # edges that end in this block or later
+        length = self.length.tolist()
+        for at in range(0, len(chars), INDEX_CHARS):
+            piece, start = self.edges(text[at : at + INDEX_CHARS + self.longest])
+            own = start < INDEX_CHARS
+            piece, start = piece[own], start[own] + at
+            lone = np.flatnonzero(text[at : at + INDEX_CHARS] == 0) + at
+            piece, start = np.r_[piece, np.full(len(lone), none)], np.r_[start, lone]
+            by = np.argsort(start, kind="stable")
+            piece, start = piece[by], start[by]
+            stop = start + self.length[piece]
+            # every pair of an edge and one that ends where it starts
+            all_piece, all_stop = np.r_[before_piece, piece], np.r_[before_stop, stop]
+            by = np.argsort(all_stop, kind="stable")
+            ends = all_stop[by]
+            a, b = np.searchsorted(ends, start, "left"), np.searchsorted(ends, start, "right")
+            n = b - a
+            left = all_piece[by[np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]]
+            keys = np.unique(left * k + np.repeat(piece, n))
+            x, y = np.divmod(keys, k)
+            fine = x == first
+            fine[~fine] = self.beside(x[~fine], y[~fine])
+            valid = set(keys[fine].tolist())
+            for p, s, e in zip(piece.tolist(), start.tolist(), stop.tolist(), strict=True):
+                if last[s] >= 0 and last[s] * k + p in valid:
+                    last[e] = p
+            later = all_stop >= at + INDEX_CHARS
+            before_piece, before_stop = all_piece[later], all_stop[later]
+        out, e = [], len(chars)
+        while e:
+            p = last[e]
+            out += [p] if p != none else self.fallback(chr(chars[e - 1]))[::-1]
+            e -= length[p]
+        return np.array(out[::-1], self.kind).tobytes()
+
     def fallback(self, char: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
@@ -242,6 +308,15 @@ class Vocabulary:
             out += [self.id[s]] if s in self.id else self.fallback(s)
         return np.array(out, self.kind).tobytes()
 
+    def with_run(self, cut: str, known: dict[str, bytes]) -> bytes:
+        """A cut that begins with several blanks, from the encoding of its word with one blank."""
+        word = known[BLANK + cut.lstrip(BLANK)]
+        n, lone = len(cut) - len(cut.lstrip(BLANK)) - 1, np.array([self.id[BLANK]], self.kind).tobytes()
+        if word.startswith(lone):
+            n, word = n + 1, word[len(lone) :]
+        ids = [self.id[BLANK * self.widest]] * (n // self.widest) + self.run_ids[n % self.widest]
+        return np.array(ids, self.kind).tobytes() + word
+
     def cuts(self, text: str) -> list[str]:
         """Cuts of a text, a blank before it: between a character and a blank after it, and before and after marks where
         no piece holds both sides."""
@@ -266,30 +341,39 @@ class Vocabulary:
     def encoder(self):
         """A function from texts to their identifiers' bytes, which remembers cuts."""
         known: dict[str, bytes] = {}
+        weight = 0
+
+        def add(fresh: set[str]) -> None:
+            nonlocal weight
+            runs = {c for c in fresh if BLANK * 2 in c}
+            todo = sorted((fresh - runs | {BLANK + c.lstrip(BLANK) for c in runs if self.blank_runs}).difference(known))
+            short = [c for c in todo if len(c) <= LONG_CUT]
+            known.update(zip(short, self.encode_cuts(short), strict=True)) if short else None
+            known.update((c, self.encode_long(c)) for c in todo if len(c) > LONG_CUT)
+            known.update((c, self.with_run(c, known) if self.blank_runs else self.direct(c)) for c in runs)
+            weight += sum(len(c) + len(known[c]) + ENTRY for c in (*todo, *runs))
 
         def encode(texts: list[str | None]) -> list[bytes]:
-            nonlocal known
+            nonlocal known, weight
+            out = []
             cut = [self.cuts(t) if t else [] for t in texts]
-            fresh: set[str] = set()
-            size = 0
-
-            def add() -> None:
-                plain = [c for c in fresh if BLANK * 2 not in c]
-                known.update(zip(plain, self.encode_cuts(plain), strict=True)) if plain else None
-                known.update((c, self.direct(c)) for c in fresh if BLANK * 2 in c)
-
-            if len(known) > REMEMBERED:
-                known = {}
-            for cs in cut:
-                new = set(cs).difference(known)
-                fresh |= new
-                size += sum(map(len, new)) + len(new)
-                if size > INDEX_CHARS:
-                    add()
-                    fresh, size = set(), 0
-            if fresh:
-                add()
-            out = [b"".join(map(known.__getitem__, cs)) for cs in cut]
+            at = 0
+            while at < len(cut):  # as many texts as stay within what is remembered, one at least
+                if weight > REMEMBERED:
+                    known, weight = {}, 0
+                fresh: set[str] = set()
+                size, begin = 0, at
+                while at < len(cut) and (at == begin or weight + size * 2 + len(fresh) * ENTRY <= REMEMBERED):
+                    new = set(cut[at]).difference(known, fresh)
+                    fresh |= new
+                    size += sum(map(len, new)) + len(new)
+                    at += 1
+                    if size > INDEX_CHARS:
+                        add(fresh)
+                        fresh, size = set(), 0
+                if fresh:
+                    add(fresh)
+                out += [b"".join(map(known.__getitem__, cs)) for cs in cut[begin:at]]
             return out
 
         return encode

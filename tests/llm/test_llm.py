@@ -254,6 +254,21 @@ def test_pieces(spark, odd, empty, docs):
     encode = pieces.vocabulary(queries.PIECES).encoder()
     for t, b in zip(texts, encode(texts), strict=True):
         assert np.frombuffer(b, "<u2").tolist() == sp.encode(t or ""), t[:100]
+    # runs of blanks of every length, before and after words, marks and characters without a piece
+    runs = [f"{a}{' ' * n}{b}" for n in range(1, 70) for a, b in (("", ""), ("x", "y"), ("", "word"), ("a,", ", b"), ("x", "日"), ("x\n", "\n"), (")", "."))]
+    # long cuts: no blank, in several blocks
+    signs = list("abc日本語漢字學校\U0001f600é...\u2014\u0378")
+    long = ["".join(rng.choice(signs, n)) for n in (257, 1000, 250_001)] + ["ab" * 130_000, "." * 5000]
+    assert pieces.vocabulary(queries.PIECES).blank_runs
+    held, pieces.REMEMBERED = pieces.REMEMBERED, 20_000
+    try:
+        small = pieces.vocabulary(queries.PIECES).encoder()  # forgets all the time
+        for texts in (runs, long, ["  ".join(runs)], texts[:40]):
+            for t, b, c in zip(texts, encode(texts), small(texts), strict=True):
+                assert np.frombuffer(b, "<u2").tolist() == sp.encode(t or ""), t[:100]
+                assert b == c
+    finally:
+        pieces.REMEMBERED = held
     both = pieces.encode_and_decode(odd, queries.PIECES)
     assert both.columns == [*odd.columns, "ids", "decoded"]
     assert all(r.decoded == (r.text or "") for r in both.collect())
