@@ -1,33 +1,35 @@
 """Exact top-k inner-product search: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt over shards and queries over blocks, both of bounded size; each pair
-of a shard and a block is one task, so the query set meets all vectors in blocks. A
-task builds the shard's tree, descends it for all its queries at once, and visits each
-query's leaves in the order of their upper bounds q.c + |q| r, leaving out what is
-below the current kth score. The kth scores that the first shard gives are shared with
-the tasks of all others, so most of their nodes fall at once.
+Vectors are dealt over shards of bounded size. A task builds its shard's tree once and lets
+all queries stream past it in blocks: each query goes down to the leaf of the best upper
+bound q.c + |q| r, whose scores give a first kth score, then visits its other leaves in the
+order of their bounds, leaving out every node below the current kth score. Shards are
+searched in waves of 1, 2, 4, 8 and so on; the kth scores over all waves so far are shared
+with all shards of the next.
 
 Cases: vectors that are null or hold null or non-finite components take no part; nor
-do null ids. Shorter vectors are padded with zeros. Scores are integers, exact in
-double precision, or in 64-bit integers beyond; an OverflowError says if not even
-those hold them. Ties go to the smaller id. Rows that repeat an id are candidates one
-by one, but never of a query with their id; of the rows with a query's id, one asks.
-Empty tables give no rows.
+do null ids. Shorter vectors are padded with zeros. Scores are integers, exact in double
+precision, in 64-bit integers or in integers of any size, by what a shard's components
+need; an OverflowError says if a score of the result doesn't fit in 64 bits. Ties go to the
+smaller id. Rows that repeat an id are candidates one by one, but never of a query with
+their id; of the rows with a query's id, one asks. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import materialize
+from chatloom.llm.common import fresh_path, materialize
 
 K = 20
 SCALE = 64
-#: Rows of a shard and of a query block, about; with the dimension these bound a task's memory.
-SHARD_ROWS, BLOCK_ROWS = 8192, 8192
+#: Rows of a shard at least, components of one at most, about, and queries that meet it at once.
+SHARD_ROWS, SHARD_CELLS, BLOCK_ROWS = 8192, 1 << 23, 8192
 LEAF = 64
 RESULT = "query_id long, vec_id long, score long"
 
@@ -60,25 +62,39 @@ class BallTree:
                 todo += [(lo, lo + half, at), (lo + half, hi, at)]
         self.centre, self.radius = np.array(self.centre), np.array(self.radius)
 
-    def leaves(self, q: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of a query and a leaf whose upper bound reaches the query's ``least``: query, leaf, bound."""
-        norm = np.sqrt((q**2).sum(axis=1))
-        who, node = np.arange(len(q)), np.zeros(len(q), np.int64)
-        out = []
-        while len(who):
-            bound = np.empty(len(who))
-            by = np.argsort(node, kind="stable")
-            for part in np.split(by, np.flatnonzero(np.diff(node[by])) + 1):
-                n = node[part[0]]
-                bound[part] = q[who[part]] @ self.centre[n] + norm[who[part]] * self.radius[n]
-            bound += 1e-9 * np.abs(bound) + 1e-6  # above rounding
-            keep = bound >= least[who]
-            who, node, bound = who[keep], node[keep], bound[keep]
-            final = np.array([not c for c in self.children])[node] if len(node) else np.zeros(0, bool)
-            out.append((who[final], node[final], bound[final]))
-            who, node = who[~final], node[~final]
-            kids = np.array([self.children[n] for n in node]).reshape(-1, 2) if len(node) else np.zeros((0, 2), np.int64)
-            who, node = np.repeat(who, 2), kids.reshape(-1)
+    def bound(self, q: np.ndarray, norm: np.ndarray, n: int) -> np.ndarray:
+        """Upper bounds of the queries' products with the rows of node n, above rounding."""
+        size = np.sqrt((self.centre[n] ** 2).sum()) + self.radius[n]
+        return q @ self.centre[n] + norm * (self.radius[n] + 1e-9 * size) + 1e-6
+
+    def first_leaf(self, q: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """The leaf where each query ends that always takes the child of the larger bound."""
+        at = np.zeros(len(q), np.int64)
+        todo = [0] if self.children[0] else []
+        while todo:
+            n = todo.pop()
+            here = np.flatnonzero(at == n)
+            if len(here):
+                left, right = self.children[n]
+                at[here] = np.where(self.bound(q[here], norm[here], left) >= self.bound(q[here], norm[here], right), left, right)
+                todo += [c for c in (left, right) if self.children[c]]
+        return at
+
+    def leaves(self, q: np.ndarray, norm: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a query and a leaf whose upper bound, and those of the nodes above it, reach the query's ``least``: query, leaf, bound."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        todo = [(0, np.arange(len(q)))]
+        while todo:
+            n, who = todo.pop()
+            bound = self.bound(q[who], norm[who], n)
+            on = bound >= least[who]
+            who, bound = who[on], bound[on]
+            if not len(who):
+                continue
+            if self.children[n]:
+                todo += [(c, who) for c in self.children[n]]
+            else:
+                out.append((who, np.full(len(who), n), bound))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -92,43 +108,68 @@ def best(q: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> tuple[n
     return q[top], score[top], ident[top], rank[top]
 
 
-def search(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, least: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Integer vectors v and queries q -> query number, id and score of each query's k best in this shard, less those
-    that are below ``least``, the kth scores known so far."""
-    largest = max(np.abs(v).max(initial=0), np.abs(q).max(initial=0))
-    worst = int(largest) ** 2 * v.shape[1]
-    if worst >= 2**63:
-        raise OverflowError("scores don't fit in 64 bits")
-    kind = np.float64 if worst < 2**53 else np.int64
-    least = least.astype(np.float64).copy()
-    tree = BallTree(v)
-    who, leaf, bound = tree.leaves(q.astype(np.float64), least)
-    by = np.lexsort((-bound, who))
-    who, leaf, bound = who[by], leaf[by], bound[by]
-    first = np.r_[True, who[1:] != who[:-1]] if len(who) else np.zeros(0, bool)
-    turn = np.arange(len(who)) - np.maximum.accumulate(np.where(first, np.arange(len(who)), 0)) if len(who) else np.zeros(0, np.int64)
-    have = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    v, q = v.astype(kind), q.astype(kind)
-    lo, width = 0, 1
-    while lo <= turn.max(initial=-1):
-        now = (turn >= lo) & (turn < lo + width) & (bound >= least[who])
-        w, lf = who[now], leaf[now]
-        found = [have]
-        by = np.argsort(lf, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(lf[by])) + 1) if len(by) else []:
-            a, b = tree.span[lf[part[0]]]
-            rows, asks = tree.order[a:b], w[part]
-            for at in range(0, len(rows), 4096):  # a leaf of equal vectors can be long
-                some = rows[at : at + 4096]
-                s = q[asks] @ v[some].T
-                x, y = np.nonzero((s >= least[asks][:, None]) & (ids[some][None, :] != qids[asks][:, None]))
-                found.append((asks[x], s[x, y].astype(np.int64), ids[some][y]))
-        fq, fs, fi, rank = best(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
-        have = (fq, fs, fi)
-        full = rank == k - 1
-        least[fq[full]] = np.maximum(least[fq[full]], fs[full])
-        lo, width = lo + width, width * 2
-    return have[0], have[2], have[1]
+class Shard:
+    """The vectors of a shard, with their tree; ``search`` can be called for many blocks of queries."""
+
+    def __init__(self, v: np.ndarray, ids: np.ndarray) -> None:
+        self.v, self.ids = v, ids
+        self.tree = BallTree(v)
+        self.largest = max((abs(int(x)) for x in (v.max(initial=0), v.min(initial=0))), default=0)
+
+    def kind(self, q: np.ndarray) -> type:
+        """Numbers in which all products of this shard are exact."""
+        worst = self.largest * max(abs(int(x)) for x in (q.max(initial=0), q.min(initial=0))) * self.v.shape[1]
+        return np.float64 if worst < 2**53 else np.int64 if worst < 2**63 else object
+
+    def search(self, q: np.ndarray, qids: np.ndarray, least: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Integer queries -> query number, id and score of each one's k best here, less those below ``least``, the kth scores known so far."""
+        kind, tree, ids = self.kind(q), self.tree, self.ids
+        v, exact = self.v.astype(kind), q.astype(kind)
+        q = q.astype(np.float64)
+        norm = np.sqrt((q**2).sum(axis=1))
+        least = np.nextafter(least.astype(np.float64), -np.inf)  # a double may be above the score that it stands for
+        none = np.zeros(0, np.int64)
+        have = none, np.zeros(0, object if kind is object else np.int64), none
+
+        def visit(who: np.ndarray, leaf: np.ndarray) -> None:
+            """Score the leaves' rows for their queries, and raise the kth scores."""
+            nonlocal have
+            found = [have]
+            by = np.argsort(leaf, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1) if len(by) else []:
+                a, b = tree.span[leaf[part[0]]]
+                rows, asks = tree.order[a:b], who[part]
+                for at in range(0, len(rows), 4096):  # a leaf of equal vectors can be long
+                    some = rows[at : at + 4096]
+                    s = exact[asks] @ v[some].T
+                    x, y = np.nonzero((s >= least[asks][:, None]).astype(bool) & (ids[some][None, :] != qids[asks][:, None]))
+                    found.append((asks[x], s[x, y] if kind is object else s[x, y].astype(np.int64), ids[some][y]))
+            fq, fs, fi, rank = best(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+            have = fq, fs, fi
+            full = rank == k - 1
+            least[fq[full]] = np.maximum(least[fq[full]], np.nextafter(fs[full].astype(np.float64), -np.inf))
+
+        first = tree.first_leaf(q, norm)
+        hopeful = np.flatnonzero(tree.bound(q, norm, 0) >= least)
+        visit(hopeful, first[hopeful])
+        who, leaf, bound = tree.leaves(q, norm, least)
+        fresh = leaf != first[who]
+        who, leaf, bound = who[fresh], leaf[fresh], bound[fresh]
+        by = np.lexsort((-bound, who))
+        who, leaf, bound = who[by], leaf[by], bound[by]
+        start = np.r_[True, who[1:] != who[:-1]] if len(who) else np.zeros(0, bool)
+        turn = np.arange(len(who)) - np.maximum.accumulate(np.where(start, np.arange(len(who)), 0)) if len(who) else none
+        lo, width = 0, 1
+        while lo <= turn.max(initial=-1):
+            now = (turn >= lo) & (turn < lo + width) & (bound >= least[who])
+            visit(who[now], leaf[now])
+            lo, width = lo + width, width * 2
+        score = have[1]
+        if kind is object:
+            if any(abs(x) >= 2**63 for x in score):
+                raise OverflowError("a score doesn't fit in 64 bits")
+            score = score.astype(np.int64)
+        return have[0], have[2], score
 
 
 def matrix(column: pa.ChunkedArray, d: int, scale: int) -> np.ndarray:
@@ -138,44 +179,66 @@ def matrix(column: pa.ChunkedArray, d: int, scale: int) -> np.ndarray:
     lengths = np.diff(a.offsets.to_numpy())
     flat = np.floor(scale * a.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
     if np.abs(flat).max(initial=0) >= 2**62:
-        raise OverflowError("components don't fit in 64 bits")
-    out = np.zeros((len(a), d), np.int64)
+        flat = np.array([int(x) for x in flat], object)
+    out = np.zeros((len(a), d), flat.dtype if flat.dtype == object else np.int64)
     out[np.arange(d)[None, :] < lengths[:, None]] = flat
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, shard_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vectors: vec_id, embedding -> query_id, rank, vec_id, score: each query's k best other rows by the inner product
-    of floor(scale * x)."""
+    of floor(scale * x). shard_rows: by default, what gives every core some shards, within the bounds above."""
+    spark = vectors.sparkSession
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    v = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    q = v.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n = v.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    asks = q.count()
-    shards, blocks = max(1, -(-n[0] // shard_rows)), max(1, -(-asks // block_rows))
-    d = max(1, n[1] or 1)
-    v = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], "int64"), "vec_id": pa.array([], "int64"), "score": pa.array([], "int64")})
-        qids = right["vec_id"].to_numpy()
-        least = right["least"].to_numpy()
-        who, ids, score = search(matrix(left["embedding"], d, scale), left["vec_id"].to_numpy(), matrix(right["embedding"], d, scale), qids, least, k)
-        return pa.table({"query_id": qids[who], "vec_id": ids, "score": score})
-
-    def met(vs: DataFrame, qs: DataFrame, which: Column) -> DataFrame:
-        left = vs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = qs.select(*[F.col(c).alias(c) for c in ("vec_id", "embedding", "block", "least")], F.explode(which).alias("shard"))
-        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(task, RESULT)
-
-    start = q.withColumn("least", F.lit(float("-inf")))
-    found = materialize(met(v.where("shard = 0"), start, F.array(F.lit(0))), "first-shard")
-    if shards > 1:
-        kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
-        known = q.join(kth.select(F.col("query_id").alias("vec_id"), F.col("kth").cast("double")), "vec_id", "left")
-        known = known.withColumn("least", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
-        found = found.unionByName(met(v.where("shard > 0"), known, F.sequence(F.lit(1), F.lit(shards - 1))))
+    v = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks"))
+    n, longest = v.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    d = max(1, longest or 1)
+    if shard_rows is None:
+        shard_rows = min(max(SHARD_ROWS, n // (4 * spark.sparkContext.defaultParallelism)), max(SHARD_ROWS, SHARD_CELLS // d))
+    shards = max(1, -(-n // shard_rows))
+    waves = shards.bit_length()
+    # dealt once and written, by row and not by id, so that rows which repeat an id spread too; a wave is a folder of its own
+    shard = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    q = materialize(v.where("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    dealt = v.drop("asks").withColumn("shard", shard).withColumn("wave", (F.length(F.bin(F.col("shard") + 1)) - 1))
+    schema = dealt.schema
+    dealt.write.partitionBy("wave").parquet(path := fresh_path(spark, "shards"))
+    dealt = spark.read.schema(schema).parquet(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by shard: its vectors, then its queries."""
+        held: list[pa.RecordBatch] = []
+        shard, now = None, None
+        for batch in batches:
+            number, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(number) | np.diff(asks)) + 1
+            for at, to in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if number[at] != now:
+                    held, shard, now = [], None, number[at]
+                part = batch.slice(at, to - at)
+                if not asks[at]:
+                    held.append(part)
+                    continue
+                if shard is None and held:
+                    rows = pa.Table.from_batches(held)
+                    shard, held = Shard(matrix(rows["embedding"], d, scale), rows["vec_id"].to_numpy()), []
+                for i in range(0, part.num_rows if shard else 0, block_rows):
+                    block = pa.Table.from_batches([part.slice(i, block_rows)])
+                    qids = block["vec_id"].to_numpy()
+                    who, ids, score = shard.search(matrix(block["embedding"], d, scale), qids, block["least"].to_numpy(), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[who]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = None
+    for wave in range(waves):
+        known = q.withColumn("least", F.lit(float("-inf")))
+        if found is not None:
+            kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
+            known = q.join(kth.select(F.col("query_id").alias("vec_id"), F.col("kth").cast("double")), "vec_id", "left").select("vec_id", "embedding", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
+        first, last = (1 << wave) - 1, min(shards, (2 << wave) - 1) - 1
+        here = dealt.where(F.col("wave") == wave).select("shard", F.lit(0).alias("asks"), "vec_id", "embedding", F.lit(None).cast("double").alias("least"))
+        asked = known.select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "embedding", "least")
+        rows = here.unionByName(asked).repartition(last - first + 1, "shard").sortWithinPartitions("shard", "asks").mapInArrow(run, RESULT)
+        rows = rows if found is None else found.unionByName(rows)
+        found = materialize(rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "score"), "nearest")
+    return found.withColumn("rank", rank).select("query_id", "rank", "vec_id", "score")

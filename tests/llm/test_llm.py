@@ -223,6 +223,33 @@ def test_top_k(spark, shard):
     assert ball_tree.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_large_numbers(spark):
+    """Products beyond double precision and beyond 64 bits on the way, of finite outliers."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** (i % 9)).tolist()) for i in range(80)]
+    rows += [(101, [1e30, 0.0, 0.0, 0.0]), (102, [-1e25, 0.0, 0.0, 0.0])]  # outliers that meet queries of zeros there
+    rows = [(i, [0.0, *v[1:]] if i % 20 == 0 else v) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in ball_tree.top_k(df, F.col("vec_id") % 20 == 0, 5, shard_rows=16).collect()} == brute_top(rows, 5)
+    with pytest.raises(Exception, match="64 bits"):
+        ball_tree.top_k(spark.createDataFrame([(0, [1e30]), (1, [1e30])], df.schema), F.col("vec_id") == 0).collect()
+
+
+def test_tree_prunes():
+    """On clustered vectors most leaves fall; the answers stay those of brute force."""
+    rng = np.random.default_rng(3)
+    v = (rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)] * 60 + rng.normal(size=(6000, 16))).astype(np.int64)
+    shard, seen = ball_tree.Shard(v, np.arange(6000)), []
+    leaves = shard.tree.leaves
+    shard.tree.leaves = lambda *a: seen.append(out := leaves(*a)) or out
+    who, ids, score = shard.search(v[:50], np.full(50, -1), np.full(50, -np.inf), 20)
+    s = v[:50] @ v.T
+    for i in range(50):
+        by = np.lexsort((np.arange(6000), -s[i]))[:20]
+        assert ids[who == i].tolist() == by.tolist() and score[who == i].tolist() == s[i][by].tolist()
+    assert len(seen[0][0]) < 0.5 * 50 * sum(not c for c in shard.tree.children)
+
+
 # 4
 
 
