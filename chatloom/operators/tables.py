@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -31,10 +32,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
-    df.write.parquet(path := fresh_path(spark, name))
+    df.write.option("compression", compression).parquet(path := fresh_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +46,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that have ended; else they stay until the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> None:
     """Remove the tables written after the first ``since``, but for those in ``keep``. Results not read by then can't be read after."""
     kept = set(keep)
