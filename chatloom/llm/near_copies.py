@@ -7,15 +7,16 @@ common, so an index of positional bytes can't promise these pairs at any size of
 They have an exact way of their own, a prefix filter: with shingles in any one order, two
 sets of similarity T share one of the first |S| - ceil(T |S|) + 1 shingles of each, so
 only these are posted. The order is by hash, with shingles that a sample of the texts
-repeats last; the sample decides how long postings are, never what is found. Parity
+repeats last; the sample decides how long postings are, never what is found. Where two sets
+meet first, their shingles from there on must suffice for the similarity; a pair that
+meets nowhere so is left out, which is most pairs that only share a passage. Parity
 bitmaps leave out most pairs that meet (they differ in no more bits than the sets do in
 shingles), and the sets themselves decide the rest.
 
 Texts with equal sets are linked first, and one of them is posted. Sets that SimHash has
 put in one component are never paired again. In a posting of more than HOT sets each is
-compared with one of them (another one in each posting) too, and only sets of different
-components are paired after that, so a group of near copies isn't expanded into pairs. Of
-the pairs of a component, those that its links already join needn't be decided.
+compared with one of them too, the same in all postings that hold it, and only sets of
+different components are paired after that, so a group of near copies isn't expanded into pairs.
 
 Cases: null, empty and blank texts have one set in common. Texts of fewer words than a
 shingle are one shingle. Shingles are compared by their 64-bit hashes. Rows are told
@@ -26,7 +27,6 @@ whatever their names. An empty table gives no rows.
 from __future__ import annotations
 
 import functools
-import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,11 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm.arrow import map_texts
-from chatloom.llm.common import delete, fresh_path, materialize, pack, unpack
+from chatloom.llm.common import MADE, delete, free, fresh_path, materialize, pack, release, unpack
 from chatloom.llm.components import components
 from chatloom.llm.simhash import SEED, least_of_class, link_classes, majority, shingle_hashes
 from chatloom.operators.skew import salted_join
@@ -48,8 +48,12 @@ SHINGLE = 5
 NUMER, DENOM = 4, 5
 #: Sets in a posting above which it is contracted before its pairs are taken.
 HOT = 64
+#: Sets of crowded postings that a set is compared with before pairs are taken, those it meets most often.
+TRIES = 3
 #: Rows of a block, as bits of their numbers (a bitmap of Spark's has so many), of a bucket, about, and most buckets.
 BLOCK_BITS, BUCKET_ROWS, MAX_BUCKETS = 15, 1 << 18, 4096
+#: Bits of the sieve of shingles that are posted twice, as a power of 2: 16 MB.
+SIEVE_BITS = 27
 #: One document in so many is read for the order; a shingle is put last from so many of them, and so many shingles at most.
 SAMPLED, OFTEN, LAST = 16, 4, 50_000
 
@@ -67,7 +71,8 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
-    often = np.isin(s, last, assume_unique=True)
+    """The first shingles of a set, of which any set similar enough has one among its own; those in ``last`` (ascending) come last."""
+    often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
     return np.r_[s[~often], s[often]][: len(s) + (-NUMER * len(s) // DENOM) + 1].view("<i8")
 
 
@@ -111,43 +116,29 @@ def chosen(pairs: DataFrame, test, columns: list[str]) -> DataFrame:
 
 
 def sweep(spark: SparkSession, *done: DataFrame) -> None:
-    """Remove the tables and let Spark remove the shuffle files of writes that have ended; else they stay until the driver's next collection."""
+    """Remove the tables, and the shuffle files of writes that have ended."""
     for df in done:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             delete(spark, path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    free(spark)
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct pairs a, b -> node, label of the components that those of enough similarity make."""
+def linked(pairs: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
+    """Distinct pairs a, b -> those of enough similarity."""
     rows = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(map_texts(texts.join(rows, "id", "left_semi"), lambda: lambda ts: [(zlib.compress(t or b"", 1),) for t in ts], "s binary", "id"), "packed")
+    sets = materialize(map_texts(chosen_rows(texts, buckets, rows, True), lambda: lambda ts: [(zlib.compress(t or b"", 1),) for t in ts], "s binary", "id"), "packed")
     sweep(texts.sparkSession)
-
-    def verified(some: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("s")), sets.select(F.col("id").alias("b"), F.col("s").alias("t"))
-        out = materialize(chosen(some.join(left, "a").join(right, "b"), similar, ["s", "t"]), "links")
-        sweep(texts.sparkSession)
-        return out
-
-    # first a pair for each larger member, then what those haven't joined
-    some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(some)
-    known = materialize(components(links), "joined")
-    label = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    rest = pairs.join(some, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = rest.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-    links = links.unionByName(verified(rest))
+    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("s")), sets.select(F.col("id").alias("b"), F.col("s").alias("t"))
+    out = materialize(chosen(pairs.join(left, "a").join(right, "b"), similar, ["s", "t"]), "links")
     sweep(texts.sparkSession, sets, pairs)
-    return components(links)
+    return out
 
 
-def near_copies(texts: DataFrame, hot: int = HOT) -> DataFrame:
-    """texts: id (long, unique), text -> id, label: the smallest id of its component; only linked ones occur."""
+def near_copies(texts: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
+    """texts: id and block as numbered() gives them, text -> id, label: the smallest id of its component; only linked ones occur."""
     sample = map_texts(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0), lambda: lambda ts: [(shingle_set(t).view("<i8"),) for t in ts], "s array<long>", "id")
     often = sample.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    last = np.array([r.s for r in often.orderBy(F.desc("n"), "s").limit(LAST).collect()], np.int64).view(np.uint64)
+    last = np.sort(np.array([r.s for r in often.orderBy(F.desc("n"), "s").limit(LAST).collect()], np.int64).view(np.uint64))
 
     def make():
         def sign(t: bytes | None) -> tuple:
@@ -156,80 +147,109 @@ def near_copies(texts: DataFrame, hot: int = HOT) -> DataFrame:
 
         return lambda ts: [sign(t) for t in ts]
 
-    signed = materialize(map_texts(texts, make, "fp long, n int, key binary, bits binary, prefix array<long>", "id"), "signed")
+    made = map_texts(texts, make, "fp long, n int, key binary, bits binary, prefix array<long>", "id")
+    signed = bucketed(made.withColumn("block", F.shiftright("id", BLOCK_BITS)), buckets, "signed")
     firsts = materialize(signed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
-    sets = signed.join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
+    sets = chosen_rows(signed, buckets, firsts.select(F.col("first").alias("id")), True)
     # SimHash: each set and the least set of its component of fingerprints
-    prints = materialize(sets.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("rep")), "prints")
-    centre = least_of_class(prints, link_classes(prints.select("fp")))
-    near = salted_join(sets.select("id", "n", "fp"), centre, "fp", F.col("id"), "inner").select(F.struct("id", "n").alias("x"), F.col("least").alias("y"))
-    posted = sets.select("id", "n", F.explode("prefix").alias("k"))
-    counts = materialize(posted.groupBy("k").agg(F.count(F.lit(1)).alias("posted")).where("posted > 1"), "counts")
+    prints = materialize(sets.groupBy("fp").agg(F.min("id").alias("rep")), "prints")
+    centre = materialize(least_of_class(prints, link_classes(prints.select("fp"))), "centres")
     sweep(texts.sparkSession)
-    shared = materialize(posted.join(counts, "k"), "postings")
+    near = salted_join(sets.select("id", "fp"), centre, "fp", F.col("id"), "inner").select(F.col("id").alias("x"), F.col("least").alias("y"))
+    posted = sets.select("id", "n", F.posexplode("prefix").alias("i", "k"))
+    counts = materialize(posted.groupBy("k").agg(F.count(F.lit(1)).alias("posted")).where("posted > 1"), "counts")
     sweep(texts.sparkSession)
+    shared = materialize(seen_before(posted, "k", counts).join(counts, "k"), "postings")
+    sweep(texts.sparkSession, counts)
 
     def met(pairs: DataFrame) -> DataFrame:
-        """pairs: structs x and y of two members -> distinct a < b that may be similar enough. Bitmaps come to distinct pairs only."""
-        sized = pairs.where((NUMER * F.greatest("x.n", "y.n") <= DENOM * F.least("x.n", "y.n")) & (F.col("x.id") != F.col("y.id")))
-        flat = materialize(sized.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "met")
+        """pairs: x, y (numbers of sets) -> distinct a < b that may be similar enough. Sizes and bitmaps come to distinct pairs only."""
+        flat = materialize(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "met")
         left, right = signed.select(F.col("id").alias("a"), F.col("bits").alias("p"), "n"), signed.select(F.col("id").alias("b"), F.col("bits").alias("q"), F.col("n").alias("m"))
-        out = materialize(chosen(flat.join(left, "a").join(right, "b"), may_link, ["p", "q", "n", "m"]), "pairs")
+        sized = NUMER * F.greatest("n", "m") <= DENOM * F.least("n", "m")
+        out = materialize(chosen(flat.join(left, "a").join(right, "b").where(sized), may_link, ["p", "q", "n", "m"]), "pairs")
         sweep(texts.sparkSession, flat)
         return out
 
-    member = F.struct("id", "n")
-    crowded = shared.where(F.col("posted") > hot)
-    centres = crowded.groupBy("k").agg(F.min(F.struct(F.xxhash64("id", "k").alias("h"), "id", "n")).alias("y"))
-    around = salted_join(crowded.select("k", "id", member.alias("x")), centres.select("k", F.struct("y.id", "y.n").alias("y")), "k", F.col("id"), "inner")
-    first = materialize(linked(met(near.unionByName(around.select("x", "y"))), texts), "contracted")
+    crowded = shared.where(F.col("posted") > hot).select("k", "id")
+    centres = crowded.groupBy("k").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("y"))).alias("c")).select("k", "c.y")
+    around = salted_join(crowded, centres, "k", F.col("id"), "inner").where("id <> y").groupBy(F.col("id").alias("x"), "y").agg(F.count(F.lit(1)).alias("met"))
+    around = around.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "y")), False), 1, TRIES).alias("ys"))
+    around = around.select("x", F.explode("ys.y").alias("y"))
+    first = materialize(components(linked(met(near.unionByName(around)), texts, buckets)), "contracted")
     members = shared.join(first.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("comp", F.coalesce("label", "id"))
     # postings within one component are settled; of the rest, all but the largest component's members seek partners
     sizes = members.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("k").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("top"), F.count(F.lit(1)).alias("comps"))
-    members = materialize(members.join(largest.where("comps > 1"), "k").select("k", member.alias("x"), "comp", "top"), "members")
-    a, b = members.alias("a"), members.alias("b")
-    one_way = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.comp") != F.col("a.top")) & ((F.col("a.x.id") < F.col("b.x.id")) | (F.col("b.comp") == F.col("a.top")))
-    sized = NUMER * F.greatest("a.x.n", "b.x.n") <= DENOM * F.least("a.x.n", "b.x.n")
-    found = materialize(linked(met(a.join(b, (F.col("a.k") == F.col("b.k")) & one_way & sized).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))), texts), "found")
+    members = materialize(members.join(largest.where("comps > 1"), "k").select("k", "id", "n", "i", "comp", "top"), "members")
+    del sizes, largest
     sweep(texts.sparkSession, shared)
-    edges = found.unionByName(first).select(F.col("node").alias("a"), F.col("label").alias("b"))
+    a, b = members.alias("a"), members.alias("b")
+    one_way = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.comp") != F.col("a.top")) & ((F.col("a.id") < F.col("b.id")) | (F.col("b.comp") == F.col("a.top")))
+    # a similarity of T takes T / (1 + T) of both sizes in common: so much must be left from the first shared shingle on
+    enough = (NUMER + DENOM) * F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= NUMER * (F.col("a.n") + F.col("b.n"))
+    links = linked(met(a.join(b, (F.col("a.k") == F.col("b.k")) & one_way & enough).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))), texts, buckets)
+    edges = links.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b")))
     copies = signed.join(firsts.where("copies > 1"), "key").select(F.col("id").alias("a"), F.col("first").alias("b"))
     return components(edges.unionByName(copies)).select(F.col("node").alias("id"), "label")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """_row, id (unique) and block (2^BLOCK_BITS numbers), in a table whose buckets hold whole blocks: what is known by
-    block joins it without moving a text."""
-    rows = pack(docs).withColumn("id", F.monotonically_increasing_id()).withColumn("block", F.shiftright("id", BLOCK_BITS))
-    spark = docs.sparkSession
-    name, path = f"numbered_{uuid.uuid4().hex}", fresh_path(spark, "numbered")
-    buckets = min(MAX_BUCKETS, max(8, docs.count() // BUCKET_ROWS))
+def bucketed(rows: DataFrame, buckets: int, name: str) -> DataFrame:
+    """rows (with block, 2^BLOCK_BITS of their numbers) in a table whose buckets hold whole blocks: what is known by
+    block joins it without moving a row."""
+    spark, table = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
     held = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
     spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")  # a task has one bucket or a few: no sort for them
     try:
-        rows.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+        rows.write.option("compression", "zstd").bucketBy(buckets, "block").option("path", fresh_path(spark, name)).saveAsTable(table)
     finally:
         spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", held)
-    return spark.table(name)
+    return spark.table(table)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """_row, id (unique) and block, bucketed, and the number of buckets."""
+    rows = pack(docs).withColumn("id", F.monotonically_increasing_id()).withColumn("block", F.shiftright("id", BLOCK_BITS))
+    buckets = min(MAX_BUCKETS, max(8, docs.count() // BUCKET_ROWS))
+    return bucketed(rows, buckets, "numbered"), buckets
+
+
+def bit(bits: Column, at: Column) -> Column:
+    """Whether bit ``at`` of a bitmap is set."""
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1
+
+
+def seen_before(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows but for most of those whose ``key`` isn't among keys: by one bit for each of 2^SIEVE_BITS hashes, a broadcast of a fixed size."""
+    low, h = F.lit((1 << BLOCK_BITS) - 1), F.xxhash64(key)
+    part, at = F.pmod(F.shiftright(h, BLOCK_BITS), F.lit(1 << SIEVE_BITS - BLOCK_BITS)), h.bitwiseAND(low)
+    sieve = keys.select(part.alias("part"), at.alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("_bits"))
+    return rows.withColumn("part", part).join(F.broadcast(sieve), "part").where(bit(F.col("_bits"), at.cast("int"))).select(*rows.columns)
+
 
+def chosen_rows(rows: DataFrame, buckets: int, ids: DataFrame, there: bool) -> DataFrame:
+    """rows: numbered(), or columns of it with id and block; ids: id -> the rows whose id is ``there``, or the others.
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows: numbered(); gone: id -> the other rows. The ids meet them as one bitmap a block, into which only the ids are shuffled."""
-    bits = gone.select(F.shiftright("id", BLOCK_BITS).alias("block"), F.col("id").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("at"))
-    bits = bits.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
-    at = F.col("id").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    on = byte.bitwiseAND(F.expr("shiftleft(1, cast(id & 7 as int))")) != 0
-    return rows.join(bits.hint("shuffle_hash"), "block", "left").where(F.col("bits").isNull() | ~on)
+    The ids meet the rows as one bitmap a block, into which only the ids are shuffled.
+    """
+    low = F.lit((1 << BLOCK_BITS) - 1)
+    bits = ids.select(F.shiftright("id", BLOCK_BITS).alias("block"), F.col("id").bitwiseAND(low).alias("at"))
+    bits = bits.repartition(buckets, "block").groupBy("block").agg(F.bitmap_construct_agg("at").alias("_bits"))
+    on = bit(F.col("_bits"), F.col("id").bitwiseAND(low).cast("int"))
+    joined = rows.join(bits.hint("shuffle_hash"), "block", "inner" if there else "left")
+    return joined.where(on if there else F.col("_bits").isNull() | ~on).select(*rows.columns)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row of each component, the one with the smallest key; a null key comes last."""
-    rows = numbered(docs)
-    found = materialize(near_copies(rows.select("id", F.col("_row").getField(text).alias("text")), hot), "near-copies")
+    rows, buckets = numbered(docs)
+    since = len(MADE)
+    found = materialize(near_copies(rows.select("id", "block", F.col("_row").getField(text).alias("text")), buckets, hot), "near-copies")
     who = F.col("_row").getField(key)
     named = found.join(rows.select("id", F.struct(who.isNull().alias("none"), who.alias("key"), F.col("id").alias("row")).alias("who")), "id")
     best = named.groupBy("label").agg(F.min("who").alias("least"))
     gone = salted_join(named, best, "label", F.col("id"), "inner").where(F.col("id") != F.col("least.row")).select("id")
-    return unpack(without(rows, materialize(gone, "dropped")))
+    gone = materialize(gone, "dropped")
+    release(docs.sparkSession, since, keep=[MADE[-1]])
+    return unpack(chosen_rows(rows, buckets, gone, False))

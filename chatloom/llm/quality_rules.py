@@ -159,6 +159,6 @@ def filter_documents(docs: DataFrame, host: str = "source", row_id: str = "doc_i
     flags = {f"_f_{r}": c for r, c in rules().items()}
     measured = features(pack(docs, text="text", host=host, id=row_id), "host").withColumns(flags)
     row = F.when(~F.col("_f_base"), F.col("_row")).alias("_row")
-    rows = materialize(measured.select(row, "id", "_q_host", *flags), "judged")
+    rows = materialize(measured.select(row, "id", "_q_host", *flags), "judged", "zstd")
     judged = with_verdicts(rows.where(~F.col("_f_base")), host_rates(rows, flags="_f_"), "id")
     return unpack(judged.where(kept(failures("_f_"))))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm.arrow import map_texts
-from chatloom.llm.common import materialize
+from chatloom.llm.common import free, materialize
 from chatloom.llm.components import components
 from chatloom.operators.skew import salted_join
 
@@ -101,7 +101,9 @@ def link_classes(distinct: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> D
     posted = distinct.select("fp", F.posexplode(F.transform(keys, lambda m: F.col("fp").bitwiseAND(m))).alias("c", "k"))
     # counted by a partial aggregate and joined, which splits long postings; a window would bring each to one task
     counts = materialize(posted.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    free(distinct.sparkSession)
     shared = materialize(posted.join(counts, ["c", "k"]), "postings")
+    free(distinct.sparkSession)
     crowded = shared.where(F.col("n") > hot).select("fp").distinct()
     contracted = bits >= 2 and not crowded.isEmpty()
     if contracted:
@@ -120,6 +122,7 @@ def link_classes(distinct: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> D
     pairs = a.join(b, met & one_way).select(*[F.struct(F.col(f"{x}.fp").alias("fp"), F.col(f"{x}.comp").alias("comp")).alias(x) for x in "ab"])
     tally = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
     tally = materialize(tally.where(F.col("shared") >= least), "tallied")
+    free(distinct.sparkSession)
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
     edges = tally.where(near).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b"))
     if contracted:

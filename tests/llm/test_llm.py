@@ -685,15 +685,37 @@ def test_render(spark):
 # the pipeline
 
 
+def brute_kept(docs):
+    """Ids that the quality rules keep: rates of each host and rule, shrunk by the rule's beta prior."""
+    fails = {}
+    for r in docs:
+        n, chars, symbols, dup, again = brute_measures(r.text)
+        lines = sum(1 for s in (r.text or "").split("\n") if s.encode().strip())
+        fails[r.doc_id] = (n < 10 or 100 * again > 20 * n, 10 * symbols > n, 10 * dup > 3 * lines, chars < 2 * n or chars > 12 * n)
+    pages = Counter(r.source for r in docs)
+    bad = defaultdict(set)
+    for rule in range(4):
+        failed = Counter(r.source for r in docs if fails[r.doc_id][rule])
+        m = sum(failed.values()) / len(docs)
+        v = sum(n * (failed[h] / n - m) ** 2 for h, n in pages.items()) / len(docs) - m * (1 - m) * len(pages) / len(docs)
+        weight = min(max(m * (1 - m) / max(v, 1e-12) - 1, 1), 1000)
+        for h, n in pages.items():
+            if (failed[h] + m * weight) / (n + weight) > 0.5:
+                bad[h].add(rule)
+    return {r.doc_id for r in docs if not fails[r.doc_id][0] and not any(fails[r.doc_id][k] and bad[r.source] & {0, k} for k in (1, 2, 3))}
+
+
 def test_pipeline(spark, docs):
     """Each stage against brute force over what the stage before it kept."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
     current = spark.read.parquet(f"{SF}/documents.parquet")
     columns = current.columns
     rows = {r.doc_id: r for r in docs}
-    kept = [r for r in docs if (m := brute_measures(r.text))[0] >= 10 and 100 * m[4] <= 20 * m[0]]
     one = corpus_pipeline.STAGES[0][1](spark, current, SF)
     ids = {r.doc_id for r in one.collect()}
-    assert one.columns == columns and ids <= {r.doc_id for r in kept} and len(ids) >= 0.9 * len(kept)
+    assert one.columns == columns and ids == brute_kept(docs)
     two = corpus_pipeline.STAGES[1][1](spark, one, SF)
     pages, held = Counter(rows[i].source for i in ids), Counter()
     strip = lambda s: s.strip(" \t\n\x0b\x0c\r")
@@ -703,11 +725,15 @@ def test_pipeline(spark, docs):
     want = {i: "\n".join(s for s in rows[i].text.split("\n") if (rows[i].source, strip(s)) not in gone) for i in ids}
     assert {r.doc_id: r.text for r in two.collect()} == want and two.columns == columns
     three = corpus_pipeline.STAGES[2][1](spark, two, SF)
-    left = {i for i, _, c in brute_groups([(i, brute_print(t)) for i, t in want.items()]) if i == c}
+    order = sorted(want)
+    left = {order[i] for i in brute_jaccard([want[i] for i in order])}
     assert {r.doc_id for r in three.collect()} == left and three.columns == columns
     four = corpus_pipeline.STAGES[3][1](spark, three, SF)
-    times = Counter(r.doc_id for r in four.collect())
-    assert times == Counter({r.doc_id: r._times for r in mixing.mix(three).collect() if r._times}) and four.columns == columns
-    five = corpus_pipeline.STAGES[4][1](spark, four, SF)
-    assert Counter(r.doc_id for r in five.collect()) == times
-    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == times
+    mixed = [(i, want[i], rows[i].source) for i in sorted(left)]
+    times = Counter({i: int(n) for (i, *_), n in zip(mixed, brute_mix(mixed)[0], strict=True) if n})
+    assert Counter(r.doc_id for r in four.collect()) == times and four.columns == columns
+    five = corpus_pipeline.STAGES[4][1](spark, four, SF).collect()
+    assert Counter(r.doc_id for r in five) == times
+    assert all(r.ids == sp.encode(want[r.doc_id]) and r.n_tokens == len(r.ids) for r in five)
+    found = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r.doc_id, tuple(r.ids)) for r in found) == sorted((r.doc_id, tuple(r.ids)) for r in five)
