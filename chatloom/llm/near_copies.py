@@ -11,7 +11,8 @@ repeats last; the sample decides how long postings are, never what is found. Whe
 meet first, their shingles from there on must suffice for the similarity; a pair that
 meets nowhere so is left out, which is most pairs that only share a passage. Parity
 bitmaps leave out most pairs that meet (they differ in no more bits than the sets do in
-shingles), and the sets themselves decide the rest.
+shingles): a short one of a fixed size inside the join of postings, so that such pairs
+are never made, then one as long as the set. The sets themselves decide the rest.
 
 Texts with equal sets are linked first, and one of them is posted. Sets that SimHash has
 put in one component are never paired again. In a posting of more than HOT sets each is
@@ -48,6 +49,8 @@ SHINGLE = 5
 NUMER, DENOM = 4, 5
 #: Sets in a posting above which it is contracted before its pairs are taken.
 HOT = 64
+#: Columns of the short bitmap that postings carry, 64 bits each.
+SKETCH = ("q0", "q1", "q2", "q3")
 #: Sets of crowded postings that a set is compared with before pairs are taken, those it meets most often.
 TRIES = 3
 #: Rows of a block, as bits of their numbers (a bitmap of Spark's has so many), of a bucket, about, and most buckets.
@@ -70,6 +73,12 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 == 1, bitorder="little").tobytes()
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """The same parity over a fixed number of classes, as the longs of SKETCH."""
+    size = 64 * len(SKETCH)
+    return np.packbits(np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1 == 1, bitorder="little").view("<i8").tolist()
+
+
 def prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The first shingles of a set, of which any set similar enough has one among its own; those in ``last`` (ascending) come last."""
     often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
@@ -143,11 +152,12 @@ def near_copies(texts: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     def make():
         def sign(t: bytes | None) -> tuple:
             s = np.unique(h) if len(h := shingle_hashes(t, SHINGLE)) else shingle_set(None)
-            return majority(h), len(s), xxhash.xxh128_digest(s.tobytes()), bitmap(s), prefix(s, last)
+            return majority(h), len(s), xxhash.xxh128_digest(s.tobytes()), bitmap(s), *sketch(s), prefix(s, last)
 
         return lambda ts: [sign(t) for t in ts]
 
-    made = map_texts(texts, make, "fp long, n int, key binary, bits binary, prefix array<long>", "id")
+    longs = ", ".join(f"{q} long" for q in SKETCH)
+    made = map_texts(texts, make, f"fp long, n int, key binary, bits binary, {longs}, prefix array<long>", "id")
     signed = bucketed(made.withColumn("block", F.shiftright("id", BLOCK_BITS)), buckets, "signed")
     firsts = materialize(signed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
     sets = chosen_rows(signed, buckets, firsts.select(F.col("first").alias("id")), True)
@@ -156,7 +166,7 @@ def near_copies(texts: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     centre = materialize(least_of_class(prints, link_classes(prints.select("fp"))), "centres")
     sweep(texts.sparkSession)
     near = salted_join(sets.select("id", "fp"), centre, "fp", F.col("id"), "inner").select(F.col("id").alias("x"), F.col("least").alias("y"))
-    posted = sets.select("id", "n", F.posexplode("prefix").alias("i", "k"))
+    posted = sets.select("id", "n", *SKETCH, F.posexplode("prefix").alias("i", "k"))
     counts = materialize(posted.groupBy("k").agg(F.count(F.lit(1)).alias("posted")).where("posted > 1"), "counts")
     sweep(texts.sparkSession)
     shared = materialize(seen_before(posted, "k", counts).join(counts, "k"), "postings")
@@ -181,14 +191,16 @@ def near_copies(texts: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     # postings within one component are settled; of the rest, all but the largest component's members seek partners
     sizes = members.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("k").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("top"), F.count(F.lit(1)).alias("comps"))
-    members = materialize(members.join(largest.where("comps > 1"), "k").select("k", "id", "n", "i", "comp", "top"), "members")
+    members = materialize(members.join(largest.where("comps > 1"), "k").select("k", "id", "n", "i", *SKETCH, "comp", "top"), "members")
     del sizes, largest
     sweep(texts.sparkSession, shared)
     a, b = members.alias("a"), members.alias("b")
     one_way = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.comp") != F.col("a.top")) & ((F.col("a.id") < F.col("b.id")) | (F.col("b.comp") == F.col("a.top")))
     # a similarity of T takes T / (1 + T) of both sizes in common: so much must be left from the first shared shingle on
     enough = (NUMER + DENOM) * F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= NUMER * (F.col("a.n") + F.col("b.n"))
-    links = linked(met(a.join(b, (F.col("a.k") == F.col("b.k")) & one_way & enough).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))), texts, buckets)
+    differ = functools.reduce(Column.__add__, [F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in SKETCH])
+    alike = (NUMER + DENOM) * differ <= (DENOM - NUMER) * (F.col("a.n") + F.col("b.n"))
+    links = linked(met(a.join(b, (F.col("a.k") == F.col("b.k")) & one_way & enough & alike).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))), texts, buckets)
     edges = links.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b")))
     copies = signed.join(firsts.where("copies > 1"), "key").select(F.col("id").alias("a"), F.col("first").alias("b"))
     return components(edges.unionByName(copies)).select(F.col("node").alias("id"), "label")

@@ -426,6 +426,19 @@ def test_near_duplicate_stage(spark, docs, hot):
     assert {r.doc_id for r in kept.collect()} == set(want)
 
 
+@pytest.mark.parametrize("size", [1, 9, 146, 3000])
+def test_sketch_keeps_similar_sets(size):
+    rng = np.random.default_rng(size)
+    for _ in range(50):
+        x = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        y = np.unique(np.r_[x[rng.integers(0, max(len(x) // 4, 1)) :], rng.integers(0, 2**64, rng.integers(0, size // 9 + 1), np.uint64)])
+        bits = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(near_copies.sketch(x), near_copies.sketch(y), strict=True))
+        differ = len(set(x.tolist()) ^ set(y.tolist()))
+        assert bits <= differ
+        if 5 * len(set(x.tolist()) & set(y.tolist())) >= 4 * len(set(x.tolist()) | set(y.tolist())):
+            assert 9 * bits <= len(x) + len(y)
+
+
 def test_keep_one_by_rows(spark):
     one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "xyz")
     rows = [(1, one), (1, two), (2, one), (None, three), (None, three), (None, two), (5, None)]
