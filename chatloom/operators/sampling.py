@@ -21,7 +21,10 @@ def parse_ratios(spec: str) -> dict[str, float]:
     return {k: v / total for k, v in ratios.items()} if abs(total - 1) > 0.01 else ratios
 
 
-def shuffled_limit(rows: DataFrame, n: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
+def shuffled_limit(rows: DataFrame, n: int, key: str = "doc_id", seed: int | None = 42) -> DataFrame:
+    """n rows in the order of a hash of seed and key; without a seed, in an order that differs from run to run."""
+    if seed is None:
+        return rows.orderBy(F.rand()).limit(n)
     return rows.orderBy(seeded(F.col(key), seed), key).limit(n)
 
 

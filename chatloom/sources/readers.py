@@ -29,7 +29,10 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     is_list = F.ltrim("raw", F.lit(" \t\n\r")).startswith("[")
     items = F.from_json(F.when(is_list, F.col("raw")).otherwise(F.concat(F.lit("["), F.col("raw"), F.lit("]"))), "array<string>")
     whole = is_list & F.get_json_object("raw", "$[0].role").isNotNull()
-    return docs.select("file", F.posexplode(F.when(whole, F.array("raw")).otherwise(items)).alias("pos", "record"))
+    found = docs.select("file", F.posexplode(F.when(whole, F.array("raw")).otherwise(items)).alias("pos", "record"))
+    if found.isEmpty():
+        raise ValueError(f"no records in {path}")
+    return found
 
 
 def logs(spark: SparkSession, path: str) -> DataFrame:

@@ -348,3 +348,24 @@ def test_event_files(spark, tmp_path):
     assert sorted((r.tag, r.step) for r in readers.scalars(rows).collect()) == [("lr", 1), ("train/loss", 9)]
     assert [r.name for r in events.log_folders(spark, str(tmp_path)).collect()] == ["m"]
     assert values(spark.createDataFrame([(0, "checkpoints_my_model")], "ord int, n string"), T.display_name(F.col("n"))) == ["My Model"]
+
+
+def test_holding_by_anchors(spark):
+    rows = [(1, "xx one two three four fivex y"), (2, "one two three four"), (3, None), (4, "a short b"), (4, "a short b"), (5, ""), (6, "one two  three four five")]
+    items = spark.createDataFrame([("one two three four five",), ("short",), ("e two three four fi",), (None,)], "passage string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(r.doc_id for r in dedup.holding(docs, items).collect())
+    assert want == [1, 4, 4]
+    assert sorted(r.doc_id for r in dedup.holding(docs, items, few=1).collect()) == want
+
+
+def test_shuffle_without_a_seed(spark):
+    assert sorted(r.id for r in sampling.shuffled_limit(spark.range(5), 9, "id", None).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_no_records(spark, tmp_path):
+    from chatloom.sources import readers
+
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(ValueError, match="no records"):
+        readers.records(spark, str(tmp_path))
