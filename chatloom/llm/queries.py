@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import ball_tree, chat_format, cotraining, licenses, line_dedup, mixing, pieces, quality_rules, simhash, token_counts
+from chatloom.llm import ball_tree, chat_format, cotraining, filter_audit, licenses, line_dedup, mixing, pieces, quality_rules
+from chatloom.llm import sharding, simhash, spelling, token_counts
 from chatloom.llm.common import materialize, table
 
 
@@ -76,6 +77,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.render(chat_format.fold(events)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(spelling.runs(F.col("text"), 7)).alias("run"))
+    return spelling.group_variants(spelling.dictionary(docs.select(spelling.misspelt(F.col("doc_id"), F.col("run")).alias("word"))))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_mixing,
         op10_chat_format,
+        op11_spelling_variants,
+        op12_sharding,
+        op13_filter_audit,
     )
 }
 
@@ -166,10 +184,59 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+_OP11 = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r GROUP BY doc_id, run),
+h AS (SELECT run, times, xor(4294967295, list_reduce(list_transform(range(1, length(x), 2), lambda k: ('0x' || substr(x, k, 2))::BIGINT),
+  lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1]), 4294967295::BIGINT)) AS h FROM c, crc),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h),
+w AS (SELECT word, sum(times)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+g AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM k),
+e AS (SELECT x.word AS u, y.word AS v, y.n AS m FROM g x JOIN g y ON x.i = y.i AND x.less = y.less AND x.word <> y.word
+  UNION SELECT g.word, w.word, w.n FROM g JOIN w ON g.less = w.word UNION SELECT w.word, g.word, g.n FROM g JOIN w ON g.less = w.word),
+b AS (SELECT u, count(*) AS near, first(v ORDER BY m DESC, v) AS best, max(m) AS best_n FROM e GROUP BY u),
+f AS (SELECT word, n, coalesce(near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM w LEFT JOIN b ON word = u),
+p AS (SELECT word, word AS at, form AS further FROM f UNION ALL SELECT p.word, f.word, f.form FROM p JOIN f ON p.further = f.word)
+SELECT f.word, form, p.at AS root, n, n_near, form_n FROM f JOIN p ON f.word = p.word AND p.further IS NULL"""
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+e AS (SELECT t AS same, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id AS id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+  coalesce(first < doc_id, false) AS e, coalesce(good, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic
+  FROM w JOIN e ON t = same LEFT JOIN l ON doc_id = id),
+g AS (SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT p.f || q.f || r.f || s.f || t.f AS filter_order FROM x p, x q, x r, x s, x t
+  WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+z AS (SELECT g.*, filter_order, list_transform(string_split(filter_order, ''), lambda k: CASE k WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails FROM g, o),
+y AS (SELECT *, unnest(range(1, 6)) AS step FROM z),
+k AS (SELECT part, filter_order, step::INT AS step,
+  sum(n) FILTER (WHERE NOT list_bool_or(fails[1:step])) AS kept,
+  sum(n) FILTER (WHERE fails[step] AND NOT coalesce(list_bool_or(fails[1:step - 1]), false)) AS removed,
+  sum(n) FILTER (WHERE fails[step] AND list_bool_or(fails[1:step - 1])) AS redundant,
+  sum(n) FILTER (WHERE fails[step] AND len(list_filter(fails, lambda v: v)) = 1) AS unique_fails,
+  sum(good) FILTER (WHERE fails[step] AND NOT coalesce(list_bool_or(fails[1:step - 1]), false)) AS good_lost,
+  sum(toxic) FILTER (WHERE fails[step] AND NOT coalesce(list_bool_or(fails[1:step - 1]), false)) AS toxic_lost
+  FROM y GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM k"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": _OP1,
     "op3_exact_top_k": _OP3,
     "op4_line_dedup": _OP4,
     "op9_mixing": _OP9,
     "op10_chat_format": _OP10,
+    "op11_spelling_variants": _OP11,
+    "op13_filter_audit": _OP13,
 }
