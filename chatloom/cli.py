@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chatloom.operators import conversations as V
 from chatloom.operators import sampling, secrets
 from chatloom.plans import pipelines
-from chatloom.sources import readers, writers
+from chatloom.sources import lines, readers, writers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     s = to.add_parser("scan-secrets", help="findings in a tree of source files")
     s.add_argument("path")
     s.add_argument("--output")
+    s.add_argument("--context", action="store_true", help="with two lines to either side of each finding")
     return p
 
 
@@ -71,7 +72,10 @@ def distill(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def scan(spark: SparkSession, a: argparse.Namespace) -> None:
-    found = secrets.file_scan(readers.source_tree(spark, a.path), "file", "text").withColumn("severity", secrets.severity(F.col("secret_type")))
+    every = lines.source_lines(spark, a.path)
+    found = lines.scan_lines(every).withColumn("severity", secrets.severity(F.col("secret_type")))
+    if a.context:
+        found = lines.surrounding(found, every)
     if a.output:
         writers.write_findings(found, a.output)
     found.groupBy("severity", "secret_type").count().orderBy(F.desc("count")).show(truncate=False)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
-from chatloom.functions.bind import let
+from chatloom.operators import passages
 from chatloom.operators.conversations import body, call_lines, first_of
+from chatloom.operators.tables import materialize
 
 
 def user_hash(messages: Column | str) -> Column:
@@ -56,33 +57,29 @@ def resume(prior: DataFrame, new: DataFrame, hashed: str = "h") -> DataFrame:
     return prior.withColumn("batch", F.lit(0)).unionByName(fresh.withColumn("batch", F.lit(1)), allowMissingColumns=True)
 
 
-#: Passages that are looked for one by one at most; words of a passage that more of them are found by.
-FEW, ANCHOR = 10_000, 3
+#: Passages that are looked for one by one at most.
+FEW = 10_000
 
 
-def holding(docs: DataFrame, items: DataFrame, few: int = FEW) -> DataFrame:
+def holding(docs: DataFrame, items: DataFrame, few: int = FEW, key: str | None = None) -> DataFrame:
     """docs: text and any columns; items: passage -> the documents whose text holds a passage. A null holds nothing.
 
-    Few passages are broadcast and looked for one by one. More are found by ANCHOR words
-    after their first (the first and last may be parts of longer words): only documents
-    with these words in a row are compared with a passage. Passages too short for that
-    are looked for one by one, in blocks of ``few``, each of which is broadcast.
+    Few passages are broadcast and looked for one by one. More are found by their rarest
+    inner words (``passages``); those of one or two words, which have none, one by one in
+    blocks of ``few``, each of which is broadcast. ``key``: a column with a value of its own
+    in each row; without one, rows are numbered and written to the shared folder.
     """
-    passages = items.where(F.col("passage").isNotNull()).select("passage").distinct()
-    if passages.count() <= few:
-        return docs.join(F.broadcast(passages), F.contains("text", "passage"), "left_semi")
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text"))
-    words, inner = F.split("passage", " "), F.slice(F.split("passage", " "), 2, ANCHOR)
-    long = passages.where(F.size(words) >= ANCHOR + 2).select("passage", F.xxhash64(inner).alias("_anchor"))
-    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - ANCHOR + 1), lambda i: F.xxhash64(F.slice(w, i, ANCHOR)))
-    anchors = let(F.split("_text", " "), lambda w: F.when(F.size(w) >= ANCHOR, hashes(w)))
-    keys = long.select("_anchor").distinct()
-    hits = rows.select("_text", F.explode(F.array_distinct(anchors)).alias("_anchor")).join(keys, "_anchor", "left_semi")
-    found = hits.join(long, "_anchor").where(F.contains("_text", "passage")).select("_text").distinct()
-    short = passages.where(F.size(words) < ANCHOR + 2)
-    blocks = short.count() // few + 1
+    wanted = items.where(F.col("passage").isNotNull()).select("passage").distinct()
+    if wanted.count() <= few:
+        return docs.join(F.broadcast(wanted), F.contains("text", "passage"), "left_semi")
+    names, own = docs.columns, key or "_row"
+    if key is None:
+        docs = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    inner = F.size(F.split("passage", " ")) >= 3
+    found = passages.holding_rows(docs.select(own, "text"), materialize(wanted.where(inner), "passages"), own)
+    short = materialize(wanted.where(~inner), "passages")
+    blocks = -(-short.count() // max(few, 1))
     for i in range(blocks):
         block = short.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == i)
-        found = found.unionByName(rows.join(F.broadcast(block), F.contains("_text", "passage"), "left_semi").select("_text"))
-    return rows.join(found.distinct(), "_text", "left_semi").select("_row.*")
+        found = found.unionByName(docs.join(F.broadcast(block), F.contains("text", "passage"), "left_semi").select(own))
+    return docs.join(found.distinct(), own, "left_semi").select(*names)

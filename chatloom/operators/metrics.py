@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions.schemas import LORA_TARGETS
+from chatloom.operators import series
 
 
 def head_acceptance(history: DataFrame, k: int, accepted: str = "accepted", by: list[str] | None = None) -> DataFrame:
@@ -25,45 +26,44 @@ def generation(accepted: Column, passes: Column, drafted: Column, tokens: Column
     }
 
 
-def cumulative_history(samples: DataFrame, run: str, order: str, accepted: str, compat: bool = False) -> DataFrame:
+def cumulative_history(samples: DataFrame, run: str, order: str, accepted: str, compat: bool = False, rows: int = series.ROWS) -> DataFrame:
     """Mean acceptance length of each prompt; with ``compat`` over all prompts so far, as a history that is never reset."""
     per = samples.groupBy(run, order).agg(F.sum(accepted).alias("s"), F.count(accepted).alias("n"))
     if compat:
-        w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        per = per.withColumns({"s": F.sum("s").over(w), "n": F.sum("n").over(w)})
+        per = series.running(series.laid_out(per, [run], [order], rows), [run], s=("sum", F.col("s")), n=("sum", F.col("n")))
     return per.select(run, order, F.coalesce(F.try_divide("s", "n"), F.lit(0.0)).alias("mal"))
 
 
-def series_summary(series: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+def series_summary(points: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return series.groupBy(*by).agg(zero(F.avg(value)).alias("mean"), zero(F.stddev_pop(value)).alias("std"), zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), F.count(value).alias("count"))
+    return points.groupBy(*by).agg(zero(F.avg(value)).alias("mean"), zero(F.stddev_pop(value)).alias("std"), zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), F.count(value).alias("count"))
 
 
-def smooth(series: DataFrame, by: list[str], order: list[str], value: str = "value", window: int = 10) -> DataFrame:
+def smooth(points: DataFrame, by: list[str], order: list[str], value: str = "value", window: int = 10, rows: int = series.ROWS) -> DataFrame:
     """Centred moving mean of window // 2 points to either side; series shorter than the window stay as they are."""
     half = window // 2
-    w = Window.partitionBy(*by).orderBy(*order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return series.withColumn("smoothed", F.when(n < window, F.col(value)).otherwise(F.avg(value).over(w.rowsBetween(-half, half))))
+    counted = series.with_totals(series.laid_out(points, by, order, rows), by, _n=F.count(F.lit(1)))
+    made = series.moving(counted, by, half, half, rows, _mean=F.avg(value))
+    return made.withColumn("smoothed", F.when(F.col("_n") < window, F.col(value)).otherwise(F.col("_mean"))).drop("_n", "_mean", "_ord", "_block")
 
 
-def trailing_mean(series: DataFrame, by: list[str], order: list[str], value: str = "value", window: int = 100) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
-    last = series.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= window)
+def trailing_mean(points: DataFrame, by: list[str], order: list[str], value: str = "value", window: int = 100) -> DataFrame:
+    """Mean of the last ``window`` points, by their numbers in the order of all series: no window over a series."""
+    last = series.with_totals(series.laid_out(points, by, order), by, _last=F.max("_ord")).where(F.col("_ord") > F.col("_last") - window)
     return last.groupBy(*by).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"))
 
 
-def early_stopping(epochs: DataFrame, run: list[str], order: str, val: str, train: str, patience: int = 5, overfit: float = 1.5) -> DataFrame:
+def early_stopping(epochs: DataFrame, run: list[str], order: str, val: str, train: str, patience: int = 5, overfit: float = 1.5, rows: int = series.ROWS) -> DataFrame:
     """``improved`` (strictly below the best so far), ``misses`` in a row, ``stopped`` (after ``patience`` misses with
     validation), ``overfit``. Without validation the training loss decides, and never stops."""
-    e = epochs.withColumn("watched", F.coalesce(val, train))
-    w = Window.partitionBy(*run).orderBy(order)
-    best = F.min("watched").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    e = e.withColumn("improved", best.isNull() | (F.col("watched") < best))
-    e = e.withColumn("_block", F.sum(F.col("improved").cast("int")).over(w))
-    e = e.withColumn("misses", (F.row_number().over(Window.partitionBy(*run, "_block").orderBy(order)) - 1).cast("int"))
-    hit = F.max(((F.col("misses") >= patience) & F.col(val).isNotNull()).cast("int")).over(w)
-    return e.withColumn("stopped", hit == 1).withColumn("overfit", F.coalesce(F.col(val) > overfit * F.col(train), F.lit(False))).drop("_block", "watched")
+    laid = series.laid_out(epochs.withColumn("watched", F.coalesce(val, train)), run, [order], rows)
+    e = series.running(laid, run, exclusive=True, _best=("min", F.col("watched")))
+    e = e.withColumn("improved", F.col("_best").isNull() | (F.col("watched") < F.col("_best"))).drop("_best")
+    e = series.running(e, run, _since=("max", F.when(F.col("improved"), F.col("_ord"))))
+    e = e.withColumn("misses", (F.col("_ord") - F.col("_since")).cast("int"))
+    e = series.with_totals(e, run, _stop=F.min(F.when((F.col("misses") >= patience) & F.col(val).isNotNull(), F.col("_ord"))))
+    e = e.withColumns({"stopped": F.coalesce(F.col("_ord") >= F.col("_stop"), F.lit(False)), "overfit": F.coalesce(F.col(val) > overfit * F.col(train), F.lit(False))})
+    return e.drop("watched", "_since", "_stop", "_ord", "_block")
 
 
 def accepted_prefix(steps: DataFrame, step: list[str], pos: str = "pos", least: float = 0.8) -> DataFrame:
@@ -97,8 +97,8 @@ def validation_loss(errors: DataFrame) -> DataFrame:
     return per.agg(F.avg("loss").alias("loss"))
 
 
-def sampled_steps(series: DataFrame, every: int = 10, step: str = "step") -> DataFrame:
-    return series.where(F.col(step) % every == 0)
+def sampled_steps(points: DataFrame, every: int = 10, step: str = "step") -> DataFrame:
+    return points.where(F.col(step) % every == 0)
 
 
 def mismatches(a: DataFrame, b: DataFrame, key: str = "phrase", value: str = "ids") -> DataFrame:
@@ -156,11 +156,10 @@ def training_time(samples: Column, epochs: Column, batch: Column, per_second: fl
 # tables that plots are drawn from
 
 
-def training_curve(series: DataFrame, run: str = "run") -> DataFrame:
+def training_curve(points: DataFrame, run: str = "run", rows: int = series.ROWS) -> DataFrame:
     """Loss by step with its smoothed curve, final and least value, and whether all are 0."""
-    w = Window.partitionBy(run)
-    s = smooth(series, [run], ["step"])
-    return s.withColumns({"final": F.max_by("value", "step").over(w), "least": F.min("value").over(w), "all_zero": F.max(F.abs("value")).over(w) == 0})
+    s = smooth(points, [run], ["step"], rows=rows)
+    return series.with_totals(s, [run], final=F.max_by("value", "step"), least=F.min("value"), all_zero=F.max(F.abs("value")) == 0)
 
 
 def acceptance_bars(rates: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.operators.selection import fill_to, take_first
 from chatloom.operators.tables import materialize
 
 
@@ -51,17 +52,10 @@ def global_rank(rows: DataFrame, order: list[Column], name: str = "ord") -> Data
 def quota_sample(rows: DataFrame, ratios: dict[str, float], n: int, source: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
     """Each source's first int(n * ratio) rows in seeded order; all its rows, if it has fewer.
 
-    Ranks come from one global order of sources and hashes, so a source with a large
-    share of the rows is ranked by many tasks. The broadcast side has a row per ratio.
+    Histograms of the hash find the last hash that each source takes; the rows are then one
+    filtered scan, without a sort or a shuffle.
     """
-    take = F.lit(None).cast("int")
-    for name, ratio in ratios.items():
-        take = F.when(F.col(source) == name, F.lit(int(n * ratio))).otherwise(take)
-    mine = rows.where(F.col(source).isin(list(ratios)))
-    ranked = global_rank(mine, [F.col(source), seeded(F.col(key), seed), F.col(key)], "_ord")
-    starts = ranked.groupBy(F.col(source).alias("_source")).agg(F.min("_ord").alias("_start"))
-    taken = ranked.join(F.broadcast(starts), F.col(source) == F.col("_source")).where(F.col("_ord") - F.col("_start") < take)
-    return taken.drop("_ord", "_source", "_start")
+    return take_first(rows, source, seeded(F.col(key), seed), key, {name: int(n * ratio) for name, ratio in ratios.items()})
 
 
 def split(rows: DataFrame, share: float = 0.8, key: str = "doc_id", seed: int = 42) -> DataFrame:
@@ -81,5 +75,5 @@ def shards(rows: DataFrame, size: int, order: str = "ord") -> DataFrame:
 
 
 def refill(rows: DataFrame, keep: Column, target: int, order: str) -> DataFrame:
-    """The first ``target`` rows that pass, in order."""
-    return rows.where(keep).orderBy(order).limit(target)
+    """The first ``target`` rows that pass, in order; rows beyond those that it takes are never tried."""
+    return fill_to(rows, keep, target, order).rows

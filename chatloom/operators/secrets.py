@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
 from chatloom.functions.schemas import FINDING, PII_HIGH, SECRET_PATTERNS
+from chatloom.operators.topn import first_rows
 
 
 def entropy_findings(rows: DataFrame, key: str, text: str, least: float = 0.7) -> DataFrame:
@@ -109,9 +110,12 @@ def line_context(lines: DataFrame, by: str, line: str = "line_number", text: str
     return lines.withColumn("context", F.array_join(F.collect_list(text).over(w), "\n"))
 
 
-
 def report(findings: DataFrame, order: list[str], medium: int = 5) -> DataFrame:
-    """All findings of high severity and the first few of medium, in order, each with its severity's count."""
-    w = Window.partitionBy("severity").orderBy(*order)
-    counted = findings.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("severity")), "rank": F.row_number().over(w)})
-    return counted.where((F.col("severity") == "HIGH") | ((F.col("severity") == "MEDIUM") & (F.col("rank") <= medium)))
+    """All findings of high severity and the first few of medium, by ``order``, each with its severity's count, n.
+
+    The first few are kept in bounded memory by each task, so a severity may have any
+    number of findings.
+    """
+    counts = findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    shown = findings.where("severity = 'HIGH'").unionByName(first_rows(findings.where("severity = 'MEDIUM'"), "severity", order, medium))
+    return shown.join(F.broadcast(counts), "severity")  # as many rows as there are severities

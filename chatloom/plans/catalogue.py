@@ -244,10 +244,12 @@ def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.page(rows, 50, 50).select("doc_id", "ord")
 
 
-@query("SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) ORDER BY d.doc_id LIMIT 50")
+@query(f"""
+SELECT doc_id FROM documents WHERE len({WORDS.format("text")}) >= 150 AND NOT regexp_matches(text, '[#$%&*|]') ORDER BY doc_id LIMIT 50""")
 def refill_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return sampling.refill(table(spark, sf_dir, "documents").select("doc_id").join(good, "doc_id"), F.lit(True), 50, "doc_id")
+    """The first 50 documents, by id, of 150 words or more and without symbols; those beyond aren't tried."""
+    keep = (F.size(T.words(F.col("text"))) >= 150) & ~F.col("text").rlike("[#$%&*|]")
+    return sampling.refill(table(spark, sf_dir, "documents"), keep, 50, "doc_id").select("doc_id")
 
 
 # secrets
@@ -415,7 +417,7 @@ def method_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH h AS (SELECT o_custkey % 10 AS run, o_orderkey % 50 AS prompt, count(*) AS s, count(*) AS n, sum(length(o_orderpriority)) AS a FROM orders GROUP BY 1, 2) SELECT run, prompt, round(sum(a) OVER w / sum(n) OVER w, 6) AS mal FROM h WINDOW w AS (PARTITION BY run ORDER BY prompt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def cumulative_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("run"), (F.col("o_orderkey") % 50).alias("prompt"), F.length("o_orderpriority").alias("accepted"))
-    return metrics.cumulative_history(o, "run", "prompt", "accepted", compat=True).withColumn("mal", F.round("mal", 6))
+    return metrics.cumulative_history(o, "run", "prompt", "accepted", compat=True, rows=16).withColumn("mal", F.round("mal", 6))
 
 
 @query("SELECT event_type, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(min(value), 5) AS min, round(max(value), 5) AS max, count(value) AS count FROM events GROUP BY event_type")
@@ -426,7 +428,7 @@ def series_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, round(CASE WHEN count(*) OVER (PARTITION BY event_type) < 10 THEN value ELSE avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END, 5) AS smoothed FROM events")
 def smooth_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.smooth(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"]).select("event_id", F.round("smoothed", 5).alias("smoothed"))
+    return metrics.smooth(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], rows=500).select("event_id", F.round("smoothed", 5).alias("smoothed"))
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT event_type, round(avg(value), 5) AS mean FROM r WHERE rn <= 100 GROUP BY event_type")
@@ -444,7 +446,7 @@ DAILY = "d AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, round(avg(val
 
 @query(f"WITH {DAILY}, b AS (SELECT *, min(val) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM d), i AS (SELECT *, (best IS NULL OR val < best) AS improved FROM b), g AS (SELECT *, sum(improved::INT) OVER (PARTITION BY event_type ORDER BY day) AS block FROM i), m AS (SELECT *, (row_number() OVER (PARTITION BY event_type, block ORDER BY day) - 1)::INT AS misses FROM g) SELECT event_type, day, improved, misses, max((misses >= 5)::INT) OVER (PARTITION BY event_type ORDER BY day) = 1 AS stopped, val > 1.5 * train AS overfit FROM m")
 def best_so_far_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.early_stopping(daily(spark, sf_dir), ["event_type"], "day", "val", "train").select("event_type", "day", "improved", "misses", "stopped", "overfit")
+    return metrics.early_stopping(daily(spark, sf_dir), ["event_type"], "day", "val", "train", rows=10).select("event_type", "day", "improved", "misses", "stopped", "overfit")
 
 
 @query("SELECT event_id, round(value, 6) AS value FROM events WHERE event_id % 10 = 0")
@@ -478,7 +480,7 @@ def validation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH s AS (SELECT event_type AS run, strftime(ts, '%Y-%m-%d') AS step, avg(value) AS value FROM events GROUP BY 1, 2) SELECT run, step, round(value, 5) AS value, round(CASE WHEN count(*) OVER (PARTITION BY run) < 10 THEN value ELSE avg(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END, 5) AS smoothed, round(last_value(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 5) AS final, round(min(value) OVER (PARTITION BY run), 5) AS least, max(abs(value)) OVER (PARTITION BY run) = 0 AS all_zero FROM s")
 def training_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run"), F.to_date("ts").cast("string").alias("step")).agg(F.avg("value").alias("value"))
-    c = metrics.training_curve(s)
+    c = metrics.training_curve(s, rows=16)
     return c.select("run", "step", *[F.round(x, 5).alias(x) for x in ("value", "smoothed", "final", "least")], "all_zero")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from chatloom.operators.seen import SeenSet, listed, resume_batch
 from chatloom.operators.tables import fresh_path
 
 
@@ -21,15 +23,21 @@ def distinct(rows: DataFrame, key: str, ts: str | None = None, delay: str | None
     return rows.dropDuplicates([key]) if delay is None else rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def resume_into(rows: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Append rows whose key the Parquet sink doesn't hold yet; a batch that runs again adds nothing."""
+def resume_into(rows: DataFrame, path: str, key: str, checkpoint: str, bits: int = 8) -> StreamingQuery:
+    """Append rows whose key the Parquet sink doesn't hold yet; a batch that runs again adds nothing.
+
+    What the sink holds is in a stored set beside it, ``<path>-seen``, of which a batch reads
+    what its keys touch. A sink that is older than its set is read once, for its keys. One
+    stream writes to a sink at a time; each has a checkpoint of its own.
+    """
+    spark = rows.sparkSession
+    seen = SeenSet(spark, f"{path.rstrip('/')}-seen", bits)
+    if not seen.commits() and any(n.endswith(".parquet") for n in listed(spark, path)):
+        seen.commit(spark.read.parquet(path).select(key), "earlier")
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        new.write.mode("append").parquet(path)
+        resume_batch(SeenSet(batch.sparkSession, seen.path, bits), batch, key, path, f"{stream}-{number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from chatloom.plans import catalogue
+from chatloom.plans import large as _large  # noqa: F401  adds its queries to the catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
