@@ -1,16 +1,17 @@
-"""Command line: generate a dataset, distil logs, scan for secrets. Options mirror the functions in plans.pipelines."""
+"""Command line: generate a dataset, distil logs, scan for secrets, evaluate, and write the tables of plots. Options mirror
+the functions in plans.pipelines and plans.reports."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.operators import conversations as V
-from chatloom.operators import sampling, secrets
-from chatloom.plans import pipelines
-from chatloom.sources import lines, readers, writers
+from chatloom.operators import preflight, sampling, secrets
+from chatloom.plans import pipelines, reports
+from chatloom.sources import events, lines, readers, writers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,6 +40,21 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("path")
     s.add_argument("--output")
     s.add_argument("--context", action="store_true", help="with two lines to either side of each finding")
+    e = to.add_parser("evaluate", help="speed, acceptance and losslessness of decoding runs")
+    e.add_argument("--samples", required=True, help="JSON lines of decoding runs")
+    e.add_argument("--baseline", help="the method that others are held against")
+    e.add_argument("--heads", type=int, default=4)
+    e.add_argument("--output", required=True)
+    t = to.add_parser("plot-tables", help="what the plots of training and of two evaluations are drawn from")
+    t.add_argument("--logs", help="folder of event files")
+    t.add_argument("--model1", help="samples of one evaluation")
+    t.add_argument("--model2", help="and of another")
+    t.add_argument("--method", help="the method to compare")
+    t.add_argument("--window", type=int, default=10)
+    t.add_argument("--output", required=True)
+    f = to.add_parser("preflight", help="checks of a training set; fails if it isn't fit to train on")
+    f.add_argument("dataset")
+    f.add_argument("--output")
     return p
 
 
@@ -81,10 +97,38 @@ def scan(spark: SparkSession, a: argparse.Namespace) -> None:
     found.groupBy("severity", "secret_type").count().orderBy(F.desc("count")).show(truncate=False)
 
 
+def samples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(reports.SAMPLES).option("mode", "FAILFAST").json(path)
+
+
+def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
+    tables = reports.evaluation_tables(samples(spark, a.samples), a.baseline, a.heads)
+    reports.write_tables(tables, a.output)
+    tables["totals"].show(truncate=False)
+
+
+def plot_tables(spark: SparkSession, a: argparse.Namespace) -> None:
+    if bool(a.model1) != bool(a.model2) or (a.model1 and not a.method) or not (a.logs or a.model1):
+        raise SystemExit("give --logs, or --model1, --model2 and --method")
+    tables = reports.training_tables(readers.scalars(events.read_scalars(spark, a.logs)), a.window) if a.logs else {}
+    if a.model1:
+        tables["comparison"] = reports.comparison_table(samples(spark, a.model1), samples(spark, a.model2), a.method)
+    reports.write_tables(tables, a.output)
+
+
+def check(spark: SparkSession, a: argparse.Namespace) -> None:
+    found = preflight.report(readers.prior_output(spark, a.dataset), preflight.dataset_checks())
+    if a.output:
+        writers.write_json(found, a.output)
+    found.show(truncate=False)
+    if not preflight.ready(found):
+        raise SystemExit("the dataset isn't ready")
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"chatloom {a.command}").getOrCreate()
-    {"generate": generate, "distill": distill, "scan-secrets": scan}[a.command](spark, a)
+    {"generate": generate, "distill": distill, "scan-secrets": scan, "evaluate": evaluate, "plot-tables": plot_tables, "preflight": check}[a.command](spark, a)
 
 
 if __name__ == "__main__":

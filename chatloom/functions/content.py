@@ -20,7 +20,8 @@ from pyspark.sql.types import StringType
 
 from chatloom.functions.schemas import MESSAGES
 
-FAILED = object()
+class FAILED:
+    """What from_json gives for text that isn't JSON. A class, since it is the same one in every worker."""
 
 
 def from_json(text: str) -> Any:

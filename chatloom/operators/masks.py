@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from chatloom.functions import text as T
-from chatloom.functions.bind import let
+from chatloom.functions import tokenizers
 from chatloom.functions.schemas import LOSS_MASK, SEGMENT
 
 
@@ -35,11 +31,9 @@ def char_mask(messages: Column | str) -> Column:
     return F.flatten(F.transform(messages, lambda m: F.array_repeat((m.role == "assistant").cast("int"), F.length(F.coalesce(m.content, F.lit(""))))))
 
 
-@F.pandas_udf(ArrayType(StructType().add("start", IntegerType()).add("stop", IntegerType())))
-def blank_tokens(text: pd.Series) -> pd.Series:
-    """Offsets (from 0, end exclusive) of a text's blank-separated words: the built-in tokenizer. Any other that gives
-    offsets can stand in its place; folding offsets natively copies the array for each token."""
-    return text.map(lambda t: [{"start": m.start(), "stop": m.end()} for m in re.finditer(r"[^ ]+", t or "")])
+def blank_tokens(text: Column, tokenizer: tokenizers.Tokenizer = tokenizers.by_blanks) -> Column:
+    """Offsets (from 0, end exclusive) of a text's tokens: blank-separated words, or what another tokenizer gives."""
+    return tokenizers.token_offsets(text, tokenizer)
 
 
 SPANS = "array<struct<start:int,stop:int>>"
@@ -61,11 +55,8 @@ def trained_spans(text: Column, messages: Column | str) -> Column:
 
 
 def token_mask(tokens: Column, spans: Column) -> Column:
-    """1 for tokens wholly within a span."""
-    def within(both: Column) -> Column:
-        return F.transform(both.t, lambda t: F.exists(both.s, lambda s: (t.start >= s.start) & (t.stop <= s.stop)).cast("int"))
-
-    return let(F.struct(tokens.alias("t"), spans.alias("s")), within)
+    """1 for tokens wholly within a span: a merge of sorted spans and tokens, not every token against every span."""
+    return tokenizers.within(tokens, spans)
 
 
 def tail_mask(n: Column) -> Column:

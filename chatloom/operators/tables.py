@@ -3,16 +3,37 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders that this process has had written, in order, for release().
-MADE: list[str] = []
+#: Folders that queries outside any run of their own have had written, in order, for release().
+_SHARED: list[str] = []
+_RUN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("run", default=None)
+#: Tables of the catalogue whose files are in a folder.
+CATALOGUED: dict[str, str] = {}
+
+
+def made() -> list[str]:
+    """The folders written so far, in order: of this run, if it has tables of its own."""
+    own = _RUN.get()
+    return _SHARED if own is None else own
+
+
+@contextlib.contextmanager
+def own_tables() -> Iterator[list[str]]:
+    """Within it, what is written belongs to one run: release() leaves the tables of all others alone."""
+    token = _RUN.set([])
+    try:
+        yield made()
+    finally:
+        _RUN.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    MADE.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    made().append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     return path
 
 
@@ -40,7 +61,9 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Hadoop's file system, wherever it lives."""
+    """Remove a folder through Hadoop's file system, wherever it lives, and the catalogue's table of it."""
+    if name := CATALOGUED.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -55,7 +78,7 @@ def free(spark: SparkSession) -> None:
 def release(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> None:
     """Remove the tables written after the first ``since``, but for those in ``keep``. Results not read by then can't be read after."""
     kept = set(keep)
-    for path in MADE[since:]:
+    for path in made()[since:]:
         if path not in kept:
             delete(spark, path)
-            MADE.remove(path)
+            made().remove(path)

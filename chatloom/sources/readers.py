@@ -71,8 +71,10 @@ def source_tree(spark: SparkSession, path: str, extensions: tuple[str, ...] = SC
 
 
 def feature_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Feature rows of all shards, in order of shard and row."""
-    return spark.read.parquet(path).withColumn("ord", F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index")))
+    """Feature rows of all shards with ord, which puts them in order of shard, file and row; files of shards may share names."""
+    rows = spark.read.parquet(path)
+    first = [F.col("shard")] if "shard" in rows.columns else []
+    return rows.withColumn("ord", F.struct(*first, F.col("_metadata.file_path"), F.col("_metadata.row_index")))
 
 
 def lm_head_overlap(weights: DataFrame, vocab: int, hidden: int) -> DataFrame:
@@ -87,11 +89,12 @@ def scalars(series: DataFrame) -> DataFrame:
 
 
 def json_result(spark: SparkSession, path: str) -> DataFrame | None:
-    """An evaluation or configuration file, or None if there is none."""
+    """An evaluation, history or configuration: JSON lines, or a document over several lines; None if there is none."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.option("multiLine", True).json(path)
+        found = spark.read.json(path)
+        return found if "_corrupt_record" not in found.columns else spark.read.option("multiLine", True).json(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
