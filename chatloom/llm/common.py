@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.operators.tables import MADE, delete, free, fresh_path, materialize, release, shared_dir
+from chatloom.operators.tables import CATALOGUED, delete, free, fresh_path, made, materialize, own_tables, release, shared_dir
 
-__all__ = ["MADE", "delete", "free", "fresh_path", "materialize", "release", "shared_dir"]
+__all__ = ["CATALOGUED", "delete", "free", "fresh_path", "made", "materialize", "own_tables", "release", "shared_dir"]
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm.arrow import map_texts
-from chatloom.llm.common import MADE, delete, free, fresh_path, materialize, pack, release, unpack
+from chatloom.llm.common import CATALOGUED, delete, free, fresh_path, made, materialize, pack, release, unpack
 from chatloom.llm.components import components
 from chatloom.llm.simhash import SEED, least_of_class, link_classes, majority, shingle_hashes
 from chatloom.operators.skew import salted_join
@@ -213,7 +213,8 @@ def bucketed(rows: DataFrame, buckets: int, name: str) -> DataFrame:
     held = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
     spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")  # a task has one bucket or a few: no sort for them
     try:
-        rows.write.option("compression", "zstd").bucketBy(buckets, "block").option("path", fresh_path(spark, name)).saveAsTable(table)
+        CATALOGUED[path := fresh_path(spark, name)] = table
+        rows.write.option("compression", "zstd").bucketBy(buckets, "block").option("path", path).saveAsTable(table)
     finally:
         spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", held)
     return spark.table(table)
@@ -256,12 +257,12 @@ def chosen_rows(rows: DataFrame, buckets: int, ids: DataFrame, there: bool) -> D
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row of each component, the one with the smallest key; a null key comes last."""
     rows, buckets = numbered(docs)
-    since = len(MADE)
+    since = len(made())
     found = materialize(near_copies(rows.select("id", "block", F.col("_row").getField(text).alias("text")), buckets, hot), "near-copies")
     who = F.col("_row").getField(key)
     named = found.join(rows.select("id", F.struct(who.isNull().alias("none"), who.alias("key"), F.col("id").alias("row")).alias("who")), "id")
     best = named.groupBy("label").agg(F.min("who").alias("least"))
     gone = salted_join(named, best, "label", F.col("id"), "inner").where(F.col("id") != F.col("least.row")).select("id")
     gone = materialize(gone, "dropped")
-    release(docs.sparkSession, since, keep=[MADE[-1]])
+    release(docs.sparkSession, since, keep=[made()[-1]])
     return unpack(chosen_rows(rows, buckets, gone, False))
