@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm import line_dedup, mixing, near_copies, pieces, quality_rules
-from chatloom.llm.common import MADE, delete, materialize, release, table
+from chatloom.llm.common import delete, materialize, own_tables, release, table
 from chatloom.llm.queries import PIECES
 
 
@@ -58,14 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each stage's result is written, and what it was made from is removed then."""
+    """All stages over documents. Each stage's result is written, and what it was made from is removed then; tables of
+    other queries and runs in this driver are left alone."""
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        since = len(MADE)
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        now = MADE[-1]
-        release(spark, since, keep=[now])
-        if before:
-            delete(spark, before)
-        before = now
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with own_tables() as written:
+        for name, stage in STAGES[:-1]:
+            since = len(written)
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            now = written[-1]
+            release(spark, since, keep=[now])
+            if before:
+                delete(spark, before)
+            before = now
+        return STAGES[-1][1](spark, docs, sf_dir)
