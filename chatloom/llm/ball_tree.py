@@ -1,11 +1,17 @@
 """Exact top-k inner-product search: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt over shards of bounded size. A task builds its shard's tree once and lets
-all queries stream past it in blocks: each query goes down to the leaf of the best upper
-bound q.c + |q| r, whose scores give a first kth score, then visits its other leaves in the
-order of their bounds, leaving out every node below the current kth score. Shards are
-searched in waves of 1, 2, 4, 8 and so on; the kth scores over all waves so far are shared
-with all shards of the next.
+The upper nodes of one tree, laid out by a sample, deal the vectors to shards, so that a
+shard is a tight ball; a shard of too many rows (copies can't be split by place) is cut
+into parts by a hash. A query asks its best shard first, by the upper bound q.c + |q| r, then
+the next few, then the rest; the kth score over all that it has seen is shared with all
+shards of the next wave, and a shard whose bound is below it isn't asked. What a part is
+asked for is cut into blocks of queries, and each part and block is a task's unit of work. A
+task builds its part's tree and lets the queries stream past it: each goes down to the leaf
+of the best bound, whose scores give a first kth score, then visits its other leaves in the
+order of their bounds, leaving out every node below the current kth score.
+
+The sample (SAMPLE vectors) and the shards (MOST_SHARDS) are bounded, and decide which
+vectors are together and never what is found.
 
 Cases: vectors that are null or hold null or non-finite components take no part; nor
 do null ids. Shorter vectors are padded with zeros. Scores are integers, exact in double
@@ -24,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import fresh_path, materialize
+from chatloom.llm.common import materialize
 
 K = 20
 SCALE = 64
-#: Rows of a shard at least, components of one at most, about, and queries that meet it at once.
-SHARD_ROWS, SHARD_CELLS, BLOCK_ROWS = 8192, 1 << 23, 8192
+#: Rows of a shard or part, about; components of one at most; queries that meet it at once, and those of a unit of work.
+SHARD_ROWS, SHARD_CELLS, BLOCK_ROWS, UNIT_ROWS = 8192, 1 << 23, 8192, 32768
+#: Vectors that the upper tree is laid out by, its shards at most, and shards that a query asks in the first waves.
+SAMPLE, MOST_SHARDS, WAVES = 20_000, 4096, (1, 3, 12)
+#: Slots by which a shard's rows are cut into parts.
+SLOTS = 1 << 16
 LEAF = 64
 RESULT = "query_id long, vec_id long, score long"
 
@@ -185,28 +195,129 @@ def matrix(column: pa.ChunkedArray, d: int, scale: int) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, shard_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+class Layout:
+    """The upper nodes of a tree: for each the way to its children, and for each leaf, a shard, its centre."""
+
+    def __init__(self, sample: np.ndarray, shards: int) -> None:
+        v = sample.astype(np.float64)
+        self.turn, self.limit, self.children, leaves = [], [], [], []
+        todo = [(len(v), 0, np.arange(len(v)), None)]  # the largest first
+        while todo:
+            todo.sort(key=lambda t: (t[0], -t[1]))
+            _, number, rows, parent = todo.pop()
+            split = self.halves(v[rows]) if len(todo) + len(leaves) + 1 < shards and len(rows) > 1 else None
+            at = -len(leaves) - 1 if split is None else len(self.turn)
+            if parent is not None:
+                self.children[parent[0]][parent[1]] = at
+            if split is None:
+                leaves.append(v[rows].mean(axis=0) if len(rows) else np.zeros(v.shape[1]))
+                continue
+            turn, limit, left = split
+            self.turn.append(turn)
+            self.limit.append(limit)
+            self.children.append([0, 0])
+            todo += [(left.sum(), 2 * number + 1, rows[left], (at, 0)), ((~left).sum(), 2 * number + 2, rows[~left], (at, 1))]
+        self.centre = np.array(leaves)
+
+    @staticmethod
+    def halves(rows: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
+        """A direction, a limit and the rows up to it; None for rows that can't be told apart."""
+        c = rows.mean(axis=0)
+        a = rows[((rows - c) ** 2).sum(axis=1).argmax()]
+        b = rows[((rows - a) ** 2).sum(axis=1).argmax()]
+        along = rows @ (b - a)
+        for limit in (np.median(along), along.mean(), along.min()):
+            left = along <= limit
+            if 0 < left.sum() < len(rows):
+                return b - a, float(limit), left
+        return None
+
+    def route(self, v: np.ndarray) -> np.ndarray:
+        """The shard of each row."""
+        at = np.zeros(len(v), np.int64) if self.turn else np.full(len(v), -1)
+        todo = [0] if self.turn else []
+        while todo:
+            n = todo.pop()
+            here = np.flatnonzero(at == n)
+            if len(here):
+                left, right = self.children[n]
+                at[here] = np.where(v[here] @ self.turn[n] <= self.limit[n], left, right)
+                todo += [c for c in (left, right) if c > 0]
+        return -at - 1
+
+    def reach(self, v: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        return np.sqrt(((v - self.centre[shard]) ** 2).sum(axis=1))
+
+    def bounds(self, q: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Upper bounds of the queries' products with each shard's rows, above rounding; shards without rows have none."""
+        norm, size = np.sqrt((q**2).sum(axis=1)), np.sqrt((self.centre**2).sum(axis=1)) + np.maximum(radius, 0)
+        out = q @ self.centre.T + norm[:, None] * (np.maximum(radius, 0) + 1e-9 * size) + 1e-6
+        out[np.isnan(out)] = np.inf
+        out[:, radius < 0] = -np.inf
+        return out
+
+
+def units(counts: dict[int, int], asked: dict[int, int], part_rows: int, unit_rows: int) -> tuple[dict[int, tuple[int, int, int]], int]:
+    """For each shard that is asked: its first unit of work, its parts (of up to twice ``part_rows``) and its blocks of
+    queries; and the number of units."""
+    out, base = {}, 0
+    for shard, n in sorted(asked.items()):
+        parts, blocks = -(-counts[shard] // (2 * part_rows)), -(-n // unit_rows)
+        out[shard] = (base, parts, blocks)
+        base += parts * blocks
+    return out, base
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, shard_rows: int | None = None, block_rows: int = BLOCK_ROWS, unit_rows: int = UNIT_ROWS, asked_log: list[int] | None = None) -> DataFrame:
     """vectors: vec_id, embedding -> query_id, rank, vec_id, score: each query's k best other rows by the inner product
-    of floor(scale * x). shard_rows: by default, what gives every core some shards, within the bounds above."""
+    of floor(scale * x). shard_rows: by default, what gives every core some shards, within the bounds above. asked_log gets
+    the number of pairs of a query and a shard that each wave asks."""
     spark = vectors.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     v = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks"))
     n, longest = v.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     d = max(1, longest or 1)
     if shard_rows is None:
-        shard_rows = min(max(SHARD_ROWS, n // (4 * spark.sparkContext.defaultParallelism)), max(SHARD_ROWS, SHARD_CELLS // d))
-    shards = max(1, -(-n // shard_rows))
-    waves = shards.bit_length()
-    # dealt once and written, by row and not by id, so that rows which repeat an id spread too; a wave is a folder of its own
-    shard = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    q = materialize(v.where("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
-    dealt = v.drop("asks").withColumn("shard", shard).withColumn("wave", (F.length(F.bin(F.col("shard") + 1)) - 1))
-    schema = dealt.schema
-    dealt.write.partitionBy("wave").parquet(path := fresh_path(spark, "shards"))
-    dealt = spark.read.schema(schema).parquet(path)
+        shard_rows = min(max(SHARD_ROWS // 8, min(SHARD_ROWS, n // (2 * cores))), max(SHARD_ROWS // 8, SHARD_CELLS // d))
+    shards = min(MOST_SHARDS, max(1, -(-n // shard_rows)))
+    order = F.xxhash64("vec_id", "embedding")
+    some = v.select("vec_id", "embedding").where(F.pmod(order, F.lit(1 << 20)) <= max(1, 2 * SAMPLE * (1 << 20) // max(n, 1))).orderBy(order).limit(SAMPLE)
+    drawn = some.select("embedding").toArrow()
+    layout = Layout(matrix(drawn["embedding"], d, scale).astype(np.float64) if drawn.num_rows else np.zeros((0, d)), shards)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = matrix(pa.chunked_array([batch.column(1)]), d, scale).astype(np.float64)
+            shard = layout.route(rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int32)), pa.array(layout.reach(rows, shard))], [*batch.schema.names, "shard", "reach"])
+
+    # dealt once and written; slots by row and not by id, so that rows which repeat an id spread too
+    slot = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(SLOTS)).cast("int")
+    dealt = materialize(v.select("vec_id", "embedding", "asks", slot.alias("slot")).mapInArrow(deal, "vec_id long, embedding array<double>, asks boolean, slot int, shard int, reach double"), "shards")
+    q = materialize(dealt.where("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    counts, radius = {}, np.full(len(layout.centre), -1.0)
+    for r in dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).collect():  # MOST_SHARDS rows at most
+        counts[r.shard], radius[r.shard] = r.n, np.inf if r.reach != r.reach else r.reach
+
+    def ask(lo: int, hi: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each query with the shards of its lo-th to hi-th bound that reach its kth score so far."""
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    rows = matrix(pa.chunked_array([part.column(1)]), d, scale).astype(np.float64)
+                    bound = layout.bounds(rows, radius)
+                    least = np.nextafter(part.column(2).to_numpy(), -np.inf)
+                    best = np.argsort(-bound, axis=1, kind="stable")[:, lo:hi]
+                    held = np.take_along_axis(bound, best, 1)
+                    who, place = np.nonzero((held >= least[:, None]) & (held > -np.inf))
+                    yield pa.RecordBatch.from_arrays([*part.take(pa.array(who)).columns, pa.array(best[who, place].astype(np.int32))], ["vec_id", "embedding", "least", "shard"])
+
+        return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by shard: its vectors, then its queries."""
+        """Rows by unit: a part's vectors, then its queries."""
         held: list[pa.RecordBatch] = []
         shard, now = None, None
         for batch in batches:
@@ -229,16 +340,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
                     yield pa.RecordBatch.from_arrays([pa.array(qids[who]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    found = None
-    for wave in range(waves):
-        known = q.withColumn("least", F.lit(float("-inf")))
-        if found is not None:
-            kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
-            known = q.join(kth.select(F.col("query_id").alias("vec_id"), F.col("kth").cast("double")), "vec_id", "left").select("vec_id", "embedding", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
-        first, last = (1 << wave) - 1, min(shards, (2 << wave) - 1) - 1
-        here = dealt.where(F.col("wave") == wave).select("shard", F.lit(0).alias("asks"), "vec_id", "embedding", F.lit(None).cast("double").alias("least"))
-        asked = known.select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "embedding", "least")
-        rows = here.unionByName(asked).repartition(last - first + 1, "shard").sortWithinPartitions("shard", "asks").mapInArrow(run, RESULT)
-        rows = rows if found is None else found.unionByName(rows)
-        found = materialize(rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "score"), "nearest")
+    found = materialize(spark.createDataFrame([], RESULT), "nearest")
+    lo = 0
+    for width in (*WAVES, len(layout.centre)):
+        kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
+        known = q.join(kth.select(F.col("query_id").alias("vec_id"), F.col("kth").cast("double")), "vec_id", "left").select("vec_id", "embedding", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
+        asked = known.repartition(2 * cores).mapInArrow(ask(lo, lo + width), "vec_id long, embedding array<double>, least double, shard int")
+        many = {r.shard: r.n for r in asked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if asked_log is not None:
+            asked_log.append(sum(many.values()))
+        if not many:
+            break
+        plan, total = units(counts, many, shard_rows, unit_rows)
+        base, parts, blocks = ([plan.get(s, (0, 0, 0))[i] for s in range(len(layout.centre))] for i in range(3))
+        of = lambda values: F.get(F.split(F.lit(",".join(map(str, values))), ","), F.col("shard")).cast("int")
+        numbers = spark.range(len(layout.centre)).select(F.col("id").cast("int").alias("shard")).select("shard", of(base).alias("base"), of(parts).alias("parts"), of(blocks).alias("blocks")).where("parts > 0")
+        mine = F.floor(F.col("slot") * F.col("parts") / SLOTS).cast("int")
+        unit = lambda part, block: (F.col("base") + part * F.col("blocks") + block).cast("int").alias("unit")
+        here = dealt.select("shard", "slot", "vec_id", "embedding").join(F.broadcast(numbers), "shard").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        here = here.select(unit(mine, F.col("block")), F.lit(0).alias("asks"), "vec_id", "embedding", F.lit(None).cast("double").alias("least"))
+        there = asked.join(F.broadcast(numbers), "shard").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        there = there.select(unit(F.col("part"), F.pmod(F.xxhash64("vec_id"), F.col("blocks"))), F.lit(1).alias("asks"), "vec_id", "embedding", "least")
+        tasks = min(total, max(8 * cores, 200))
+        rows = here.unionByName(there).repartitionById(tasks, F.col("unit") % tasks).sortWithinPartitions("unit", "asks").mapInArrow(run, RESULT)
+        found = materialize(found.unionByName(rows).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "score"), "nearest")
+        lo += width
+        if lo >= len(layout.centre):
+            break
     return found.withColumn("rank", rank).select("query_id", "rank", "vec_id", "score")
