@@ -11,6 +11,9 @@ score: how freely the document may be used, 0 to 1: each licence has a grade; ``
 takes the better side, ``and`` the worse, ``with`` adds a little for the exception; of
 several notices the worst counts. 0 where nothing is found.
 
+Labels are of notices, and of the tags' names that are known identifiers or begin with
+LicenseRef-; an unknown name still counts for the score.
+
 Cases: a null text is empty. An expression that doesn't parse counts by its licence
 names alone, joined by ``and``. Repeated rows are scanned one by one; an empty table
 gives no rows.
@@ -28,30 +31,71 @@ from chatloom.llm.arrow import map_texts
 # The base phrases with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Phrases of the method's own, with their labels.
-NOTICES = {
-    "mit license": "mit",
-    "apache license": "apache",
-    "apache license version 2 0": "apache-2.0",
-    "bsd license": "bsd",
-    "2 clause bsd": "bsd-2-clause",
-    "3 clause bsd": "bsd-3-clause",
-    "isc license": "isc",
-    "mozilla public license": "mpl",
-    "eclipse public license": "epl",
-    "lesser general public license": "lgpl",
-    "affero general public license": "agpl",
-    "general public license version 2": "gpl-2.0",
-    "general public license version 3": "gpl-3.0",
-    "creative commons": "cc",
-    "cc by sa": "cc-by-sa",
-    "cc by nc": "cc-by-nc",
-    "cc by nd": "cc-by-nd",
-    "cc0": "cc0",
-    "public domain": "public-domain",
-    "the unlicense": "unlicense",
-    "proprietary and confidential": "proprietary",
-}
+# Names of licences as the public list of identifiers has them, by family, with the family's versions
+# ("-": the name alone is one, too) and, in words, what a notice calls it.
+FAMILIES = {
+    "academic": ("afl", "1.1 1.2 2.0 2.1 3.0", "academic free"), "affero": ("agpl", "1.0 3.0", "affero general public"),
+    "apache": ("apache", "1.0 1.1 2.0", "apache"), "apple": ("apsl", "1.0 1.1 1.2 2.0", "apple public source"),
+    "artistic": ("artistic", "1.0 2.0", "artistic"), "boost": ("bsl", "1.0", "boost software"),
+    "bsd": ("bsd", "1-clause 2-clause 3-clause 4-clause", "bsd"), "cddl": ("cddl", "1.0 1.1", "common development and distribution"),
+    "cecill": ("cecill", "1.0 1.1 2.0 2.1", "cecill"), "common": ("cpl", "1.0", "common public"),
+    "by": ("cc-by", "1.0 2.0 2.5 3.0 4.0", "creative commons attribution"), "by-nc": ("cc-by-nc", "1.0 2.0 2.5 3.0 4.0", "creative commons attribution noncommercial"),
+    "by-nd": ("cc-by-nd", "1.0 2.0 2.5 3.0 4.0", "creative commons attribution noderivatives"), "by-sa": ("cc-by-sa", "1.0 2.0 2.5 3.0 4.0", "creative commons attribution sharealike"),
+    "by-nc-nd": ("cc-by-nc-nd", "1.0 2.0 2.5 3.0 4.0", "creative commons attribution noncommercial noderivatives"),
+    "by-nc-sa": ("cc-by-nc-sa", "1.0 2.0 2.5 3.0 4.0", "creative commons attribution noncommercial sharealike"),
+    "cc0": ("cc0", "1.0", "cc0 universal"), "educational": ("ecl", "1.0 2.0", "educational community"), "eiffel": ("efl", "1.0 2.0", "eiffel forum"),
+    "eclipse": ("epl", "1.0 2.0", "eclipse public"), "european": ("eupl", "1.0 1.1 1.2", "european union public"),
+    "documentation": ("gfdl", "1.1 1.2 1.3", "free documentation"), "general": ("gpl", "1.0 2.0 3.0", "general public"),
+    "ibm": ("ipl", "1.0", "ibm public"), "project": ("lppl", "1.0 1.1 1.2 1.3a 1.3c", "latex project public"),
+    "lesser": ("lgpl", "2.1 3.0", "lesser general public"), "library": ("lgpl", "2.0", "library general public"),
+    "mozilla": ("mpl", "1.0 1.1 2.0", "mozilla public"), "microsoft": ("ms", "pl rl", "microsoft public"), "mulan": ("mulanpsl", "1.0 2.0", "mulan permissive software"),
+    "database": ("odbl", "1.0", "open database"), "open-data": ("odc-by", "1.0", "open data commons attribution"), "font": ("ofl", "1.0 1.1", "open font"),
+    "open-ldap": ("oldap", "2.0 2.1 2.2 2.3 2.4 2.5 2.6 2.7 2.8", "openldap public"), "open-software": ("osl", "1.0 1.1 2.0 2.1 3.0", "open software"),
+    "php": ("php", "3.0 3.01", "php"), "python": ("psf", "2.0", "python software foundation"), "zope": ("zpl", "1.1 2.0 2.1", "zope public"),
+}
+SINGLE = (
+    "0bsd afl curl beerware bsd-source-code clarityax dsdp fair ftl gl2ps hpnd icu ijg imlib2 info-zip intel isc jasper-2.0 json libpng libtiff mit mit-0 "
+    "mit-cmu miros mtll multics naumen ncsa net-snmp nlod-1.0 ntp openssl postgresql python-2.0 qhull qpl-1.0 ruby sax-pd sgi-b-2.0 sissl sleepycat "
+    "spencer-94 tcl tcp-wrappers unicode-dfs-2016 unlicense upl-1.0 vim w3c watcom-1.0 wtfpl x11 xfree86-1.1 xinetd xnet zed zlib zlib-acknowledgement"
+).split()
+#: Families whose versions are also named "-only" and "-or-later".
+GNU = ("agpl", "gfdl", "gpl", "lgpl")
+
+
+def identifiers() -> set[str]:
+    """Every identifier, in lower case."""
+    found = set(SINGLE)
+    for name, versions, _ in FAMILIES.values():
+        made = {f"{name}-{v}" for v in versions.split()}
+        found |= made | ({f"{m}{end}" for m in made for end in ("-only", "-or-later", "+")} if name in GNU else set())
+    return found
+
+
+KNOWN = identifiers()
+
+
+def notices() -> dict[str, str]:
+    """Phrases of the method's own, with their labels: what licences are called, with and without their versions."""
+    out = {
+        "creative commons": "cc", "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc0": "cc0",
+        "public domain": "public-domain", "the unlicense": "unlicense", "proprietary and confidential": "proprietary",
+    }
+    for name, versions, title in FAMILIES.values():
+        out[f"{title} license"] = name
+        for v in versions.split():
+            said = " ".join(v.replace("-", " ").replace(".", " ").split())
+            short = said.removesuffix(" 0")
+            if said[:1].isdigit() and "-" not in v:
+                for form in {said, short}:
+                    out |= {f"{title} license {form}": f"{name}-{v}", f"{title} license version {form}": f"{name}-{v}", f"{title} license v{form}": f"{name}-{v}"}
+            else:
+                out |= {f"{said} {title}": f"{name}-{v}", f"{title} {said}": f"{name}-{v}"}
+    for name in SINGLE:
+        out.setdefault(f"{' '.join(name.replace('.', '-').split('-'))} license", name)
+    return out
+
+
+NOTICES = {phrase: label for phrase, label in notices().items() if phrase not in BASE}
 TAG = "spdx license identifier"
 
 #: Grades by the start of a licence's name; the longest that fits counts.
@@ -159,7 +203,7 @@ def scan(text: bytes | None, find: ahocorasick.Automaton) -> tuple[int, int, int
             if rpn:
                 score, names = evaluate(rpn)
                 scores.append(score)
-                labels |= names
+                labels |= {n for n in names if n in KNOWN or n.startswith("licenseref-")}
     specific = {n for n in labels | base if not any(m != n and m.startswith(n + "-") for m in labels | base)}
     if not scores:
         scores = [grade(n) for n in specific]
