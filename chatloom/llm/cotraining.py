@@ -6,11 +6,12 @@ labelled rows; over some rounds each then labels all the rows that it is sure ab
 other view to learn from. Both are calibrated on held-out labelled rows and combined by
 weights fitted there, and all documents are scored.
 
-Every round scores every document that isn't fitted to, on the executors. The confident
-ones of a view are summed by their pseudo-label and a hash of their source into CELLS
-cells for each label; the cells' counts and mean features go to the driver, whose number
-doesn't grow with the documents, and the other view is fitted to the labelled rows and to
-the means by their counts. So each confident document has its part, whatever their number.
+Every round scores every document that isn't fitted to, on the executors, and the other
+view learns from each of the confident ones: in each of PASSES passes the executors sum the
+gradient of the view's loss over them, by pseudo-label, and a bound of its curvature by
+component; the driver then finds the weights that are best for the labelled rows and that
+quadratic bound together. The loss falls with every pass. What goes to the driver is a few
+numbers for each component of the features, whatever the number of documents.
 
 Bound: the labelled rows fitted to are MAX_LABELLED at most, those with the smallest hashes
 of their ids; their features, never their texts, go to the driver. Labelled rows beyond
@@ -48,15 +49,17 @@ LENGTHS = 24
 ROUNDS = 4
 #: A pseudo-label needs so much confidence, and weighs so much beside a label; all together weigh so much beside all labels.
 CONFIDENT, PSEUDO_WEIGHT, PSEUDO_SHARE = 0.9, 0.5, 0.5
-#: Cells of confident documents for each label, by source.
-CELLS = 32
+#: Passes over the confident documents in a round.
+PASSES = 3
 KEEP = 0.5
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 1 << 16
+#: Labelled ids that are broadcast at most (some 20 bytes each).
+BROADCAST_LABELS = 1_000_000
 
 
 def text_counts(text: bytes | None) -> tuple[bytes, bytes, bytes]:
-    """The buckets of a text's words and how many words each has (both <u2, counts to 65535), and SHAPE numbers about its form (<f4)."""
+    """The buckets of a text's words and how many words each has (<u2 and <u4), and SHAPE numbers about its form (<f4)."""
     raw = (text or b"")
     words = raw.translate(LOWER).split()
     counts = np.zeros(BUCKETS, np.int64)
@@ -79,7 +82,7 @@ def text_counts(text: bytes | None) -> tuple[bytes, bytes, bytes]:
         float(n < 10),
     )
     at = np.flatnonzero(counts)
-    return at.astype("<u2").tobytes(), np.minimum(counts[at], 65535).astype("<u2").tobytes(), np.array(shape, "<f4").tobytes()
+    return at.astype("<u2").tobytes(), counts[at].astype("<u4").tobytes(), np.array(shape, "<f4").tobytes()
 
 
 class TextRows:
@@ -89,7 +92,7 @@ class TextRows:
         self.n = np.array([len(b) // 2 for b in buckets], np.int64)
         self.row = np.repeat(np.arange(len(buckets)), self.n)
         self.at = np.frombuffer(b"".join(buckets), "<u2").astype(np.int64)
-        value = np.log1p(np.frombuffer(b"".join(counts), "<u2").astype(np.float64))
+        value = np.log1p(np.frombuffer(b"".join(counts), "<u4").astype(np.float64))
         length = np.sqrt(np.bincount(self.row, value * value, len(buckets)))
         self.value = (value / np.maximum(length, 1e-6)[self.row]).astype(np.float32)
         self.shape = np.frombuffer(b"".join(shapes), "<f4").reshape(-1, SHAPE)
@@ -97,17 +100,19 @@ class TextRows:
     def logits(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.at], len(self.n)) + self.shape @ w[BUCKETS:-1] + w[-1]
 
-    def sums(self, cell: np.ndarray, cells: int) -> np.ndarray:
-        """Sums of the rows' features by cell; rows with a negative cell are left out."""
-        out = np.zeros((cells, BUCKETS + SHAPE))
-        on = cell >= 0
-        held = on[self.row]
-        out[:, :BUCKETS] = np.bincount(cell[self.row[held]] * BUCKETS + self.at[held], self.value[held], cells * BUCKETS).reshape(cells, BUCKETS)
-        np.add.at(out[:, BUCKETS:], cell[on], self.shape[on])
-        return out
+    def weighed(self, e: np.ndarray) -> np.ndarray:
+        """The sum of the rows' features, and last of 1, each row by its weight."""
+        return np.r_[np.bincount(self.at, self.value * e[self.row], BUCKETS), e @ self.shape, e.sum()]
+
+    def lengths(self) -> np.ndarray:
+        """Sums of a row's features, none of which is negative, and 1."""
+        return np.bincount(self.row, self.value, len(self.n)) + self.shape.sum(axis=1) + 1
 
     def dense(self) -> np.ndarray:
-        return self.sums(np.arange(len(self.n)), len(self.n)).astype(np.float32)
+        out = np.zeros((len(self.n), BUCKETS + SHAPE), np.float32)
+        out[self.row, self.at] = self.value
+        out[:, BUCKETS:] = self.shape
+        return out
 
 
 class MetaRows:
@@ -119,12 +124,16 @@ class MetaRows:
     def logits(self, w: np.ndarray) -> np.ndarray:
         return w[self.at].sum(axis=1) + w[-1]
 
-    def sums(self, cell: np.ndarray, cells: int) -> np.ndarray:
-        on = cell >= 0
-        return np.bincount((cell[on][:, None] * META + self.at[on]).ravel(), minlength=cells * META).reshape(cells, META).astype(np.float64)
+    def weighed(self, e: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(self.at.ravel(), np.repeat(e, 3), META), e.sum()]
+
+    def lengths(self) -> np.ndarray:
+        return np.full(len(self.at), 4.0)
 
     def dense(self) -> np.ndarray:
-        return self.sums(np.arange(len(self.at)), len(self.at)).astype(np.float32)
+        out = np.zeros((len(self.at), META), np.float32)
+        out[np.arange(len(self.at))[:, None], self.at] = 1
+        return out
 
 
 def meta_buckets(source: str | None, lang: str | None, length: int | None) -> tuple[int, int, int]:
@@ -142,16 +151,29 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 150) -> np.ndarray:
-    """Weights and, last, the intercept of a logistic regression, by Nesterov's accelerated gradient."""
-    w = np.zeros(x.shape[1] + 1, np.float64)
+@dataclass
+class Tilt:
+    """A quadratic bound of a loss around weights ``at``: its gradient there, curvature by component, and total weight."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    curve: np.ndarray
+    weight: float
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 150, tilt: Tilt | None = None) -> np.ndarray:
+    """Weights and, last, the intercept of a logistic regression, by Nesterov's accelerated gradient; with ``tilt``, of the
+    rows' loss and that bound together."""
+    w = np.zeros(x.shape[1] + 1, np.float64) if tilt is None else tilt.at.copy()
     v = w.copy()
-    total = weight.sum()
+    total = weight.sum() + (tilt.weight if tilt else 0.0)
     # the loss curves by a quarter of the mean squared length of a row at most
-    step = 1 / (0.25 * (1 + float((weight * (x.astype(np.float64) ** 2).sum(axis=1)).sum() / total)) + l2)
+    step = 1 / (0.25 * (1 + float((weight * (x.astype(np.float64) ** 2).sum(axis=1)).sum() / total)) + l2 + (tilt.curve / total if tilt else 0.0))
     for i in range(steps):
         e = weight * (sigmoid(x @ v[:-1].astype(np.float32) + v[-1]) - y) / total
         g = np.r_[e.astype(np.float32) @ x + l2 * v[:-1], e.sum()]
+        if tilt:
+            g = g + (tilt.gradient + tilt.curve * (v - tilt.at)) / total
         new = v - step * g
         v = new + i / (i + 3) * (new - w)
         w = new
@@ -179,11 +201,10 @@ def constant(share: float) -> Model:
     return Model(np.zeros(BUCKETS + SHAPE + 1), np.zeros(META + 1), (1.0, logit), (1.0, logit), (0.5, 0.5, 0.0))
 
 
-def confident(logits: np.ndarray, meta: MetaRows) -> np.ndarray:
-    """The cell of each row that a view is sure about, by pseudo-label and source; -1 for the others."""
+def confident(logits: np.ndarray) -> np.ndarray:
+    """The label that a view gives each row that it is sure about; -1 for the others."""
     p = sigmoid(logits)
-    cell = meta.at[:, 0] % CELLS + np.where(p >= 0.5, CELLS, 0)
-    return np.where(np.maximum(p, 1 - p) >= CONFIDENT, cell, -1)
+    return np.where(np.maximum(p, 1 - p) >= CONFIDENT, (p >= 0.5).astype(int), -1)
 
 
 @dataclass
@@ -201,22 +222,24 @@ class Labelled:
             held = np.zeros(len(y), bool)
         return cls((text, meta), y, held)
 
-    def learn(self, view: int, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """The view's weights, from the labelled rows and from what the other view is sure about: rows and sums of features by cell.
+    def learn(self, view: int, now: np.ndarray | None = None, sums: np.ndarray | None = None) -> np.ndarray:
+        """The view's weights, from the labelled rows and from the rows that the other view is sure about: by label, their
+        number, gradient and curvature (rows of ``sums``) at the weights ``now``.
 
         The classes' weights among the pseudo-labels follow the labels' shares.
         """
         train = ~self.held
         y, share = self.y[train], self.y[train].mean()
-        label = (np.arange(2 * CELLS) >= CELLS).astype(float)
-        weight = np.zeros(2 * CELLS)
-        for value, part in ((0.0, 1 - share), (1.0, share)):
-            of = label == value
-            if (n := counts[of].sum()) > 0:
-                weight[of] = counts[of] / n * min(PSEUDO_SHARE * len(y) * part, PSEUDO_WEIGHT * n)
-        on = weight > 0
-        means = sums[on] / counts[on][:, None]
-        return fit(np.concatenate([self.views[view][train], means]).astype(np.float32), np.r_[y, label[on]], np.r_[np.ones(len(y)), weight[on]])
+        tilt = None
+        if sums is not None:
+            tilt = Tilt(now, np.zeros(len(now)), np.zeros(len(now)), 0.0)
+            for label, part in ((0, 1 - share), (1, share)):
+                if (n := sums[label, 0, 0]) > 0:
+                    weight = min(PSEUDO_SHARE * len(y) * part, PSEUDO_WEIGHT * n)
+                    tilt.gradient += weight / n * sums[label, 1]
+                    tilt.curve += weight / n * sums[label, 2]
+                    tilt.weight += weight
+        return fit(self.views[view][train], y, np.ones(len(y)), tilt=tilt)
 
     def calibrated(self, w: list[np.ndarray]) -> Model:
         on = self.held if self.held.any() else ~self.held
@@ -256,36 +279,41 @@ def views(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[tuple[pa.Re
             yield part, TextRows(wb, wc, sh), MetaRows(np.frombuffer(b"".join(mb), "<i4"))
 
 
-def pseudo_labels(rows: DataFrame, fitted: DataFrame, w: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each view: counts and feature sums, by cell, of what the other view is sure about among all rows that aren't fitted to."""
+def pseudo_sums(rows: DataFrame, fitted: DataFrame, sure: list[np.ndarray], now: list[np.ndarray]) -> list[np.ndarray]:
+    """For each view, by the label that the other view, of the weights ``sure``, gives: the number (in all components), the
+    gradient at ``now`` and the curvature of the rows that it is sure about and that aren't fitted to. 2 by 3 by components."""
+    widths = [len(w) for w in now]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(2 * CELLS) for _ in w]
-        sums = [np.zeros((2 * CELLS, BUCKETS + SHAPE)), np.zeros((2 * CELLS, META))]
+        sums = [np.zeros((2, 3, n)) for n in widths]
         for part, *xs in views(batches, 0):
             keep = np.array([f is None for f in part.column(4).to_pylist()])
             for i, x in enumerate(xs):
-                cell = np.where(keep, confident(xs[1 - i].logits(w[1 - i]), xs[1]), -1)
-                counts[i] += np.bincount(cell[cell >= 0], minlength=2 * CELLS)
-                sums[i] += x.sums(cell, 2 * CELLS)
+                label = np.where(keep, confident(xs[1 - i].logits(sure[1 - i])), -1)
+                z = np.clip(x.logits(now[i]), -30, 30)
+                p = sigmoid(z)
+                # the tightest quadratic above the loss at z, spread over the components
+                bend = np.where(np.abs(z) < 1e-6, 0.25, (p - 0.5) / np.where(z == 0, 1.0, z)) * x.lengths()
+                for c in (0, 1):
+                    on = (label == c).astype(np.float64)
+                    sums[i][c, 0] += on.sum()
+                    sums[i][c, 1] += x.weighed(on * (p - c))
+                    sums[i][c, 2] += x.weighed(on * bend)
         for i in (0, 1):
-            for c in np.flatnonzero(counts[i]):
-                at = np.flatnonzero(sums[i][c])
-                some = [pa.array([i] * (len(at) + 1), pa.int32()), pa.array([int(c)] * (len(at) + 1), pa.int32()), pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[counts[i][c], sums[i][c][at]])]
-                yield pa.RecordBatch.from_arrays(some, ["view", "cell", "at", "x"])
+            c, kind, at = np.nonzero(sums[i])
+            some = [pa.array(np.full(len(at), i, np.int32)), *(pa.array(v.astype(np.int32)) for v in (c, kind, at)), pa.array(sums[i][c, kind, at])]
+            yield pa.RecordBatch.from_arrays(some, ["view", "label", "kind", "at", "x"])
 
     left = rows.join(F.broadcast(fitted.select("doc_id", F.lit(True).alias("fitted"))), "doc_id", "left")
-    found = left.select("wb", "wc", "sh", "mb", "fitted").mapInArrow(run, "view int, cell int, at int, x double")
-    # sums of whole numbers and of float32 features: the same in any order but for rounding far below what a fit shows
-    total = found.groupBy("view", "cell", "at").agg(F.sum("x").alias("x")).toArrow()
-    view, cell, at, x = (total[c].to_numpy() for c in ("view", "cell", "at", "x"))
+    found = left.select("wb", "wc", "sh", "mb", "fitted").mapInArrow(run, "view int, label int, kind int, at int, x double")
+    # sums of double precision: the same in any order but for rounding far below what a fit shows
+    total = found.groupBy("view", "label", "kind", "at").agg(F.sum("x").alias("x")).toArrow()
+    view, label, kind, at, x = (total[c].to_numpy() for c in ("view", "label", "kind", "at", "x"))
     out = []
-    for i, width in enumerate((BUCKETS + SHAPE, META)):
-        counts, sums = np.zeros(2 * CELLS), np.zeros((2 * CELLS, width))
-        n, f = (view == i) & (at < 0), (view == i) & (at >= 0)
-        counts[cell[n]] = x[n]
-        sums[cell[f], at[f]] = x[f]
-        out.append((counts, sums))
+    for i, n in enumerate(widths):
+        sums, on = np.zeros((2, 3, n)), view == i
+        sums[label[on], kind[on], at[on]] = x[on]
+        out.append(sums)
     return out
 
 
@@ -304,17 +332,20 @@ def gather(rows: DataFrame, labelled: DataFrame) -> Labelled | None:
 def train(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
     """rows: features() of the documents. labels: doc_id, quality (0/1)."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    ids = rows.select("doc_id").where("doc_id is not null").distinct()
-    fitted = materialize(ids.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
+    known = materialize(known, "known")
+    few = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    there = rows.select("doc_id").join(few, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"))  # one y an id
+    fitted = materialize(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
     held = gather(rows, fitted)
     if held is None or len(set(held.y.tolist())) < 2:
         n, ones = (0, 0) if held is None else (len(held.y), held.y.sum())
         return constant((ones + 1) / (n + 2))
-    given = [(np.zeros(2 * CELLS), np.zeros((2 * CELLS, width))) for width in (BUCKETS + SHAPE, META)]
-    w = [held.learn(i, *given[i]) for i in (0, 1)]
+    w = [held.learn(i) for i in (0, 1)]
     for _ in range(rounds):
-        given = pseudo_labels(rows, fitted, w)
-        w = [held.learn(i, *given[i]) for i in (0, 1)]
+        sure = w
+        for _ in range(PASSES):
+            sums = pseudo_sums(rows, fitted, sure, w)
+            w = [held.learn(i, w[i], sums[i]) for i in (0, 1)]
     return held.calibrated(w)
 
 

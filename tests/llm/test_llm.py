@@ -149,30 +149,32 @@ def replayed(docs, labels, rounds=4):
     pool = sorted(set(range(len(docs))) - set(rows))
     share = y[train].mean()
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    given = [{}, {}]
-    for n in range(rounds + 1):
-        w = []
-        for v in (0, 1):
-            groups = defaultdict(list)
-            for i, label in given[v].items():
-                groups[label, cotraining.meta_buckets(docs[i][3], docs[i][2], docs[i][4])[0] % 32].append(i)
-            total = Counter(given[v].values())
-            xs, ys, weight = [x[v][rows[t]] for t in train], list(y[train]), [1.0] * len(train)
-            for label, cell in sorted(groups):
-                members, part = groups[label, cell], share if label else 1 - share
-                xs.append(x[v][members].astype(float).mean(axis=0))
-                ys.append(label)
-                weight.append(len(members) / total[label] * min(0.5 * len(train) * part, 0.5 * total[label]))
-            w.append(cotraining.fit(np.array(xs, np.float32), np.array(ys), np.array(weight)))
-        if n < rounds:
-            p = [sig(x[v] @ w[v][:-1] + w[v][-1]) for v in (0, 1)]
-            given = [{i: float(p[1 - v][i] >= 0.5) for i in pool if max(p[1 - v][i], 1 - p[1 - v][i]) >= 0.9} for v in (0, 1)]
+    one = [np.c_[v.astype(float), np.ones(len(v))] for v in x]
+    w, sure_of = [cotraining.fit(x[v][np.array(rows)[train]], y[train], np.ones(len(train))) for v in (0, 1)], [0, 0]
+    for _ in range(rounds):
+        p = [sig(one[v] @ w[v]) for v in (0, 1)]
+        given = [{i: int(p[1 - v][i] >= 0.5) for i in pool if max(p[1 - v][i], 1 - p[1 - v][i]) >= 0.9} for v in (0, 1)]
+        sure_of = [len(g) for g in given]
+        for _ in range(cotraining.PASSES):
+            new = []
+            for v in (0, 1):
+                tilt = cotraining.Tilt(w[v], np.zeros_like(w[v]), np.zeros_like(w[v]), 0.0)
+                for label, part in ((0, 1 - share), (1, share)):
+                    members = [i for i, c in given[v].items() if c == label]
+                    if members:
+                        total = min(0.5 * len(train) * part, 0.5 * len(members))
+                        f, z = one[v][members], np.clip(one[v][members] @ w[v], -30, 30)
+                        tilt.gradient += total / len(members) * (sig(z) - label) @ f
+                        tilt.curve += total / len(members) * (np.tanh(z / 2) / (2 * z) * np.abs(f).sum(axis=1)) @ np.abs(f)
+                        tilt.weight += total
+                new.append(cotraining.fit(x[v][np.array(rows)[train]], y[train], np.ones(len(train)), tilt=tilt))
+            w = new
     on = np.array(rows)[held]
     z = [x[v][on].astype(np.float32) @ w[v][:-1].astype(np.float32) + w[v][-1] for v in (0, 1)]
     cal = [cotraining.fit(a[:, None].astype(np.float32), y[held], np.ones(len(held)), l2=1e-4, steps=500) for a in z]
     mix = cotraining.fit(np.stack([c[0] * a + c[1] for c, a in zip(cal, z, strict=True)], axis=1).astype(np.float32), y[held], np.ones(len(held)), steps=500)
     both = [c[0] * (x[v] @ w[v][:-1] + w[v][-1]) + c[1] for v, c in enumerate(cal)]
-    return {d[0]: s for d, s in zip(docs, sig(mix[0] * both[0] + mix[1] * both[1] + mix[2]), strict=True)}, [len(g) for g in given]
+    return {d[0]: s for d, s in zip(docs, sig(mix[0] * both[0] + mix[1] * both[1] + mix[2]), strict=True)}, sure_of
 
 
 def zl(b):
@@ -235,6 +237,25 @@ def test_top_k_large_numbers(spark):
         ball_tree.top_k(spark.createDataFrame([(0, [1e30]), (1, [1e30])], df.schema), F.col("vec_id") == 0).collect()
 
 
+def test_shards_left_out(spark):
+    """On clustered vectors most queries ask few shards; a third of the rows alike is cut into parts; blocks of few queries."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(30, 8))[rng.integers(0, 30, 2000)] * 4 + rng.normal(size=(2000, 8)) / 20
+    v[::3] = v[0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(6)
+    asked = []
+    got = ball_tree.top_k(df, F.col("vec_id") % 20 == 0, 20, shard_rows=40, unit_rows=7, asked_log=asked)
+    assert {tuple(r) for r in got.collect()} == brute_top(list(enumerate(v.tolist())), 20)
+    assert asked[0] == 100 and sum(asked) < 0.5 * 100 * 50
+    layout = ball_tree.Layout(np.floor(64 * v), 50)
+    shard = layout.route(np.floor(64 * v))
+    assert len(layout.centre) > 20 and set(shard) <= set(range(len(layout.centre)))
+    radius = np.array([layout.reach(np.floor(64 * v)[shard == s], np.full((shard == s).sum(), s)).max(initial=-1) for s in range(len(layout.centre))])
+    bound = layout.bounds(np.floor(64 * v)[:9], radius)
+    assert all(bound[i, shard[j]] >= np.floor(64 * v[i]) @ np.floor(64 * v[j]) for i in range(9) for j in range(2000))
+    assert ball_tree.units({0: 100, 2: 5}, {0: 15, 2: 1}, 20, 7) == ({0: (0, 3, 3), 2: (9, 1, 1)}, 10)
+
+
 def test_tree_prunes():
     """On clustered vectors most leaves fall; the answers stay those of brute force."""
     rng = np.random.default_rng(3)
@@ -527,6 +548,93 @@ def test_licenses(spark, odd, empty, docs):
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(odd).count() == len(ODD)
 
 
+def brute_licences(t):
+    """Labels and score by plain search of every phrase and by recursive descent over expressions."""
+    import re
+
+    t = t or ""
+    w = t.encode().translate(licenses.TABLE).decode().split()
+    has = lambda p: any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))
+    base = {label for p, label in licenses.BASE.items() if has(p)}
+    labels = {label for p, label in licenses.NOTICES.items() if has(p)}
+    scores = []
+
+    def grade(n):
+        fits = [k for k in licenses.GRADES if n == k or n.startswith(k + "-")]
+        return licenses.GRADES[max(fits, key=len)] if fits else 0.5
+
+    def expression(tokens, names):
+        def any_of():
+            v = all_of()
+            while tokens and tokens[0] == "or":
+                tokens.pop(0)
+                v = max(v, all_of())
+            return v
+
+        def all_of():
+            v = one()
+            while tokens and tokens[0] == "and":
+                tokens.pop(0)
+                v = min(v, one())
+            return v
+
+        def one():
+            if not tokens or tokens[0] in ("or", "and", "with", ")"):
+                raise SyntaxError
+            if (t := tokens.pop(0)) == "(":
+                v = any_of()
+                if not tokens or tokens.pop(0) != ")":
+                    raise SyntaxError
+            else:
+                names.add(t)
+                v = grade(t)
+            while tokens and tokens[0] == "with":
+                tokens.pop(0)
+                kept = set(names)
+                one()
+                names.clear()
+                names.update(kept)
+                v = min(1.0, v + 0.1)
+            return v
+
+        return any_of()
+
+    if has("spdx license identifier"):
+        for line in re.findall(r"spdx-license-identifier[ \t]*:[ \t]*([^\n]*)", t, re.I | re.A):
+            tokens, names = [x.lower() for x in re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*", line, re.A)], set()
+            plain = [x for x in tokens if x not in ("and", "or", "with", "(", ")")]
+            if not plain:
+                continue
+            try:
+                left = list(tokens)
+                v = expression(left, names)
+                if left and left[0] in (")", "("):
+                    raise SyntaxError
+            except SyntaxError:
+                v, names = min(map(grade, plain)), set(plain)
+            scores.append(v)
+            labels |= {n for n in names if n in licenses.KNOWN or n.startswith("licenseref-")}
+    every = labels | base
+    specific = {n for n in every if not any(m != n and m.startswith(n + "-") for m in every)}
+    scores = scores + [grade(n) for n in specific & base] if scores and base else scores or [grade(n) for n in specific]
+    return ",".join(sorted(every)), min(scores, default=0.0)
+
+
+def test_labels_and_scores(spark, docs):
+    """Whole texts of the table, and notices and tags of every known licence, against brute force."""
+    texts = [None, "", *(r.text for r in docs)]
+    texts += [f"Under the {p.title()}, see LICENSE." for p in [*licenses.NOTICES, *licenses.BASE]]
+    texts += [f"// SPDX-License-Identifier: {n.upper()}\ncode" for n in sorted(licenses.KNOWN)]
+    tags = ["see LICENSE", "LicenseRef-Own AND mit", "(MIT OR GPL-2.0-only) AND BSD-3-Clause", "GPL-2.0-only WITH Classpath-exception-2.0 OR Odd", "MIT AND", "(mit", "", "( )", "apache-2.0 # c", "mit ) or"]
+    texts += [f"spdx-license-identifier: {e}\nSPDX-License-Identifier:\t{f}\n all rights reserved"[: None if i % 2 else -20] for i, e in enumerate(tags) for f in tags]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in licenses.scan_licenses(df).collect():
+        labels, score = brute_licences(texts[r.doc_id])
+        assert (r.labels, r.score) == (labels, pytest.approx(score)), texts[r.doc_id][-300:]
+    assert "see" not in {n for r in licenses.scan_licenses(df).collect() for n in r.labels.split(",")}
+    assert len(licenses.KNOWN) > 200 and len(licenses.NOTICES) > 300
+
+
 @pytest.mark.parametrize(
     ("expression", "score", "names"),
     [
