@@ -21,8 +21,10 @@ def salted_join(
 
     Keys with more than ``1 / HOT_SHARE`` of ``left``'s rows are found by a partial
     aggregate (fewer than ``HOT_SHARE`` of them by construction, so the list of hot
-    keys has a proven bound). Their left rows get a salt from ``row_id`` and their
-    right rows are repeated once per salt; all other keys join as usual.
+    keys has a proven bound). Their left rows get a salt from ``row_id`` and the input
+    partition they are in, so rows that share an id, or have none, spread too; a partition
+    made again gives its rows the same salts. Their right rows are repeated once per salt;
+    all other keys join as usual.
     Null keys match nothing: with ``how='left'`` they are kept, with nulls on the right.
     """
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -32,7 +34,7 @@ def salted_join(
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    salt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(row_id, F.spark_partition_id()), F.lit(salts)).cast("int")
     left = left.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
     spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = right.withColumn("_salt", F.explode(spread))

@@ -57,7 +57,10 @@ WORDS = "list_filter(string_split_regex({}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w:
 # masks and formats
 
 
-@query(f"WITH {TALKS} SELECT conv_id, len(m)::INT AS n_messages, len(list_filter(m, lambda x: x.role = 'assistant'))::INT AS n_train, len(list_filter(m, lambda x: x.role <> 'assistant'))::INT AS n_ignore, array_to_string(list_filter(range(0, len(m)), lambda i: m[i + 1].role = 'assistant'), ',') AS train_indices FROM c")
+@query(f"""
+WITH {TALKS} SELECT conv_id, len(m)::INT AS n_messages, len(list_filter(m, lambda x: x.role = 'assistant'))::INT AS n_train, len(list_filter(m,
+ lambda x: x.role <> 'assistant'))::INT AS n_ignore, array_to_string(list_filter(range(0, len(m)), lambda i: m[i + 1].role = 'assistant'),
+ ',') AS train_indices FROM c""")
 def conv_loss_mask_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = talks(spark, sf_dir).withColumn("k", masks.loss_mask("messages"))
     return k.select("conv_id", F.size("messages").alias("n_messages"), F.size("k.train_indices").alias("n_train"), F.size("k.ignore_indices").alias("n_ignore"), csv(F.col("k.train_indices")).alias("train_indices"))
@@ -72,13 +75,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.size("messages").alias("n_messages"), F.size("k.train_indices").alias("n_train"), csv(F.col("k.train_indices")).alias("train_indices"), V.long_enough("messages", 500).alias("long_enough"))
 
 
-@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS idx, role, (role = 'assistant')::INT AS mask, length(text)::INT AS n_chars FROM conversations")
+@query("""
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS idx, role, (role = 'assistant')::INT AS mask,
+ length(text)::INT AS n_chars FROM conversations""")
 def conv_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = talks(spark, sf_dir).withColumn("s", F.explode(masks.loss_mask("messages").segments))
     return rows.select("conv_id", F.col("s.index").alias("idx"), "s.role", "s.mask", F.length(F.get("messages", F.col("s.index")).content).alias("n_chars"))
 
 
-@query(f"WITH {TALKS} SELECT conv_id, (m[1].role = 'system') AS had_system, CASE WHEN m[1].role = 'system' AND len(list_filter(['helpful assistant', 'you are an ai', 'you are a helpful', 'opencode', 'assistant designed to'], lambda g: contains(lower(m[1].content), g))) = 0 THEN m[1].content ELSE '{MASTER_SYSTEM}' END AS first_content, (len(m) + (m[1].role <> 'system')::INT)::INT AS n_messages FROM c")
+@query(f"""
+WITH {TALKS} SELECT conv_id, (m[1].role = 'system') AS had_system, CASE WHEN m[1].role = 'system' AND len(list_filter(['helpful assistant',
+ 'you are an ai', 'you are a helpful', 'opencode', 'assistant designed to'], lambda g: contains(lower(m[1].content), g))) = 0 THEN m[1].content
+ ELSE '{MASTER_SYSTEM}' END AS first_content, (len(m) + (m[1].role <> 'system')::INT)::INT AS n_messages FROM c""")
 def conv_system_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = talks(spark, sf_dir)
     had = F.get("messages", F.lit(0)).role == "system"
@@ -86,23 +94,33 @@ def conv_system_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "had_system", F.get("m", F.lit(0)).content.alias("first_content"), F.size("m").alias("n_messages"))
 
 
-@query("SELECT conv_id, sha256(string_agg('<' || role || '>' || text || '</' || role || '>', chr(10) ORDER BY turn, role, text) FILTER (WHERE text <> '')) AS h FROM conversations GROUP BY conv_id")
+@query("""
+SELECT conv_id, sha256(string_agg('<' || role || '>' || text || '</' || role || '>', chr(10) ORDER BY turn, role,
+ text) FILTER (WHERE text <> '')) AS h FROM conversations GROUP BY conv_id""")
 def conv_tagged_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).select("conv_id", F.sha2(V.tagged_text("messages"), 256).alias("h"))
 
 
-@query(f"SELECT conv_id, coalesce(string_agg(role || ': ' || text, {NL} ORDER BY turn, role, text) FILTER (WHERE role IN ('system', 'user', 'tool') AND text <> ''), '') AS input_text, coalesce(string_agg('assistant: ' || text, {NL} ORDER BY turn, role, text) FILTER (WHERE role = 'assistant' AND text <> ''), '') AS output_text FROM conversations GROUP BY conv_id")
+@query(f"""
+SELECT conv_id, coalesce(string_agg(role || ': ' || text, {NL} ORDER BY turn, role, text) FILTER (WHERE role IN ('system', 'user', 'tool')
+ AND text <> ''), '') AS input_text, coalesce(string_agg('assistant: ' || text, {NL} ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'
+ AND text <> ''), '') AS output_text FROM conversations GROUP BY conv_id""")
 def conv_training_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).select("conv_id", V.training_input("messages").alias("input_text"), V.training_output("messages").alias("output_text"))
 
 
-@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS pos, CASE WHEN role = 'assistant' THEN 'gpt' ELSE 'human' END AS from_, text AS value FROM conversations WHERE role IN ('system', 'user', 'assistant', 'tool') AND text <> ''")
+@query("""
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS pos, CASE WHEN role = 'assistant' THEN 'gpt'
+ ELSE 'human' END AS from_, text AS value FROM conversations WHERE role IN ('system', 'user', 'assistant', 'tool') AND text <> ''""")
 def conv_sharegpt_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = talks(spark, sf_dir).select("conv_id", F.posexplode(V.to_sharegpt("messages")).alias("pos", "t"))
     return rows.select("conv_id", "pos", F.col("t").getField("from").alias("from_"), F.col("t").getField("value").alias("value"))
 
 
-@query("WITH k AS (SELECT conv_id, string_agg(text, chr(10) || '--' || chr(10) ORDER BY turn, role, text) FILTER (WHERE role IN ('user', 'system', 'tool')) AS human, string_agg(text, chr(10) || '--' || chr(10) ORDER BY turn, role, text) FILTER (WHERE role = 'assistant') AS gpt FROM conversations WHERE text <> '' GROUP BY conv_id) SELECT conv_id, coalesce(human, '') AS user_text, coalesce(gpt, '') AS assistant_text FROM k")
+@query("""
+WITH k AS (SELECT conv_id, string_agg(text, chr(10) || '--' || chr(10) ORDER BY turn, role, text) FILTER (WHERE role IN ('user', 'system',
+ 'tool')) AS human, string_agg(text, chr(10) || '--' || chr(10) ORDER BY turn, role, text) FILTER (WHERE role = 'assistant') AS gpt FROM conversations
+ WHERE text <> '' GROUP BY conv_id) SELECT conv_id, coalesce(human, '') AS user_text, coalesce(gpt, '') AS assistant_text FROM k""")
 def conv_sharegpt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = talks(spark, sf_dir).select("conv_id", V.from_sharegpt(V.to_sharegpt("messages")).alias("m"))
     part = lambda role: F.array_join(F.transform(F.filter("m", lambda x: x.role == role), lambda x: x.content), "\n--\n")
@@ -129,13 +147,17 @@ def conv_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT conv_id, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS ones, coalesce(sum(length(text)), 0)::BIGINT AS n FROM conversations GROUP BY conv_id")
+@query("""
+SELECT conv_id, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS ones, coalesce(sum(length(text)), 0)::BIGINT AS n
+ FROM conversations GROUP BY conv_id""")
 def conv_char_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = talks(spark, sf_dir).select("conv_id", masks.char_mask("messages").alias("k"))
     return rows.select("conv_id", F.aggregate("k", F.lit(0), lambda a, x: a + x).cast("long").alias("ones"), F.size("k").cast("long").alias("n"))
 
 
-@query(rf"WITH {TALKS}, f AS (SELECT conv_id, list_filter(m, lambda x: x.role = 'assistant' AND x.content <> '')[1].content AS a FROM c) SELECT conv_id, (a IS NULL OR len({WORDS.format('a')}) >= 100) AS kept FROM f")
+@query(rf"""
+WITH {TALKS}, f AS (SELECT conv_id, list_filter(m, lambda x: x.role = 'assistant' AND x.content <> '')[1].content AS a FROM c) SELECT conv_id,
+ (a IS NULL OR len({WORDS.format('a')}) >= 100) AS kept FROM f""")
 def conv_word_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).select("conv_id", V.enough_words("messages", 100).alias("kept"))
 
@@ -146,17 +168,27 @@ def conv_next_role_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("role", F.coalesce(F.lead("role").over(w), F.lit("end")).alias("next_role"), "conv_id", "turn")
 
 
-@query(f"WITH {TALKS}, p AS (SELECT conv_id, lower(coalesce(list_filter(m, lambda x: x.role = 'user')[1].content, '')) AS u, coalesce(list_filter(m, lambda x: x.role = 'assistant')[1].content, '') AS a FROM c), q AS (SELECT conv_id, len(list_filter({quoted(CODE_REQUESTS)}, lambda k: contains(u, k))) > 0 AS asks, contains(a, '```') AS fence FROM p) SELECT conv_id, asks, (NOT asks OR fence) AS ok FROM q")
+@query(f"""
+WITH {TALKS}, p AS (SELECT conv_id, lower(coalesce(list_filter(m, lambda x: x.role = 'user')[1].content, '')) AS u, coalesce(list_filter(m,
+ lambda x: x.role = 'assistant')[1].content, '') AS a FROM c), q AS (SELECT conv_id, len(list_filter({quoted(CODE_REQUESTS)}, lambda k: contains(u,
+ k))) > 0 AS asks, contains(a, '```') AS fence FROM p) SELECT conv_id, asks, (NOT asks OR fence) AS ok FROM q""")
 def conv_code_request_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).select("conv_id", V.asks_for_code("messages").alias("asks"), V.code_answered("messages").alias("ok"))
 
 
-@query(f"WITH {TALKS}, p AS (SELECT conv_id, lower(array_to_string(list_transform(list_filter(m, lambda x: x.role IN ('user', 'assistant', 'system')), lambda x: x.content), ' ')) AS t FROM c) SELECT conv_id, len(list_filter({quoted(ERROR_INDICATORS)}, lambda e: contains(t, e))) = 0 AS ok, TRUE AS tools_ok FROM p")
+@query(f"""
+WITH {TALKS}, p AS (SELECT conv_id, lower(array_to_string(list_transform(list_filter(m, lambda x: x.role IN ('user', 'assistant', 'system')),
+ lambda x: x.content), ' ')) AS t FROM c) SELECT conv_id, len(list_filter({quoted(ERROR_INDICATORS)}, lambda e: contains(t, e))) = 0 AS ok,
+ TRUE AS tools_ok FROM p""")
 def conv_error_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).select("conv_id", V.no_error_content("messages").alias("ok"), V.tools_intact("messages").alias("tools_ok"))
 
 
-@query(f"WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Sure! ' WHEN turn % 3 = 1 THEN 'here''s the ' ELSE '' END || text AS t FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THEN ltrim(t[6:], ' ' || chr(10)) WHEN turn % 3 = 1 THEN ltrim(t[7:], ' ' || chr(10)) WHEN len(list_filter({quoted(FILLERS)}, lambda f: starts_with(lower(t), f))) > 0 THEN 'filler' ELSE t END) AS h FROM x")
+@query(f"""
+WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Sure! ' WHEN turn % 3 = 1 THEN 'here''s the ' ELSE '' END || text AS t
+ FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THEN ltrim(t[6:], ' ' || chr(10))
+ WHEN turn % 3 = 1 THEN ltrim(t[7:], ' ' || chr(10)) WHEN len(list_filter({quoted(FILLERS)}, lambda f: starts_with(lower(t), f))) > 0 THEN 'filler'
+ ELSE t END) AS h FROM x""")
 def conv_filler_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fillers put before the table's answers, and taken off."""
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
@@ -201,7 +233,9 @@ def doc_pair_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", dedup.pair_hash(F.col("text"), F.col("source")).alias("h"))
 
 
-@query("SELECT doc_id, 0 AS batch FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
+@query("""
+SELECT doc_id, 0 AS batch FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 2 = 1
+ AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)""")
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     return dedup.resume(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")).select("doc_id", "batch")
@@ -217,7 +251,9 @@ def benchmark_contains_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATIOS = {"src0": 0.5, "src1": 0.29, "src2": 0.21}
 
 
-@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM documents) SELECT doc_id, source FROM r WHERE rn <= CASE source WHEN 'src0' THEN 50 WHEN 'src1' THEN 28 WHEN 'src2' THEN 21 END")
+@query("""
+WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM documents) SELECT doc_id,
+ source FROM r WHERE rn <= CASE source WHEN 'src0' THEN 50 WHEN 'src1' THEN 28 WHEN 'src2' THEN 21 END""")
 def source_quota_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.quota_sample(table(spark, sf_dir, "documents"), RATIOS, 100).select("doc_id", "source")
 
@@ -227,12 +263,16 @@ def shuffle_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.shuffled_limit(table(spark, sf_dir, "documents").select("doc_id"), 100)
 
 
-@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN rn <= floor(0.8::DOUBLE * n) THEN 'train' ELSE 'val' END AS part FROM r")
+@query("""
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE
+ WHEN rn <= floor(0.8::DOUBLE * n) THEN 'train' ELSE 'val' END AS part FROM r""")
 def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.split(table(spark, sf_dir, "documents").select("doc_id"))
 
 
-@query("SELECT doc_id, ord, ((ord - 1) // 64)::INT AS shard FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS ord FROM documents WHERE n_chars >= 100)")
+@query("""
+SELECT doc_id, ord, ((ord - 1) // 64)::INT AS shard FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS ord FROM documents
+ WHERE n_chars >= 100)""")
 def shard_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sampling.global_rank(table(spark, sf_dir, "documents").where("n_chars >= 100").select("doc_id"), [F.col("doc_id")])
     return sampling.shards(rows, 64).select("doc_id", "ord", "shard")
@@ -265,7 +305,10 @@ SCORE = rf"""CASE WHEN regexp_full_match(token, '[A-Za-z]+|[0-9]+') THEN 0.0::DO
  - (CASE WHEN regexp_full_match(lower(token), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') THEN 0.3::DOUBLE ELSE 0::DOUBLE END) END"""
 
 
-@query(f"WITH {CANDIDATES}, s AS (SELECT doc_id, token, {ENTROPY} AS e, (regexp_matches(token, '[A-Z]')::INT + regexp_matches(token, '[a-z]')::INT + regexp_matches(token, '[0-9]')::INT + regexp_matches(token, '[^A-Za-z0-9]')::INT) AS kinds FROM k) SELECT doc_id, token, round(e, 6) AS entropy, round({SCORE}, 6) AS score FROM s")
+@query(f"""
+WITH {CANDIDATES}, s AS (SELECT doc_id, token, {ENTROPY} AS e, (regexp_matches(token, '[A-Z]')::INT + regexp_matches(token,
+ '[a-z]')::INT + regexp_matches(token, '[0-9]')::INT + regexp_matches(token, '[^A-Za-z0-9]')::INT) AS kinds FROM k) SELECT doc_id, token, round(e,
+ 6) AS entropy, round({SCORE}, 6) AS score FROM s""")
 def secret_candidates_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scored_candidates(table(spark, sf_dir, "documents"), "doc_id", "text")
     return rows.select("doc_id", "token", F.round("entropy", 6).alias("entropy"), F.round("score", 6).alias("score"))
@@ -301,7 +344,9 @@ def secret_masked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2("m", 256).alias("h"), (F.length("m") != F.length("text")).alias("changed"))
 
 
-@query(f"WITH {CANDIDATES} SELECT doc_id, token[1:4] || repeat('*', length(token) - 8) || token[-4:] AS masked, round(len(list_distinct(string_split(token, ''))) / length(token), 6) AS ratio FROM k")
+@query(f"""
+WITH {CANDIDATES} SELECT doc_id, token[1:4] || repeat('*', length(token) - 8) || token[-4:] AS masked, round(len(list_distinct(string_split(token,
+ ''))) / length(token), 6) AS ratio FROM k""")
 def unique_char_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scored_candidates(table(spark, sf_dir, "documents"), "doc_id", "text")
     return rows.select("doc_id", T.masked(F.col("token")).alias("masked"), F.round(T.distinct_ratio(F.col("token")), 6).alias("ratio"))
@@ -331,7 +376,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 V2 = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 
 
-@query(f"WITH {V2} SELECT vec_id, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: abs((v[i] + list_reverse(v)[i] + 2 * v[i]) / 3))), 5) AS total FROM e")
+@query(f"""
+WITH {V2} SELECT vec_id, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: abs((v[i] + list_reverse(v)[i] + 2 * v[i]) / 3))), 5) AS total
+ FROM e""")
 def vec_fuse_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
     fused = A.fuse([v, F.reverse(v), F.transform(v, lambda x: 2 * x)], "mean")
@@ -344,14 +391,22 @@ def vec_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("vec_id", v, A.fuse([v, F.reverse(v), v], "concat").alias("f")).select("vec_id", F.size("f").alias("n"), F.round(A.add(F.slice("f", 1, F.size("v"))), 5).alias("s"))
 
 
-@query(f"WITH {V2}, w AS (SELECT *, lead(v, 2) OVER (PARTITION BY label ORDER BY vec_id) AS t, lead(vec_id % 3, 2) OVER (PARTITION BY label ORDER BY vec_id) AS k FROM e), x AS (SELECT label, (k > 0)::INT AS mask, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - t[i]) * (v[i] - t[i]))) AS err, len(v) AS n FROM w WHERE t IS NOT NULL) SELECT label, round(coalesce(sum(mask * err) / nullif(sum(mask) * 64, 0), 0), 5) AS mse FROM x GROUP BY label")
+@query(f"""
+WITH {V2}, w AS (SELECT *, lead(v, 2) OVER (PARTITION BY label ORDER BY vec_id) AS t, lead(vec_id % 3, 2) OVER (PARTITION BY label
+ ORDER BY vec_id) AS k FROM e), x AS (SELECT label, (k > 0)::INT AS mask, list_sum(list_transform(range(1, len(v) + 1),
+ lambda i: (v[i] - t[i]) * (v[i] - t[i]))) AS err, len(v) AS n FROM w WHERE t IS NOT NULL) SELECT label,
+ round(coalesce(sum(mask * err) / nullif(sum(mask) * 64, 0), 0), 5) AS mse FROM x GROUP BY label""")
 def vec_masked_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).withColumn("mask", (F.col("vec_id") % 3 > 0).cast("int"))
     pairs = A.shifted(rows, 1, "label", "vec_id", "v", "mask")
     return A.masked_mse(pairs, ["label"], "v", "target", "target_mask", 64).select("label", F.round("mse", 5).alias("mse"))
 
 
-@query(f"WITH {V2}, x AS (SELECT vec_id, unnest(v) AS z, generate_subscripts(v, 1) - 1 AS token, list_max(v) AS top FROM e), p AS (SELECT vec_id, token, exp((z - top) / 0.1) / sum(exp((z - top) / 0.1)) OVER (PARTITION BY vec_id) AS prob FROM x), r AS (SELECT *, sum(prob) OVER (PARTITION BY vec_id ORDER BY prob DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) SELECT vec_id, count(*) AS kept, round(sum(prob), 5) AS mass FROM r WHERE b IS NULL OR b <= 0.9 GROUP BY vec_id")
+@query(f"""
+WITH {V2}, x AS (SELECT vec_id, unnest(v) AS z, generate_subscripts(v, 1) - 1 AS token, list_max(v) AS top FROM e), p AS (SELECT vec_id, token,
+ exp((z - top) / 0.1) / sum(exp((z - top) / 0.1)) OVER (PARTITION BY vec_id) AS prob FROM x), r AS (SELECT *, sum(prob) OVER (PARTITION BY vec_id
+ ORDER BY prob DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) SELECT vec_id, count(*) AS kept, round(sum(prob), 5) AS mass
+ FROM r WHERE b IS NULL OR b <= 0.9 GROUP BY vec_id""")
 def vec_softmax_topp(spark: SparkSession, sf_dir: str) -> DataFrame:
     probs = vectors(spark, sf_dir).select("vec_id", F.posexplode(A.softmax(F.col("v"), 0.1)).alias("token", "prob"))
     return metrics.nucleus(probs, ["vec_id"]).groupBy("vec_id").agg(F.count(F.lit(1)).alias("kept"), F.round(F.sum("prob"), 5).alias("mass"))
@@ -362,28 +417,38 @@ def vec_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("vec_id", A.argmax(F.col("v")).alias("best"))
 
 
-@query(f"WITH {V2}, n AS (SELECT vec_id, least(10 + vec_id % 60, 48)::INT AS n, v FROM e) SELECT vec_id, n, (CASE WHEN n > 20 THEN 20 ELSE n END)::INT AS filled FROM n")
+@query(f"""
+WITH {V2}, n AS (SELECT vec_id, least(10 + vec_id % 60, 48)::INT AS n, v FROM e) SELECT vec_id, n, (CASE WHEN n > 20 THEN 20
+ ELSE n END)::INT AS filled FROM n""")
 def vec_pad_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).select("vec_id", F.slice("v", F.lit(1), (10 + F.col("vec_id") % 60).cast("int")).alias("h"))
     ids = A.fit_length(F.sequence(F.lit(1), F.lit(20)), F.col("h"), 48)
     return rows.select("vec_id", ids.alias("ids")).select("vec_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x > 0)).alias("filled"))
 
 
-@query(f"WITH {V2}, d AS (SELECT e.vec_id, e.label, e.v, t.v AS w FROM e JOIN e t ON t.vec_id = e.vec_id + 1), m AS (SELECT vec_id, label, v, w, list_max(v) AS mv, list_max(w) AS mw FROM d), z AS (SELECT *, list_sum(list_transform(v, lambda x: exp((x - mv) / 2))) AS zv, list_sum(list_transform(w, lambda x: exp((x - mw) / 2))) AS zw FROM m) SELECT label, round(avg(4 * list_sum(list_transform(range(1, len(v) + 1), lambda i: exp((w[i] - mw) / 2) / zw * (((w[i] - mw) / 2 - ln(zw)) - ((v[i] - mv) / 2 - ln(zv)))))), 5) AS kl FROM z GROUP BY label")
+@query(f"""
+WITH {V2}, d AS (SELECT e.vec_id, e.label, e.v, t.v AS w FROM e JOIN e t ON t.vec_id = e.vec_id + 1), m AS (SELECT vec_id, label, v, w,
+ list_max(v) AS mv, list_max(w) AS mw FROM d), z AS (SELECT *, list_sum(list_transform(v, lambda x: exp((x - mv) / 2))) AS zv,
+ list_sum(list_transform(w, lambda x: exp((x - mw) / 2))) AS zw FROM m) SELECT label, round(avg(4 * list_sum(list_transform(range(1, len(v) + 1),
+ lambda i: exp((w[i] - mw) / 2) / zw * (((w[i] - mw) / 2 - ln(zw)) - ((v[i] - mv) / 2 - ln(zv)))))), 5) AS kl FROM z GROUP BY label""")
 def vec_kl_distillation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     pairs = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("t")), "vec_id")
     return pairs.groupBy("label").agg(F.round(F.avg(A.kl_distillation(F.col("v"), F.col("t"))), 5).alias("kl"))
 
 
-@query("SELECT n_nationkey AS n, r.range AS pos, r.range + 1 AS visible FROM nation, range(0, 25) r WHERE r.range < n_nationkey AND n_nationkey BETWEEN 1 AND 24")
+@query("""
+SELECT n_nationkey AS n, r.range AS pos, r.range + 1 AS visible FROM nation, range(0, 25) r WHERE r.range < n_nationkey AND n_nationkey BETWEEN 1
+ AND 24""")
 def causal_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").where("n_nationkey between 1 and 24").select(F.col("n_nationkey").alias("n"))
     rows = rows.select("n", F.posexplode(A.causal_mask(F.col("n"))).alias("pos", "r"))
     return rows.select("n", F.col("pos").cast("long").alias("pos"), F.size(F.filter("r", lambda x: x)).cast("long").alias("visible"))
 
 
-@query("SELECT n_nationkey AS n, array_to_string([n_nationkey // 4, n_nationkey // 2, (3 * n_nationkey) // 4], ',') AS early, array_to_string([0, n_nationkey // 2, n_nationkey - 1], ',') AS ends FROM nation")
+@query("""
+SELECT n_nationkey AS n, array_to_string([n_nationkey // 4, n_nationkey // 2, (3 * n_nationkey) // 4], ',') AS early, array_to_string([0,
+ n_nationkey // 2, n_nationkey - 1], ',') AS ends FROM nation""")
 def layer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
     return table(spark, sf_dir, "nation").select(n.alias("n"), csv(A.layer_indices(n, "early,middle,final")).alias("early"), csv(A.layer_indices(n, "first,middle,last")).alias("ends"))
@@ -392,20 +457,28 @@ def layer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 # metrics
 
 
-@query("WITH h AS (SELECT conv_id % 4 AS run, count(*) AS accepted FROM conversations GROUP BY conv_id) SELECT run, pos::INT AS pos, round(avg((accepted >= pos)::INT), 6) AS rate FROM h, range(1, 7) p(pos) GROUP BY run, pos")
+@query("""
+WITH h AS (SELECT conv_id % 4 AS run, count(*) AS accepted FROM conversations GROUP BY conv_id) SELECT run, pos::INT AS pos,
+ round(avg((accepted >= pos)::INT), 6) AS rate FROM h, range(1, 7) p(pos) GROUP BY run, pos""")
 def head_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("accepted")).withColumn("run", F.col("conv_id") % 4)
     return metrics.head_acceptance(h, 6, by=["run"]).select("run", "pos", F.round("rate", 6).alias("rate"))
 
 
-@query("WITH o AS (SELECT l_orderkey % 100 AS run, count(*) AS passes, sum(l_quantity) AS accepted, sum(l_quantity + 5) AS drafted, sum(l_extendedprice) / 1000 AS seconds, avg(l_quantity) AS mal FROM lineitem GROUP BY 1) SELECT run, round(mal, 5) AS mal, round(accepted / passes, 5) AS speedup, round(accepted / greatest(drafted, 1), 5) AS acceptance_rate, round(accepted / greatest(seconds, 0.001), 5) AS tokens_per_second FROM o")
+@query("""
+WITH o AS (SELECT l_orderkey % 100 AS run, count(*) AS passes, sum(l_quantity) AS accepted, sum(l_quantity + 5) AS drafted,
+ sum(l_extendedprice) / 1000 AS seconds, avg(l_quantity) AS mal FROM lineitem GROUP BY 1) SELECT run, round(mal, 5) AS mal, round(accepted / passes,
+ 5) AS speedup, round(accepted / greatest(drafted, 1), 5) AS acceptance_rate, round(accepted / greatest(seconds, 0.001), 5) AS tokens_per_second FROM o""")
 def generation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("run")).agg(F.count(F.lit(1)).alias("passes"), F.sum("l_quantity").alias("accepted"), F.sum(F.col("l_quantity") + 5).alias("drafted"), (F.sum("l_extendedprice") / 1000).alias("seconds"), F.avg("l_quantity").alias("mal"))
     made = metrics.generation(*(F.col(c) for c in ("accepted", "passes", "drafted", "accepted", "seconds", "mal")))
     return o.select("run", *[F.round(v, 5).alias(k) for k, v in made.items()])
 
 
-@query("WITH b AS (SELECT sum(l_quantity) / sum(l_extendedprice) AS base FROM lineitem WHERE l_returnflag = 'N'), m AS (SELECT l_linestatus, avg(l_quantity / l_extendedprice) AS tps FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_linestatus) SELECT l_linestatus, round(CASE WHEN base > 0 THEN tps / base ELSE 1.0 END, 5) AS speedup FROM m, b")
+@query("""
+WITH b AS (SELECT sum(l_quantity) / sum(l_extendedprice) AS base FROM lineitem WHERE l_returnflag = 'N'), m AS (SELECT l_linestatus,
+ avg(l_quantity / l_extendedprice) AS tps FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_linestatus) SELECT l_linestatus, round(CASE
+ WHEN base > 0 THEN tps / base ELSE 1.0 END, 5) AS speedup FROM m, b""")
 def method_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of samples' speeds over the baseline's overall speed."""
     li = table(spark, sf_dir, "lineitem")
@@ -414,24 +487,33 @@ def method_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.crossJoin(F.broadcast(base)).select("l_linestatus", F.round(F.when(F.col("base") > 0, F.col("tps") / F.col("base")).otherwise(1.0), 5).alias("speedup"))
 
 
-@query("WITH h AS (SELECT o_custkey % 10 AS run, o_orderkey % 50 AS prompt, count(*) AS s, count(*) AS n, sum(length(o_orderpriority)) AS a FROM orders GROUP BY 1, 2) SELECT run, prompt, round(sum(a) OVER w / sum(n) OVER w, 6) AS mal FROM h WINDOW w AS (PARTITION BY run ORDER BY prompt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+@query("""
+WITH h AS (SELECT o_custkey % 10 AS run, o_orderkey % 50 AS prompt, count(*) AS s, count(*) AS n, sum(length(o_orderpriority)) AS a FROM orders
+ GROUP BY 1, 2) SELECT run, prompt, round(sum(a) OVER w / sum(n) OVER w, 6) AS mal FROM h WINDOW w AS (PARTITION BY run
+ ORDER BY prompt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def cumulative_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("run"), (F.col("o_orderkey") % 50).alias("prompt"), F.length("o_orderpriority").alias("accepted"))
     return metrics.cumulative_history(o, "run", "prompt", "accepted", compat=True, rows=16).withColumn("mal", F.round("mal", 6))
 
 
-@query("SELECT event_type, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(min(value), 5) AS min, round(max(value), 5) AS max, count(value) AS count FROM events GROUP BY event_type")
+@query("""
+SELECT event_type, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(min(value), 5) AS min, round(max(value), 5) AS max,
+ count(value) AS count FROM events GROUP BY event_type""")
 def series_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = metrics.series_summary(table(spark, sf_dir, "events"), ["event_type"])
     return s.select("event_type", *[F.round(c, 5).alias(c) for c in ("mean", "std", "min", "max")], "count")
 
 
-@query("SELECT event_id, round(CASE WHEN count(*) OVER (PARTITION BY event_type) < 10 THEN value ELSE avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END, 5) AS smoothed FROM events")
+@query("""
+SELECT event_id, round(CASE WHEN count(*) OVER (PARTITION BY event_type) < 10 THEN value ELSE avg(value) OVER (PARTITION BY event_type ORDER BY ts,
+ event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END, 5) AS smoothed FROM events""")
 def smooth_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.smooth(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], rows=500).select("event_id", F.round("smoothed", 5).alias("smoothed"))
 
 
-@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT event_type, round(avg(value), 5) AS mean FROM r WHERE rn <= 100 GROUP BY event_type")
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT event_type,
+ round(avg(value), 5) AS mean FROM r WHERE rn <= 100 GROUP BY event_type""")
 def trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.trailing_mean(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"]).withColumn("mean", F.round("mean", 5))
 
@@ -444,7 +526,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAILY = "d AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 6) AS val, round(avg(value * (event_id % 5)) / 2, 6) AS train FROM events GROUP BY 1, 2)"
 
 
-@query(f"WITH {DAILY}, b AS (SELECT *, min(val) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM d), i AS (SELECT *, (best IS NULL OR val < best) AS improved FROM b), g AS (SELECT *, sum(improved::INT) OVER (PARTITION BY event_type ORDER BY day) AS block FROM i), m AS (SELECT *, (row_number() OVER (PARTITION BY event_type, block ORDER BY day) - 1)::INT AS misses FROM g) SELECT event_type, day, improved, misses, max((misses >= 5)::INT) OVER (PARTITION BY event_type ORDER BY day) = 1 AS stopped, val > 1.5 * train AS overfit FROM m")
+@query(f"""
+WITH {DAILY}, b AS (SELECT *, min(val) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM d),
+ i AS (SELECT *, (best IS NULL OR val < best) AS improved FROM b), g AS (SELECT *, sum(improved::INT) OVER (PARTITION BY event_type
+ ORDER BY day) AS block FROM i), m AS (SELECT *, (row_number() OVER (PARTITION BY event_type, block ORDER BY day) - 1)::INT AS misses FROM g)
+ SELECT event_type, day, improved, misses, max((misses >= 5)::INT) OVER (PARTITION BY event_type ORDER BY day) = 1 AS stopped,
+ val > 1.5 * train AS overfit FROM m""")
 def best_so_far_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.early_stopping(daily(spark, sf_dir), ["event_type"], "day", "val", "train", rows=10).select("event_type", "day", "improved", "misses", "stopped", "overfit")
 
@@ -454,7 +541,10 @@ def step_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.sampled_steps(table(spark, sf_dir, "events"), 10, "event_id").select("event_id", F.round("value", 6).alias("value"))
 
 
-@query("WITH a AS (SELECT event_type AS metric, avg(value) AS x FROM events WHERE event_type <> 'click' GROUP BY 1), b AS (SELECT event_type AS metric, avg(value) AS y FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT coalesce(a.metric, b.metric) AS metric, round(coalesce(x, 0), 5) AS model1, round(coalesce(y, 0), 5) AS model2 FROM a FULL JOIN b ON a.metric = b.metric")
+@query("""
+WITH a AS (SELECT event_type AS metric, avg(value) AS x FROM events WHERE event_type <> 'click' GROUP BY 1), b AS (SELECT event_type AS metric,
+ avg(value) AS y FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT coalesce(a.metric, b.metric) AS metric, round(coalesce(x, 0), 5) AS model1,
+ round(coalesce(y, 0), 5) AS model2 FROM a FULL JOIN b ON a.metric = b.metric""")
 def two_run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("v"))
     both = metrics.compare(e.where("metric <> 'click'"), e.where("metric <> 'error'"), "metric", "v")
@@ -464,20 +554,30 @@ def two_run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEPS = "s AS (SELECT event_id // 5 AS step, event_id % 5 AS pos, user_id % 7 AS draft, user_id % 5 AS target, value AS draft_prob, value * (1 + event_id % 3) / 2 AS target_prob FROM events)"
 
 
-@query(f"WITH {STEPS}, k AS (SELECT *, min(pos) FILTER (WHERE NOT (draft = target OR draft_prob >= 0.8 * target_prob)) OVER (PARTITION BY step) AS bad FROM s) SELECT step, pos, CASE WHEN pos = bad THEN target ELSE draft END AS token FROM k WHERE bad IS NULL OR pos <= bad")
+@query(f"""
+WITH {STEPS}, k AS (SELECT *, min(pos) FILTER (WHERE NOT (draft = target OR draft_prob >= 0.8 * target_prob)) OVER (PARTITION BY step) AS bad FROM s)
+ SELECT step, pos, CASE WHEN pos = bad THEN target ELSE draft END AS token FROM k WHERE bad IS NULL OR pos <= bad""")
 def verify_prefix_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     s = table(spark, sf_dir, "events").select(F.floor(e / 5).alias("step"), (e % 5).alias("pos"), (F.col("user_id") % 7).alias("draft"), (F.col("user_id") % 5).alias("target"), F.col("value").alias("draft_prob"), (F.col("value") * (1 + e % 3) / 2).alias("target_prob"))
     return metrics.accepted_prefix(s, ["step"]).select("step", "pos", "token")
 
 
-@query("WITH x AS (SELECT event_id // 100 AS batch, event_id % 4 AS head, value AS error, (user_id % 3 > 0)::INT AS mask FROM events), h AS (SELECT batch, head, sum(error * mask) / (sum(mask) + 1e-8) AS loss FROM x GROUP BY 1, 2), b AS (SELECT batch, avg(loss) AS loss FROM h GROUP BY batch) SELECT round(avg(loss), 5) AS loss FROM b")
+@query("""
+WITH x AS (SELECT event_id // 100 AS batch, event_id % 4 AS head, value AS error, (user_id % 3 > 0)::INT AS mask FROM events), h AS (SELECT batch,
+ head, sum(error * mask) / (sum(mask) + 1e-8) AS loss FROM x GROUP BY 1, 2), b AS (SELECT batch, avg(loss) AS loss FROM h GROUP BY batch)
+ SELECT round(avg(loss), 5) AS loss FROM b""")
 def validation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 100).alias("batch"), (F.col("event_id") % 4).alias("head"), F.col("value").alias("error"), (F.col("user_id") % 3 > 0).cast("int").alias("mask"))
     return metrics.validation_loss(x).select(F.round("loss", 5).alias("loss"))
 
 
-@query(f"WITH s AS (SELECT event_type AS run, strftime(ts, '%Y-%m-%d') AS step, avg(value) AS value FROM events GROUP BY 1, 2) SELECT run, step, round(value, 5) AS value, round(CASE WHEN count(*) OVER (PARTITION BY run) < 10 THEN value ELSE avg(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END, 5) AS smoothed, round(last_value(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 5) AS final, round(min(value) OVER (PARTITION BY run), 5) AS least, max(abs(value)) OVER (PARTITION BY run) = 0 AS all_zero FROM s")
+@query(f"""
+WITH s AS (SELECT event_type AS run, strftime(ts, '%Y-%m-%d') AS step, avg(value) AS value FROM events GROUP BY 1, 2) SELECT run, step, round(value,
+ 5) AS value, round(CASE WHEN count(*) OVER (PARTITION BY run) < 10 THEN value ELSE avg(value) OVER (PARTITION BY run
+ ORDER BY step ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END, 5) AS smoothed, round(last_value(value) OVER (PARTITION BY run
+ ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 5) AS final, round(min(value) OVER (PARTITION BY run), 5) AS least,
+ max(abs(value)) OVER (PARTITION BY run) = 0 AS all_zero FROM s""")
 def training_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run"), F.to_date("ts").cast("string").alias("step")).agg(F.avg("value").alias("value"))
     c = metrics.training_curve(s, rows=16)
@@ -501,7 +601,9 @@ def token_span_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("conv_id", F.size("k").alias("n_tokens"), F.aggregate("k", F.lit(0), lambda a, x: a + x).alias("n_trained"))
 
 
-@query(r"SELECT conv_id, count(*) = 0 AS empty, (sum((role = 'assistant')::INT) > 0) AS has_train, (count(*) > 0) AS has_messages FROM conversations GROUP BY conv_id")
+@query(r"""
+SELECT conv_id, count(*) = 0 AS empty, (sum((role = 'assistant')::INT) > 0) AS has_train, (count(*) > 0) AS has_messages FROM conversations
+ GROUP BY conv_id""")
 def preflight_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = talks(spark, sf_dir).withColumn("k", masks.loss_mask("messages"))
     return k.select("conv_id", (F.size("messages") == 0).alias("empty"), (F.size("k.train_indices") > 0).alias("has_train"), (F.size("k.segments") > 0).alias("has_messages"))
@@ -510,7 +612,11 @@ def preflight_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # estimates over the table of parts, whose names and sizes stand for models
 
 
-@query("WITH p AS (SELECT p_partkey, (p_size / 10.0)::DOUBLE AS b, 512.0::DOUBLE * (1 + p_partkey % 8) AS h, (1 + p_partkey % 16)::DOUBLE AS n FROM part), x AS (SELECT *, b * 2 AS base, b * 2 * 0.01::DOUBLE AS lora, n * 2048 * 2048 * (CASE WHEN b >= 1.5 THEN 24 ELSE 16 END) * 4 / 1073741824.0::DOUBLE AS act, 4 * n * 2048 * h * 4 / 1073741824.0::DOUBLE AS mtp, n * 2048 * h * 4 / 1073741824.0::DOUBLE AS cache FROM p) SELECT p_partkey, round(act + mtp, 1) AS working_gb, round(base + lora * 4 + act + mtp + cache + 2, 0) AS total_gb FROM x")
+@query("""
+WITH p AS (SELECT p_partkey, (p_size / 10.0)::DOUBLE AS b, 512.0::DOUBLE * (1 + p_partkey % 8) AS h, (1 + p_partkey % 16)::DOUBLE AS n FROM part),
+ x AS (SELECT *, b * 2 AS base, b * 2 * 0.01::DOUBLE AS lora, n * 2048 * 2048 * (CASE WHEN b >= 1.5 THEN 24
+ ELSE 16 END) * 4 / 1073741824.0::DOUBLE AS act, 4 * n * 2048 * h * 4 / 1073741824.0::DOUBLE AS mtp, n * 2048 * h * 4 / 1073741824.0::DOUBLE AS cache
+ FROM p) SELECT p_partkey, round(act + mtp, 1) AS working_gb, round(base + lora * 4 + act + mtp + cache + 2, 0) AS total_gb FROM x""")
 def vram_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("b"), (512.0 * (1 + F.col("p_partkey") % 8)).alias("h"), (1 + F.col("p_partkey") % 16).cast("double").alias("n"))
     v = metrics.vram(F.col("b"), F.col("h"), F.col("n"))
@@ -521,13 +627,19 @@ def vram_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.round(working, 1).alias("working_gb"), F.when(near, F.round(exact, 0)).alias("total_gb"))
 
 
-@query("SELECT p_partkey, ceil(p_partkey / (1 + p_size % 8))::BIGINT AS steps_per_epoch, (ceil(p_partkey / (1 + p_size % 8)) * 3)::BIGINT AS total_steps, round(ceil(p_partkey / (1 + p_size % 8)) * 3 / 1.5, 5) AS total_seconds FROM part")
+@query("""
+SELECT p_partkey, ceil(p_partkey / (1 + p_size % 8))::BIGINT AS steps_per_epoch, (ceil(p_partkey / (1 + p_size % 8)) * 3)::BIGINT AS total_steps,
+ round(ceil(p_partkey / (1 + p_size % 8)) * 3 / 1.5, 5) AS total_seconds FROM part""")
 def training_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = metrics.training_time(F.col("p_partkey"), F.lit(3), 1 + F.col("p_size") % 8)
     return table(spark, sf_dir, "part").select("p_partkey", t["steps_per_epoch"].alias("steps_per_epoch"), t["total_steps"].alias("total_steps"), F.round(t["total_seconds"].cast("double"), 5).alias("total_seconds"))
 
 
-@query(r"WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'model-' || p_size || 'B' WHEN 1 THEN 'mini-0.5' WHEN 2 THEN 'phi-3' WHEN 3 THEN p_name || '-7b' ELSE 'none' END AS name FROM part), r AS (SELECT *, regexp_extract(name, '(\d+\.?\d*)[Bb]', 1) AS d FROM n) SELECT p_partkey, CASE WHEN d <> '' THEN d::DOUBLE WHEN contains(name, '0.5') THEN 0.5 WHEN contains(name, '1.5') THEN 1.5 WHEN contains(name, '3') THEN 3.0 WHEN contains(name, '7') THEN 7.0 ELSE 1.5 END::DOUBLE AS billions FROM r")
+@query(r"""
+WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'model-' || p_size || 'B' WHEN 1 THEN 'mini-0.5' WHEN 2 THEN 'phi-3'
+ WHEN 3 THEN p_name || '-7b' ELSE 'none' END AS name FROM part), r AS (SELECT *, regexp_extract(name, '(\d+\.?\d*)[Bb]', 1) AS d FROM n)
+ SELECT p_partkey, CASE WHEN d <> '' THEN d::DOUBLE WHEN contains(name, '0.5') THEN 0.5 WHEN contains(name, '1.5') THEN 1.5 WHEN contains(name,
+ '3') THEN 3.0 WHEN contains(name, '7') THEN 7.0 ELSE 1.5 END::DOUBLE AS billions FROM r""")
 def model_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 5
     name = F.when(k == 0, F.concat(F.lit("model-"), F.col("p_size").cast("string"), F.lit("B"))).when(k == 1, "mini-0.5").when(k == 2, "phi-3").when(k == 3, F.concat("p_name", F.lit("-7b"))).otherwise("none")
@@ -542,7 +654,9 @@ def doc_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 # records of known shapes, made of the tables' texts
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 IN (2, 3) THEN 2 ELSE 1 END::INT AS n_messages, CASE WHEN doc_id % 5 IN (2, 3) THEN 'user,assistant' ELSE 'user' END AS roles, md5(text) AS first FROM documents")
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 5 IN (2, 3) THEN 2 ELSE 1 END::INT AS n_messages, CASE WHEN doc_id % 5 IN (2, 3) THEN 'user,assistant'
+ ELSE 'user' END AS roles, md5(text) AS first FROM documents""")
 def variant_format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every known shape, made of the table's texts, brought to messages."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -580,7 +694,10 @@ def distill_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("ord").alias("conv_id"), F.coalesce("drop_reason", F.lit("kept")).alias("reason"), F.size("messages").alias("n_messages"))
 
 
-@query("WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 1 DAY, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k")
+@query("""
+WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 1 DAY, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id
+ ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts),
+ '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = streams.sessions(table(spark, sf_dir, "events"), "ts", "1 day", ["user_id"])
     return rows.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
 from chatloom.functions import vectors as A
-from chatloom.functions.schemas import ERROR_INDICATORS, MESSAGES
+from chatloom.functions.schemas import ERROR_INDICATORS, LORA_TARGETS, MESSAGES
 from chatloom.operators import conversations as V
 from chatloom.operators import dedup, evaluation, masks, metrics, preflight, secrets
 from chatloom.operators.seen import SeenSet
 from chatloom.operators.tables import fresh_path
-from chatloom.plans.catalogue import TALKS, WORDS, query, quoted, table, talks
+from chatloom.plans.catalogue import CANDIDATES, ENTROPY, SCORE, TALKS, WORDS, query, quoted, table, talks
 
 # keys seen before
 
@@ -214,3 +214,55 @@ def draft_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of each message's characters and of three drafts after them."""
     c = table(spark, sf_dir, "conversations").withColumn("p", A.position_ids(F.length("text"), F.lit(3)))
     return c.select("conv_id", "turn", F.size("p").alias("n"), F.element_at("p", -1).alias("last"))
+
+
+# secrets by entropy, masks of words, estimates and adapters
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'key ' || upper(substr(md5(text), 1, 16)) || '_Gh' || md5(source || text)
+  ELSE '' END AS text FROM documents), {CANDIDATES.replace("FROM documents", "FROM d")},
+s AS (SELECT doc_id, text, token, {ENTROPY} AS e, (regexp_matches(token, '[A-Z]')::INT + regexp_matches(token, '[a-z]')::INT
+  + regexp_matches(token, '[0-9]')::INT + regexp_matches(token, '[^A-Za-z0-9]')::INT) AS kinds FROM k),
+f AS (SELECT doc_id, text, token, {SCORE} AS score FROM s)
+SELECT doc_id, len(string_split(text[1:instr(text, token) - 1], chr(10)))::INT AS line_number, round(least(score, 1.0), 6) AS confidence,
+  token[1:4] || repeat('*', length(token) - 8) || token[-4:] AS masked_value FROM f WHERE score > 0.5 AND score >= 0.6""")
+def entropy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that score as secrets, with their lines; every other document gets one, made of its hash."""
+    key = F.concat(F.lit("\nkey "), F.upper(F.substr(F.md5("text"), F.lit(1), F.lit(16))), F.lit("_Gh"), F.md5(F.concat("source", "text")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 2 == 0, key).otherwise("")).alias("text"))
+    found = secrets.entropy_findings(d, "doc_id", "text", 0.6)
+    return found.select("doc_id", "line_number", F.round("confidence", 6).alias("confidence"), "masked_value")
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, source, {WORDS.format("text")} AS ws FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(ws, lambda w: CASE WHEN length(w) >= 8 AND len(list_distinct(string_split(w, ''))) / length(w) > 0.7
+  AND (length(w) > 20 OR (length(w) > 15 AND contains(lower(w), lower(source[4:])))) THEN '[X]' ELSE w END), ' ')) AS h FROM w""")
+def word_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long words that look random masked, and those that name the kind of secret (the source's number here)."""
+    masked = T.mask_words(F.col("text"), F.substr("source", F.lit(4)), F.lit("[X]"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(masked).alias("h"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, (p_size / 10.0)::DOUBLE AS b, 512.0::DOUBLE * (1 + p_partkey % 8) AS h, (1 + p_partkey % 16)::DOUBLE AS n FROM part)
+SELECT p_partkey, round(b * 2, 1) AS base, round(n * 2048 * 2048 * (CASE WHEN b >= 1.5 THEN 24 ELSE 16 END) * 4 / 1073741824.0::DOUBLE, 1) AS activations,
+  round(4 * n * 2048 * h * 4 / 1073741824.0::DOUBLE, 1) AS heads FROM p""")
+def vram_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimate's own parts, which it rounds to hundredths."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("b"), (512.0 * (1 + F.col("p_partkey") % 8)).alias("h"), (1 + F.col("p_partkey") % 16).cast("double").alias("n"))
+    v = metrics.vram(F.col("b"), F.col("h"), F.col("n"))
+    return p.select("p_partkey", F.round(v["base_model_gb"], 1).alias("base"), F.round(v["activations_gb"], 1).alias("activations"), F.round(v["mtp_heads_gb"], 1).alias("heads"))
+
+
+@query(f"""
+WITH m AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'layers.' || p_size || '.' || t ELSE p_name END AS module
+  FROM part, (SELECT unnest({quoted(LORA_TARGETS)}) AS t, unnest(range(1, {len(LORA_TARGETS)} + 1)) AS k) WHERE p_size % {len(LORA_TARGETS)} + 1 = k),
+x AS (SELECT unnest({quoted(LORA_TARGETS)}) AS target)
+SELECT target FROM x WHERE EXISTS (SELECT 1 FROM m WHERE module = target OR ends_with(module, '.' || target))""")
+def adapter_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which projections occur among the modules' names; every third part names one, after its layer's number."""
+    named = F.get(F.array(*map(F.lit, LORA_TARGETS)), (F.col("p_size") % len(LORA_TARGETS)).cast("int"))
+    module = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("layers."), F.col("p_size").cast("string"), F.lit("."), named)).otherwise(F.col("p_name"))
+    return metrics.lora_targets(table(spark, sf_dir, "part").select(module.alias("module")))
