@@ -53,16 +53,21 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 STEP, SUMMARY, VALUE, TAG, SIMPLE = 2, 5, 1, 1, 2
 
 
+def values_of(body: bytes) -> Iterator[tuple[str, int, float]]:
+    """tag, step, value of each simple value of a record."""
+    event = list(fields(body))
+    step = next((v for k, v in event if k == STEP), 0)
+    for _, summary in (f for f in event if f[0] == SUMMARY):
+        for _, value in (f for f in fields(summary) if f[0] == VALUE):
+            got = dict(fields(value))
+            if TAG in got and SIMPLE in got:
+                yield got[TAG].decode(), step, struct.unpack("<f", got[SIMPLE])[0]
+
+
 def scalars_of(raw: bytes) -> Iterator[tuple[str, int, float]]:
     """tag, step, value of each simple value."""
     for body in records(raw):
-        event = list(fields(body))
-        step = next((v for k, v in event if k == STEP), 0)
-        for _, summary in (f for f in event if f[0] == SUMMARY):
-            for _, value in (f for f in fields(summary) if f[0] == VALUE):
-                got = dict(fields(value))
-                if TAG in got and SIMPLE in got:
-                    yield got[TAG].decode(), step, struct.unpack("<f", got[SIMPLE])[0]
+        yield from values_of(body)
 
 
 def read_scalars(spark: SparkSession, path: str) -> DataFrame:
