@@ -190,7 +190,7 @@ def test_cotraining_replay(spark, docs):
     want, sure = replayed(rows, {r.doc_id: r.quality for r in labels.collect()})
     assert min(sure) > 0  # both views have labelled documents for the other
     got = {r.doc_id: r.score for r in cotraining.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
-    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-4) for i in want)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
 
 
 def test_cotraining_odd(spark, odd, empty):
