@@ -2,7 +2,8 @@
 
 A token file holds unsigned integers one after another, an end-of-document identifier
 after each document, and nothing else: no offsets, no counts. Files are read by byte
-ranges, so a file of any length spreads over tasks and no file is one row. A task cuts its
+ranges, so a file of many documents spreads over tasks; but what lies between two separators
+is one row of the reader, so one document is held whole, and so is a file without any. A task cuts its
 range into blocks and searches every block for the identifier at once, and gives each
 document that lies within its block. What a block leaves open at its ends (a head before
 the first separator, a tail after the last) is stitched across blocks by a prefix scan over
