@@ -38,6 +38,8 @@ SCALE = 64
 SHARD_ROWS, SHARD_CELLS, BLOCK_ROWS, UNIT_ROWS = 8192, 1 << 23, 8192, 32768
 #: Vectors that the upper tree is laid out by, its shards at most, and shards that a query asks in the first waves.
 SAMPLE, MOST_SHARDS, WAVES = 20_000, 4096, (1, 3, 12)
+#: Where bounds leave out less than this share of what is left to ask, all of it is asked at once.
+WORTH = 0.5
 #: Slots by which a shard's rows are cut into parts.
 SLOTS = 1 << 16
 LEAF = 64
@@ -300,9 +302,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     for r in dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).collect():  # MOST_SHARDS rows at most
         counts[r.shard], radius[r.shard] = r.n, np.inf if r.reach != r.reach else r.reach
 
-    def ask(lo: int, hi: int):
+    def ask(lo: int, hi: int, count: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Each query with the shards of its lo-th to hi-th bound that reach its kth score so far."""
+            """Each query with the shards of its lo-th to hi-th bound that reach its kth score so far; only their numbers, if counted."""
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
@@ -312,7 +314,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
                     best = np.argsort(-bound, axis=1, kind="stable")[:, lo:hi]
                     held = np.take_along_axis(bound, best, 1)
                     who, place = np.nonzero((held >= least[:, None]) & (held > -np.inf))
-                    yield pa.RecordBatch.from_arrays([*part.take(pa.array(who)).columns, pa.array(best[who, place].astype(np.int32))], ["vec_id", "embedding", "least", "shard"])
+                    shard = pa.array(best[who, place].astype(np.int32))
+                    if count:
+                        yield pa.RecordBatch.from_arrays([shard, pa.array(place.astype(np.int32))], ["shard", "place"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([*part.take(pa.array(who)).columns, shard], ["vec_id", "embedding", "least", "shard"])
 
         return run
 
@@ -341,12 +347,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = materialize(spark.createDataFrame([], RESULT), "nearest")
-    lo = 0
+    lo, total_queries = 0, q.count()
     for width in (*WAVES, len(layout.centre)):
         kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
         known = q.join(kth.select(F.col("query_id").alias("vec_id"), F.col("kth").cast("double")), "vec_id", "left").select("vec_id", "embedding", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
-        asked = known.repartition(2 * cores).mapInArrow(ask(lo, lo + width), "vec_id long, embedding array<double>, least double, shard int")
-        many = {r.shard: r.n for r in asked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        known = known.repartition(2 * cores, "vec_id")
+        left = known.mapInArrow(ask(lo, len(layout.centre), True), "shard int, place int").groupBy("shard")
+        sums = left.agg(F.count_if(F.col("place") < width).alias("now"), F.count(F.lit(1)).alias("all")).collect()  # a row a shard
+        if lo and sum(r["all"] for r in sums) > (1 - WORTH) * total_queries * (len(layout.centre) - lo):
+            width = len(layout.centre)  # noqa: PLW2901
+        many = {r.shard: n for r in sums if (n := r["all"] if width == len(layout.centre) else r["now"])}
+        asked = known.mapInArrow(ask(lo, lo + width, False), "vec_id long, embedding array<double>, least double, shard int")
         if asked_log is not None:
             asked_log.append(sum(many.values()))
         if not many:
