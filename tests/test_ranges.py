@@ -4,11 +4,14 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatloom.operators import dedup, evaluation, metrics, passages, preflight, sampling, secrets, selection, series
+from chatloom.plans import large as _large  # noqa: F401  adds its queries to the catalogue
+from chatloom.plans.catalogue import QUERIES, SQL
 
 
 def digest(k):
@@ -165,3 +168,14 @@ def test_evaluation(spark):
     assert sorted((r.method, r.prompt_no, r.speedup, r["mean"]) for r in evaluation.speed_up_series(df).collect())[2:] == [("fast", 1, 4.0, 2.0), ("fast", 2, 0.0, 2.0)]
     got = evaluation.lossless(df, "base").first()
     assert (got.method, got.verified, got.total, got.match_rate) == ("fast", 1, 2, 0.5)
+
+
+def test_preflight_report_asks_for_words_in_the_message_itself(spark, tmp_path):
+    """A word in lower case may stand inside another one of its message; in another message it doesn't count."""
+    said = [(1, 0, "user", "To stor it"), (2, 0, "user", "To go"), (3, 0, "user", "To"), (3, 1, "assistant", "stor"), (4, 0, "user", "all low"), (5, 0, "user", None), (5, 1, "user", "ok")]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(at := str(tmp_path / "conversations.parquet"))
+    got = {r.check: (r.failed, r.rows) for r in QUERIES["preflight_report"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{at}/*.parquet'")
+    assert got == {k: (failed, n) for k, _, failed, n, _ in duck.execute(SQL["preflight_report"]).fetchall()}
+    assert got["vocab_compatible"] == (2, 5)
