@@ -18,6 +18,7 @@ Texts with equal sets are linked first, and one of them is posted. Sets that Sim
 put in one component are never paired again. In a posting of more than HOT sets each is
 compared with one of them too, the same in all postings that hold it, and only sets of
 different components are paired after that, so a group of near copies isn't expanded into pairs.
+Postings hold numbers only; sizes and short bitmaps come to them just before they are paired.
 
 Cases: null, empty and blank texts have one set in common. Texts of fewer words than a
 shingle are one shingle. Shingles are compared by their 64-bit hashes. Rows are told
@@ -166,7 +167,8 @@ def near_copies(texts: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     centre = materialize(least_of_class(prints, link_classes(prints.select("fp"))), "centres")
     sweep(texts.sparkSession)
     near = salted_join(sets.select("id", "fp"), centre, "fp", F.col("id"), "inner").select(F.col("id").alias("x"), F.col("least").alias("y"))
-    posted = sets.select("id", "n", *SKETCH, F.posexplode("prefix").alias("i", "k"))
+    # postings are many times the sets: what is known of a set joins them where they are paired, and isn't moved with them before
+    posted = sets.select("id", F.posexplode("prefix").alias("i", "k"))
     counts = materialize(posted.groupBy("k").agg(F.count(F.lit(1)).alias("posted")).where("posted > 1"), "counts")
     sweep(texts.sparkSession)
     shared = materialize(seen_before(posted, "k", counts).join(counts, "k"), "postings")
@@ -187,20 +189,33 @@ def near_copies(texts: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     around = around.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "y")), False), 1, TRIES).alias("ys"))
     around = around.select("x", F.explode("ys.y").alias("y"))
     first = materialize(components(linked(met(near.unionByName(around)), texts, buckets)), "contracted")
-    members = shared.join(first.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("comp", F.coalesce("label", "id"))
-    # postings within one component are settled; of the rest, all but the largest component's members seek partners
+    labels = first.select(F.col("node").alias("id"), "label")
+    about = signed.select("id", "n", *SKETCH).join(labels, "id", "left").select("id", "n", *SKETCH, F.coalesce("label", "id").alias("comp"))
+    known = lambda crowd: shared.where(crowd).select("k", "id", "i").join(about, "id")
+    # crowded postings within one component are settled; of the rest, all but the largest component's members seek partners
+    members = known(F.col("posted") > hot)
     sizes = members.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("k").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("top"), F.count(F.lit(1)).alias("comps"))
-    members = materialize(members.join(largest.where("comps > 1"), "k").select("k", "id", "n", "i", *SKETCH, "comp", "top"), "members")
+    members = materialize(members.join(largest.where("comps > 1"), "k"), "members")
     del sizes, largest
-    sweep(texts.sparkSession, shared)
-    a, b = members.alias("a"), members.alias("b")
-    one_way = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.comp") != F.col("a.top")) & ((F.col("a.id") < F.col("b.id")) | (F.col("b.comp") == F.col("a.top")))
-    # a similarity of T takes T / (1 + T) of both sizes in common: so much must be left from the first shared shingle on
-    enough = (NUMER + DENOM) * F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= NUMER * (F.col("a.n") + F.col("b.n"))
-    differ = functools.reduce(Column.__add__, [F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in SKETCH])
-    alike = (NUMER + DENOM) * differ <= (DENOM - NUMER) * (F.col("a.n") + F.col("b.n"))
-    links = linked(met(a.join(b, (F.col("a.k") == F.col("b.k")) & one_way & enough & alike).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))), texts, buckets)
+    sweep(texts.sparkSession)
+
+    def partners(rows: DataFrame, one_way: Column) -> DataFrame:
+        """rows of postings -> x, y of different components that meet early enough and whose short bitmaps allow for the similarity."""
+        a, b = rows.alias("a"), rows.alias("b")
+        # a similarity of T takes T / (1 + T) of both sizes in common: so much must be left from the first shared shingle on
+        enough = (NUMER + DENOM) * F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= NUMER * (F.col("a.n") + F.col("b.n"))
+        differ = functools.reduce(Column.__add__, [F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in SKETCH])
+        alike = (NUMER + DENOM) * differ <= (DENOM - NUMER) * (F.col("a.n") + F.col("b.n"))
+        on = (F.col("a.k") == F.col("b.k")) & (F.col("a.comp") != F.col("b.comp")) & one_way & enough & alike
+        return a.join(b, on).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+
+    # short postings, most of all, take no count of components: both sides of their join are then the same rows, which are shuffled once
+    ascending = F.col("a.id") < F.col("b.id")
+    few = partners(known(F.col("posted") <= hot), ascending)
+    many = partners(members, (F.col("a.comp") != F.col("a.top")) & (ascending | (F.col("b.comp") == F.col("a.top"))))
+    links = linked(met(few.unionByName(many)), texts, buckets)
+    sweep(texts.sparkSession, shared, members)
     edges = links.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b")))
     copies = signed.join(firsts.where("copies > 1"), "key").select(F.col("id").alias("a"), F.col("first").alias("b"))
     return components(edges.unionByName(copies)).select(F.col("node").alias("id"), "label")

@@ -460,6 +460,15 @@ def test_sketch_keeps_similar_sets(size):
             assert 9 * bits <= len(x) + len(y)
 
 
+def test_postings_hold_numbers_only(spark, monkeypatch):
+    """Bitmaps in them would be shuffled once more for every shingle, whole at sizes where a set's rows are no longer neighbours."""
+    columns, rows = {}, [(i, " ".join(f"w{j + i // 3 * 40}" for j in range(60 + i % 3))) for i in range(30)]
+    write = near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", lambda df, name: columns.setdefault(name, df.columns) and write(df, name))
+    assert near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 10
+    assert sorted(columns["postings"]) == ["i", "id", "k", "posted"]
+
+
 def test_keep_one_by_rows(spark):
     one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "xyz")
     rows = [(1, one), (1, two), (2, one), (None, three), (None, three), (None, two), (5, None)]
