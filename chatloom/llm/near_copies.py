@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from chatloom.llm.arrow import map_texts
 from chatloom.llm.common import CATALOGUED, delete, free, fresh_path, made, materialize, pack, release, unpack
 from chatloom.llm.components import components
+from chatloom.llm.sieve import BLOCK_BITS, bit, seen_before
 from chatloom.llm.simhash import SEED, least_of_class, link_classes, majority, shingle_hashes
 from chatloom.operators.skew import salted_join
 
@@ -54,10 +55,8 @@ HOT = 64
 SKETCH = ("q0", "q1", "q2", "q3")
 #: Sets of crowded postings that a set is compared with before pairs are taken, those it meets most often.
 TRIES = 3
-#: Rows of a block, as bits of their numbers (a bitmap of Spark's has so many), of a bucket, about, and most buckets.
-BLOCK_BITS, BUCKET_ROWS, MAX_BUCKETS = 15, 1 << 18, 4096
-#: Bits of the sieve of shingles that are posted twice, as a power of 2: 16 MB.
-SIEVE_BITS = 27
+#: Rows of a bucket, about, and most buckets; a block has as many rows as a bitmap of Spark's has bits.
+BUCKET_ROWS, MAX_BUCKETS = 1 << 18, 4096
 #: One document in so many is read for the order; a shingle is put last from so many of them, and so many shingles at most.
 SAMPLED, OFTEN, LAST = 16, 4, 50_000
 
@@ -149,6 +148,8 @@ def near_copies(texts: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     sample = map_texts(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0), lambda: lambda ts: [(shingle_set(t).view("<i8"),) for t in ts], "s array<long>", "id")
     often = sample.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
     last = np.sort(np.array([r.s for r in often.orderBy(F.desc("n"), "s").limit(LAST).collect()], np.int64).view(np.uint64))
+    del sample, often
+    free(texts.sparkSession)
 
     def make():
         def sign(t: bytes | None) -> tuple:
@@ -171,13 +172,15 @@ def near_copies(texts: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     posted = sets.select("id", F.posexplode("prefix").alias("i", "k"))
     counts = materialize(posted.groupBy("k").agg(F.count(F.lit(1)).alias("posted")).where("posted > 1"), "counts")
     sweep(texts.sparkSession)
-    shared = materialize(seen_before(posted, "k", counts).join(counts, "k"), "postings")
+    shared = materialize(seen_before(posted, ["k"], counts).join(counts, "k"), "postings")
     sweep(texts.sparkSession, counts)
 
     def met(pairs: DataFrame) -> DataFrame:
         """pairs: x, y (numbers of sets) -> distinct a < b that may be similar enough. Sizes and bitmaps come to distinct pairs only."""
         flat = materialize(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "met")
-        left, right = signed.select(F.col("id").alias("a"), F.col("bits").alias("p"), "n"), signed.select(F.col("id").alias("b"), F.col("bits").alias("q"), F.col("n").alias("m"))
+        # few sets meet any: only their bitmaps are moved
+        some = chosen_rows(signed, buckets, flat.select(F.explode(F.array("a", "b")).alias("id")).distinct(), True)
+        left, right = some.select(F.col("id").alias("a"), F.col("bits").alias("p"), "n"), some.select(F.col("id").alias("b"), F.col("bits").alias("q"), F.col("n").alias("m"))
         sized = NUMER * F.greatest("n", "m") <= DENOM * F.least("n", "m")
         out = materialize(chosen(flat.join(left, "a").join(right, "b").where(sized), may_link, ["p", "q", "n", "m"]), "pairs")
         sweep(texts.sparkSession, flat)
@@ -242,20 +245,6 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     return bucketed(rows, buckets, "numbered"), buckets
 
 
-def bit(bits: Column, at: Column) -> Column:
-    """Whether bit ``at`` of a bitmap is set."""
-    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1
-
-
-def seen_before(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """rows but for most of those whose ``key`` isn't among keys: by one bit for each of 2^SIEVE_BITS hashes, a broadcast of a fixed size."""
-    low, h = F.lit((1 << BLOCK_BITS) - 1), F.xxhash64(key)
-    part, at = F.pmod(F.shiftright(h, BLOCK_BITS), F.lit(1 << SIEVE_BITS - BLOCK_BITS)), h.bitwiseAND(low)
-    sieve = keys.select(part.alias("part"), at.alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("_bits"))
-    return rows.withColumn("part", part).join(F.broadcast(sieve), "part").where(bit(F.col("_bits"), at.cast("int"))).select(*rows.columns)
-
-
 def chosen_rows(rows: DataFrame, buckets: int, ids: DataFrame, there: bool) -> DataFrame:
     """rows: numbered(), or columns of it with id and block; ids: id -> the rows whose id is ``there``, or the others.
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from chatloom.llm.arrow import map_texts
 from chatloom.llm.common import free, materialize
 from chatloom.llm.components import components
+from chatloom.llm.sieve import seen_before
 from chatloom.operators.skew import salted_join
 
 SEED = 42
@@ -102,7 +103,8 @@ def link_classes(distinct: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> D
     # counted by a partial aggregate and joined, which splits long postings; a window would bring each to one task
     counts = materialize(posted.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     free(distinct.sparkSession)
-    shared = materialize(posted.join(counts, ["c", "k"]), "postings")
+    # most postings have one fingerprint: they are left out before the others are shuffled to their counts
+    shared = materialize(seen_before(posted, ["c", "k"], counts).join(counts, ["c", "k"]), "postings")
     free(distinct.sparkSession)
     crowded = shared.where(F.col("n") > hot).select("fp").distinct()
     contracted = bits >= 2 and not crowded.isEmpty()

@@ -469,6 +469,54 @@ def test_postings_hold_numbers_only(spark, monkeypatch):
     assert sorted(columns["postings"]) == ["i", "id", "k", "posted"]
 
 
+def shuffled(spark, write, name):
+    """How many rows the table of this name has shuffled, and the function that writes tables and counts them."""
+    rows = []
+
+    def run(df, at, *more):
+        if at != name:
+            return write(df, at, *more)
+        stages = lambda: {x.stageId(): x.shuffleWriteRecords() for x in map(store.apply, range(store.size()))}
+        bus, of = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+        listed = lambda: of.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        bus.waitUntilEmpty(30_000)
+        store = listed()
+        before = stages()
+        out = write(df, at, *more)
+        bus.waitUntilEmpty(30_000)
+        store = listed()
+        rows.append(sum(n for k, n in stages().items() if k not in before))
+        return out
+
+    return rows, run
+
+
+def test_only_shared_postings_move(spark, monkeypatch):
+    """Where counts are too many to be broadcast (every table here), postings of one fingerprint aren't shuffled to them."""
+    monkeypatch.setattr(simhash, "materialize", (found := shuffled(spark, simhash.materialize, "postings"))[1])
+    values = [int(x) for x in np.random.default_rng(3).integers(0, 2**62, 2000)]
+    df = spark.createDataFrame([(v,) for v in [*values, values[0] ^ 1, values[1] ^ 6]], "fp long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.fp for r in simhash.link_classes(df).collect()} == {values[0], values[0] ^ 1, values[1], values[1] ^ 6}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < found[0][0] < len(simhash.masks(2002)[0]) * 2002 / 5
+
+
+def test_only_bitmaps_of_pairs_move(spark, monkeypatch):
+    """Where pairs are too many to be broadcast, bitmaps of sets that meet no other aren't shuffled to them."""
+    monkeypatch.setattr(near_copies, "materialize", (found := shuffled(spark, near_copies.materialize, "pairs"))[1])
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(30))) for i in range(400)]
+    rows += [(1000 + i, f"{t} end") for i, t in rows[:5]]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(found[0]) < 200
+
+
 def test_keep_one_by_rows(spark):
     one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "xyz")
     rows = [(1, one), (1, two), (2, one), (None, three), (None, three), (None, two), (5, None)]
