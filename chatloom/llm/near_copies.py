@@ -16,8 +16,9 @@ are never made, then one as long as the set. The sets themselves decide the rest
 
 Texts with equal sets are linked first, and one of them is posted. Sets that SimHash has
 put in one component are never paired again. In a posting of more than HOT sets each is
-compared with one of them too, the same in all postings that hold it, and only sets of
-different components are paired after that, so a group of near copies isn't expanded into pairs.
+compared with a hub too: the one whose postings hold the most sets in all, which is the text that
+the others are copies of, or near it. Only sets of different components are paired after that,
+so a group of near copies isn't expanded into pairs.
 Postings hold numbers only; sizes and short bitmaps come to them just before they are paired.
 
 Cases: null, empty and blank texts have one set in common. Texts of fewer words than a
@@ -165,7 +166,7 @@ def near_copies(texts: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     sets = chosen_rows(signed, buckets, firsts.select(F.col("first").alias("id")), True)
     # SimHash: each set and the least set of its component of fingerprints
     prints = materialize(sets.groupBy("fp").agg(F.min("id").alias("rep")), "prints")
-    centre = materialize(least_of_class(prints, link_classes(prints.select("fp"))), "centres")
+    centre = materialize(least_of_class(prints, link_classes(prints.select("fp"), early=True)), "centres")
     sweep(texts.sparkSession)
     near = salted_join(sets.select("id", "fp"), centre, "fp", F.col("id"), "inner").select(F.col("id").alias("x"), F.col("least").alias("y"))
     # postings are many times the sets: what is known of a set joins them where they are paired, and isn't moved with them before
@@ -187,7 +188,11 @@ def near_copies(texts: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
         return out
 
     crowded = shared.where(F.col("posted") > hot).select("k", "id")
-    centres = crowded.groupBy("k").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("y"))).alias("c")).select("k", "c.y")
+    # a set in the middle of a group has the fewest shingles of its own, so its postings hold the most sets
+    ids = materialize(crowded.select("id").distinct(), "crowded")
+    held = seen_before(shared.select("id", "posted"), ["id"], ids).groupBy("id").agg(F.sum("posted").alias("held"))
+    hub = F.max(F.struct("held", F.xxhash64("id").alias("h"), F.col("id").alias("y"))).alias("c")
+    centres = materialize(crowded.join(held, "id").groupBy("k").agg(hub).select("k", "c.y"), "hubs")
     around = salted_join(crowded, centres, "k", F.col("id"), "inner").where("id <> y").groupBy(F.col("id").alias("x"), "y").agg(F.count(F.lit(1)).alias("met"))
     around = around.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "y")), False), 1, TRIES).alias("ys"))
     around = around.select("x", F.explode("ys.y").alias("y"))

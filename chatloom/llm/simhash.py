@@ -95,8 +95,11 @@ def contract(hot: DataFrame) -> DataFrame:
     return components(star.select(F.col("fp").alias("a"), F.col("m").alias("b")))
 
 
-def link_classes(distinct: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
-    """distinct: fp (one row each) -> fp, label: the smallest fingerprint of its component; only linked ones occur."""
+def link_classes(distinct: DataFrame, bits: int = MAX_BITS, hot: int = HOT, early: bool = False) -> DataFrame:
+    """distinct: fp (one row each) -> fp, label: the smallest fingerprint of its component; only linked ones occur.
+
+    ``early``: pairs are verified where they meet, before they are tallied, so that only links become rows. The links are the same.
+    """
     sets, least = masks(distinct.count(), bits)
     keys = F.array(*map(F.lit, sets))
     posted = distinct.select("fp", F.posexplode(F.transform(keys, lambda m: F.col("fp").bitwiseAND(m))).alias("c", "k"))
@@ -120,13 +123,13 @@ def link_classes(distinct: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> D
     a, b = members.alias("a"), members.alias("b")
     one_way = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.top").isNull() | (F.col("a.comp") != F.col("a.top"))) & ((F.col("a.fp") < F.col("b.fp")) | (F.col("b.comp") == F.col("a.top")))
     met = (F.col("a.c") == F.col("b.c")) & (F.col("a.k") == F.col("b.k"))
+    near = lambda x, y: F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= bits
     # the count filter: in how many postings does a pair meet? A posting has each pair once
-    pairs = a.join(b, met & one_way).select(*[F.struct(F.col(f"{x}.fp").alias("fp"), F.col(f"{x}.comp").alias("comp")).alias(x) for x in "ab"])
+    pairs = a.join(b, met & one_way & near("a", "b") if early else met & one_way).select(*[F.struct(F.col(f"{x}.fp").alias("fp"), F.col(f"{x}.comp").alias("comp")).alias(x) for x in "ab"])
     tally = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
     tally = materialize(tally.where(F.col("shared") >= least), "tallied")
     free(distinct.sparkSession)
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
-    edges = tally.where(near).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b"))
+    edges = tally.where(near("x", "y")).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b"))
     if contracted:
         edges = edges.unionByName(first.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
     return components(edges).select(F.col("node").alias("fp"), "label")

@@ -517,6 +517,57 @@ def test_only_bitmaps_of_pairs_move(spark, monkeypatch):
     assert max(found[0]) < 200
 
 
+def test_group_around_a_hub_is_not_paired(spark, monkeypatch):
+    """Copies of one text that are each near it, but not near one another: each is compared with it, not with all the others."""
+    rng = np.random.default_rng(7)
+    base = [f"b{x}" for x in rng.integers(0, 10**6, 200)]
+    texts = []
+    for i in range(160):
+        w = list(base)
+        for j, at in enumerate(rng.choice(np.arange(5, 195), 3 if i else 0, replace=False)):
+            w[at] = f"c{i}_{j}"
+        texts.append(" ".join(w))
+    assert len(set(brute_jaccard(texts))) == 1
+    found, write = {}, near_copies.materialize
+
+    def count(df, name):
+        out = write(df, name)
+        found.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", count)
+    rows = list(enumerate([*texts[1:78], texts[0], *texts[78:]]))
+    assert [r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    assert sum(found["met"]) <= 4 * len(texts) and found["met"][1] <= len(texts)
+
+
+def test_links_verified_early(spark, monkeypatch):
+    """Pairs verified where they meet give the same classes, and only links are tallied."""
+    rng = np.random.default_rng(11)
+    base = int(rng.integers(0, 2**62))
+    values = {base}
+    for _ in range(150):
+        x = base
+        for at in rng.choice(62, rng.integers(1, 7), replace=False):
+            x ^= 1 << int(at)
+        values.add(x)
+    df = spark.createDataFrame([(v,) for v in sorted(values)], "fp long")
+    tallied, write = [], simhash.materialize
+
+    def count(df, name):
+        out = write(df, name)
+        if name == "tallied":
+            tallied.append((out.count(), out.where("bit_count(x.fp ^ y.fp) <= 3").count()))
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", count)
+    for hot in (2, 64):
+        tallied.clear()
+        late, soon = ({tuple(r) for r in simhash.link_classes(df, hot=hot, early=e).collect()} for e in (False, True))
+        assert late == soon
+        assert tallied[0][0] > tallied[0][1] == tallied[1][0] == tallied[1][1]
+
+
 def test_keep_one_by_rows(spark):
     one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "xyz")
     rows = [(1, one), (1, two), (2, one), (None, three), (None, three), (None, two), (5, None)]
